@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.quality_rules import quality_report
+from millrace.llm.slot_sharding import shard_report
 from millrace.llm.source_mixing import mix_report
+from millrace.llm.token_counts import token_report
+from millrace.llm.warc import archive_report
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,9 +19,21 @@ def op5_sainte_lague_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(_table(spark, sf_dir, "documents"))
 
 
+def op6_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_report(_table(spark, sf_dir, "documents"))
+
+
 def op7_weak_supervision_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_sainte_lague_mixing, op7_weak_supervision_quality)}
+def op9_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_report(_table(spark, sf_dir, "documents"))
+
+
+def op10_zstd_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_report(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op5_sainte_lague_mixing, op6_virtual_slot_sharding, op7_weak_supervision_quality, op9_whole_token_counts, op10_zstd_warc)}
 ORACLE_SQL: dict[str, str] = {}
