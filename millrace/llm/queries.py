@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.llm.decontamination import contamination_report
 from millrace.llm.minhash_dedup import near_duplicates
 from millrace.llm.quality_rules import quality_report
 from millrace.llm.slot_sharding import shard_report
@@ -20,6 +21,10 @@ def op1_hyperminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_prefix_filtered_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_sainte_lague_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(_table(spark, sf_dir, "documents"))
 
@@ -40,5 +45,5 @@ def op10_zstd_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_report(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hyperminhash_dedup, op5_sainte_lague_mixing, op6_virtual_slot_sharding, op7_weak_supervision_quality, op9_whole_token_counts, op10_zstd_warc)}
+QUERIES = {f.__name__: f for f in (op1_hyperminhash_dedup, op3_prefix_filtered_decontamination, op5_sainte_lague_mixing, op6_virtual_slot_sharding, op7_weak_supervision_quality, op9_whole_token_counts, op10_zstd_warc)}
 ORACLE_SQL: dict[str, str] = {}
