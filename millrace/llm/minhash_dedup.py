@@ -43,7 +43,7 @@ MARGIN = 0.30
 #: Members of a pivot that one task compares.
 MEMBERS = 512
 
-SET = "doc_id long, n_shingles long, fp binary, small binary, large binary"
+SET = "doc_id long, key string, n_shingles long, fp binary, small binary, large binary"
 
 
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
@@ -87,15 +87,15 @@ def sketches(s: np.ndarray) -> tuple[bytes | None, bytes | None]:
 
 
 def sketch_table(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, fp (of the set; null if empty) and the sketches of each row of docs."""
+    """doc_id, key (md5 of the text), n_shingles, fp (of the set; null if empty) and the sketches of each row of docs."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(len(s), fingerprint(s) if len(s) else None, *sketches(s)) for s in shingle_sets(batch.column("text"))]
             columns = zip(*rows, strict=True) if rows else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True))], ["doc_id", "n_shingles", "fp", "small", "large"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True))], ["doc_id", "key", "n_shingles", "fp", "small", "large"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(read, SET)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("key"), "text").mapInArrow(read, SET)
 
 
 def band_keys(nodes: DataFrame) -> DataFrame:
@@ -198,19 +198,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of every group: the smallest doc_id; of rows that repeat it, one."""
+    """One row of every group: that with the smallest doc_id, and of rows that repeat it the one with the smallest text key.
+
+    Rows without words stay. The columns are those of docs.
+    """
     rows, labels = _labelled(docs)
-    heads = rows.join(labels, "fp", "left").where(F.col("fp").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id")))
-    heads = heads.select(F.col("doc_id").alias("_nd_id"), F.col("fp").isNull().alias("_nd_bare")).distinct()
-    bare = F.coalesce(~F.col("text").rlike("[^ \\t-\\r]"), F.lit(True))
-    numbered = docs.withColumn("_nd_words", ~bare)
-    met = numbered.join(heads, F.col("doc_id").cast("long").eqNullSafe(F.col("_nd_id")) & (F.col("_nd_words") != F.col("_nd_bare")))
-    single = met.where("_nd_words").dropDuplicates(["doc_id"])
-    return single.unionByName(met.where("not _nd_words")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = rows.join(labels, "fp", "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty():
+        gone = stage(out.where("fp is not null and doc_id <> component_id").select(F.col("doc_id").alias("_nd_id")), "gone")
+        return docs.join(gone, F.col("doc_id").cast("long") == F.col("_nd_id"), "left_anti").select(*columns)
+    heads = out.where(F.col("fp").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "component").agg(F.min("key").alias("key"))
+    heads = heads.select(F.struct("doc_id", "key").alias("_nd_head")).distinct()
+    marked = docs.withColumn("_nd_row", F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("key")))
+    worded = F.coalesce(F.col("text").rlike("[^ \\t-\\r]"), F.lit(False))
+    single = marked.where(worded).join(heads, F.col("_nd_row").eqNullSafe(F.col("_nd_head"))).dropDuplicates(["_nd_row"])
+    return single.select(*columns).unionByName(marked.where(~worded).select(*columns))
 
 
 def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The staged (doc_id, n_shingles, fp) rows, and (fp, component_id) of every node."""
+    """The staged (doc_id, key, n_shingles, fp) rows, and (fp, component, component_id) of every node."""
     spark = docs.sparkSession
     table = stage(sketch_table(docs), "sketches")
     nodes = stage(table.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("small").alias("small"), F.first("large").alias("large")), "nodes")
@@ -236,7 +243,7 @@ def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     groups = connected_components(links.unionByName(more), "a", "b")
 
     whole = nodes.select("fp", "doc_id").join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "doc_id", F.coalesce("component", "fp").alias("component"))
-    labels = whole.join(whole.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("fp", "component_id")
+    labels = whole.join(whole.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("fp", "component", "component_id")
     labels = stage(labels, "labels")
     discard(spark, sets, stars, members)
-    return table.select("doc_id", "n_shingles", "fp"), labels
+    return table.select("doc_id", "key", "n_shingles", "fp"), labels

@@ -71,10 +71,10 @@ def mix(docs: DataFrame, seed: str = SEED, share: float = SHARE, max_epochs: int
     """
     keep = docs.columns if keep is None else keep
     turn = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    sized = stage(
-        docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("source").alias("source"), F.col("doc_id").alias("id"), word_count(F.col("text")).alias("size"), turn.alias("turn")).withColumn("range", F.substring("turn", 1, DIGITS)),
-        "sized",
-    )
+    # the number of a row is stored with it, so that the decisions can be made on narrow rows
+    table = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.monotonically_increasing_id().alias("number"), F.col("source").alias("source"), F.col("doc_id").alias("id"), word_count(F.col("text")).alias("size"), turn.alias("turn"))
+    table = stage(table.withColumn("range", F.substring("turn", 1, DIGITS)), "sized")
+    sized = table.drop("row")
     by_range = sized.groupBy("source", "range").agg(F.sum("size").alias("words"))
     targets = source_targets(by_range.groupBy("source").agg(F.sum("words").alias("source_size")), share, max_epochs)
     targets = stage(targets.withColumn("block", F.greatest(F.ceil(F.sum("target").over(Window.partitionBy()) / blocks), F.lit(1)).cast("long")), "targets")
@@ -95,7 +95,7 @@ def mix(docs: DataFrame, seed: str = SEED, share: float = SHARE, max_epochs: int
     starts = starts.alias("s").join(info.alias("i"), F.col("s.source").eqNullSafe(F.col("i.source"))).select("s.source", "range", "start", "place", "passes", "block", "source_size", "target")
     inside = F.coalesce(F.sum("size").over(Window.partitionBy("source", "range").orderBy("turn", "id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = sized.withColumn("inside", inside).alias("d").join(starts.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.range") == F.col("s.range")))
-    placed = placed.select("d.row", "size", "source_size", "target", "place", "passes", "block", (F.col("start") + F.col("inside")).alias("from")).withColumn("to", F.col("from") + F.col("size"))
+    placed = placed.select("number", "size", "source_size", "target", "place", "passes", "block", (F.col("start") + F.col("inside")).alias("from")).withColumn("to", F.col("from") + F.col("size"))
 
     def upto(column: str) -> Column:
         return F.col(f"{column}_ahead") + F.col(f"{column}_drawn") * (F.col(column) - F.col(f"{column}_b") * F.col("block"))
@@ -104,7 +104,19 @@ def mix(docs: DataFrame, seed: str = SEED, share: float = SHARE, max_epochs: int
         at = F.least(F.floor(F.col(column) / F.col("block")), F.ceil(F.col("source_size") / F.col("block")) - 1).cast("long")
         placed = placed.withColumn("at", at).alias("p").join(drawn.select(F.col("place").alias("pl"), F.col("b").alias(f"{column}_b"), F.col("drawn").alias(f"{column}_drawn"), F.col("ahead").alias(f"{column}_ahead")), (F.col("place") == F.col("pl")) & (F.col("at") == F.col(f"{column}_b")), "left").drop("pl", "at")
     taken = F.when(F.col("size") > 0, F.col("passes") * F.col("size") + upto("to") - upto("from")).otherwise(0).cast("long")
-    return placed.select("row.*", F.struct("size", "source_size", "target", taken.alias("taken")).alias("_mx"))
+    decided = placed.select("number", F.struct("size", "source_size", "target", taken.alias("taken")).alias("_mx"))
+    return table.select("number", "row").join(decided, "number").select("row.*", "_mx")
+
+
+def apply_mix(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
+    """The mixed corpus: each row of docs as often as the mix takes it.
+
+    A row whose words are taken in part is rounded up or down by a seeded lot of its own, so the
+    sources keep their shares. The columns are those of docs.
+    """
+    lot = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":lot:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    copies = F.when(F.col("_mx.size") > 0, F.floor(F.col("_mx.taken") / F.col("_mx.size") + lot)).otherwise(0).cast("int")
+    return mix(docs, seed, **options).withColumn("_mx_copies", copies).where("_mx_copies > 0").withColumn("_mx_copies", F.explode(F.sequence(F.lit(1), F.col("_mx_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
