@@ -9,6 +9,7 @@ from millrace.llm.minhash_dedup import near_duplicates
 from millrace.llm.quality_rules import quality_report
 from millrace.llm.slot_sharding import shard_report
 from millrace.llm.source_mixing import mix_report
+from millrace.llm.suffix_dedup import repeats_report
 from millrace.llm.token_counts import token_report
 from millrace.llm.warc import archive_report
 
@@ -37,6 +38,10 @@ def op7_weak_supervision_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_table(spark, sf_dir, "documents"))
 
 
+def op8_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats_report(_table(spark, sf_dir, "documents"))
+
+
 def op9_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_report(_table(spark, sf_dir, "documents"))
 
@@ -45,5 +50,5 @@ def op10_zstd_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_report(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hyperminhash_dedup, op3_prefix_filtered_decontamination, op5_sainte_lague_mixing, op6_virtual_slot_sharding, op7_weak_supervision_quality, op9_whole_token_counts, op10_zstd_warc)}
+QUERIES = {f.__name__: f for f in (op1_hyperminhash_dedup, op3_prefix_filtered_decontamination, op5_sainte_lague_mixing, op6_virtual_slot_sharding, op7_weak_supervision_quality, op8_difference_cover_dedup, op9_whole_token_counts, op10_zstd_warc)}
 ORACLE_SQL: dict[str, str] = {}
