@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 LIMIT = 2048
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces kept besides the proved ones; beyond that they are forgotten and merged anew.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 
 # Letters and numbers among the characters of the fast path, after lower-casing.
 LETTERS = "a-zA-ZªµºÀ-ÖØ-öø-ɏ"
@@ -41,6 +41,16 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> list[str]:
+    """The letters that stand for the bytes 0 to 255 in a byte-level model: printable ones for themselves, the rest from U+0100 on."""
+    kept = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    moved = iter(range(256, 512))
+    return [chr(b if b in kept else next(moved)) for b in range(256)]
+
+
+BYTE_LETTERS = dict(enumerate(_byte_letters()))
+
+
 class Counter:
     """Counts tokens with one tokenizer file. costs: tokens of a piece of text."""
 
@@ -50,6 +60,7 @@ class Counter:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.whole = self.proved()
@@ -58,6 +69,10 @@ class Counter:
     def encoded(self, texts: list[str]) -> list[int]:
         return [len(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def merged(self, piece: str) -> int:
+        """Tokens of one piece: its byte letters through the merges of the model."""
+        return len(self.model.tokenize(piece.encode().decode("latin-1").translate(BYTE_LETTERS)))
+
     def proved(self) -> dict[str, int]:
         """The word-ending vocabulary strings that are one piece and encode alone as one token."""
         end = "</w>"
@@ -76,7 +91,7 @@ class Counter:
             if len(self.costs) + len(new) > len(self.whole) + REMEMBERED:
                 self.costs = dict(self.whole)
                 new = list(set(pieces).difference(self.costs))
-            self.costs.update(zip(new, self.encoded(new), strict=True))
+            self.costs.update(zip(new, map(self.merged, new), strict=True))
             return sum(map(self.costs.__getitem__, pieces))
 
     def count(self, text: str | None) -> int:
