@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.decontamination import contamination_report
 from millrace.llm.minhash_dedup import near_duplicates
+from millrace.llm.pseudonyms import pseudonym_report
 from millrace.llm.quality_rules import quality_report
+from millrace.llm.quote_linking import link_quotes
 from millrace.llm.slot_sharding import shard_report
 from millrace.llm.source_mixing import mix_report
 from millrace.llm.suffix_dedup import repeats_report
@@ -22,10 +24,18 @@ def op1_hyperminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_quotes(_table(spark, sf_dir, "conversations"))
+
+
 def op3_prefix_filtered_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonym_report(_table(spark, sf_dir, "documents"))
+
+
 def op5_sainte_lague_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(_table(spark, sf_dir, "documents"))
 
@@ -50,5 +60,5 @@ def op10_zstd_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_report(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hyperminhash_dedup, op3_prefix_filtered_decontamination, op5_sainte_lague_mixing, op6_virtual_slot_sharding, op7_weak_supervision_quality, op8_difference_cover_dedup, op9_whole_token_counts, op10_zstd_warc)}
+QUERIES = {f.__name__: f for f in (op1_hyperminhash_dedup, op2_quotation_linking, op3_prefix_filtered_decontamination, op4_feistel_pseudonyms, op5_sainte_lague_mixing, op6_virtual_slot_sharding, op7_weak_supervision_quality, op8_difference_cover_dedup, op9_whole_token_counts, op10_zstd_warc)}
 ORACLE_SQL: dict[str, str] = {}

@@ -46,7 +46,7 @@ def train_dictionary(pages: DataFrame) -> bytes:
     n = pages.count()
     share = min(1.0, 4 * SAMPLE_PAGES / max(n, 1))
     h = F.xxhash64("page_id")
-    near = pages.where(h <= F.lit(int(-(2**63) + share * (2**64 - 1)))).where(F.length("html") > 0)
+    near = pages.where(h <= F.lit(min(int(-(2**63) + share * 2**64), 2**63 - 1))).where(F.length("html") > 0)
     sample = near.select(F.substring(F.encode("html", "UTF-8"), 1, SAMPLE_BYTES).alias("b"), h.alias("h")).orderBy("h", "b").limit(SAMPLE_PAGES)
     pieces = [bytes(r["b"]) for r in sample.collect()]  # at most SAMPLE_PAGES x SAMPLE_BYTES
     try:
