@@ -7,8 +7,9 @@
    times under different hashes, which keeps the Jaccard similarity and fills the registers.
 3. BANDS bands of compressed registers are hashed to keys. All nodes of a key are compared with
    the key's smallest node, first only through the pair with the most common bands. What is
-   still in different components but shares a key is then paired completely, so a large group
-   of near copies costs about one comparison a member and no link between components is lost.
+   still in different components but shares a key is then compared completely, sketch by
+   sketch in blocks, so a large group of near copies costs about one comparison a member, no
+   link between components is lost and only likely pairs are written.
 4. Pairs whose collision-corrected estimate is far below the threshold are dropped; the rest
    are confirmed on the full sets. Components of the confirmed links give the groups.
 
@@ -42,6 +43,8 @@ COLLISION = 0.169919 / (1 << MANTISSA)
 MARGIN = 0.30
 #: Members of a pivot that one task compares.
 MEMBERS = 512
+#: Members of a key that are compared as one block.
+BLOCK = 1024
 
 SET = "doc_id long, key string, n_shingles long, fp binary, small binary, large binary"
 
@@ -143,6 +146,56 @@ def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.mapInArrow(read, pairs.schema)
 
 
+def crossing_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): the pairs of a key in different components whose estimate leaves a link possible.
+
+    members: (key, fp, component, n), n the members of the key. A key's members fall into blocks
+    of about BLOCK, and every pair of blocks is one group, so no task holds more than two blocks
+    and only pairs that pass are written.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    placed = members.join(nodes.select("fp", "n_shingles", "small", "large"), "fp").withColumn("block", F.pmod(F.xxhash64("fp"), blocks).cast("int"))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    groups = spread.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "fp", "component", "n_shingles", "small", "large").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "block")
+
+    def compare(rows: list[tuple]) -> pa.RecordBatch:
+        block, fp, component, n, *regs = zip(*rows, strict=True)
+        block, n = np.array(block), np.array(n)
+        label = np.unique(np.array(component, object), return_inverse=True)[1]
+        known = [np.array([x is not None for x in r]) for r in regs]
+        value = [np.frombuffer(b"".join(x or bytes(2 * REGISTERS) for x in r), np.uint16).reshape(-1, REGISTERS) for r in regs]
+        crossing = block[0] != block[-1]
+        out = []
+        for i in range(len(rows)):
+            j = np.arange(i + 1, len(rows))
+            j = j[(label[j] != label[i]) & (100 * np.minimum(n[j], n[i]) >= THRESHOLD * np.maximum(n[j], n[i]))]
+            if crossing:
+                j = j[block[j] != block[i]]
+            passes = np.zeros(len(j), bool)
+            for k, v in zip(known, value, strict=True):
+                if k[i]:
+                    seen = ((v[j] != EMPTY) | (v[i] != EMPTY)).sum(axis=1)
+                    agree = ((v[j] == v[i]) & (v[j] != EMPTY)).sum(axis=1)
+                    passes |= k[j] & ((agree - COLLISION * seen) / ((1 - COLLISION) * np.maximum(seen, 1)) >= THRESHOLD / 100 - MARGIN)
+            out += [(max(fp[i], fp[x]), min(fp[i], fp[x])) for x in j[passes]]
+        columns = zip(*out, strict=True) if out else ([], [])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["a", "b"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, place = [], None
+        for batch in batches:
+            for key, lo, hi, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if place != (key, lo, hi):
+                    if len(held) > 1:
+                        yield compare(held)
+                    held, place = [], (key, lo, hi)
+                held.append(tuple(row))
+        if len(held) > 1:
+            yield compare(held)
+
+    return groups.mapInArrow(read, "a binary, b binary")
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(fp, set) for the wanted (doc_id, fp): their texts again, cut to the rows that have this fingerprint."""
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted.select(F.col("doc_id"), "fp"), F.col("id").eqNullSafe(F.col("doc_id"))).select("fp", "text")
@@ -235,11 +288,9 @@ def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = stage(confirmed(best, sets), "links")
     groups = connected_components(links, "a", "b")
     placed = members.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("component"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
-    apart = placed.join(open_keys, "key")
-    other = apart.select("key", F.col("fp").alias("b"), F.col("component").alias("component_b"))
-    rest = apart.select("key", F.col("fp").alias("a"), F.col("component").alias("component_a")).join(other, "key").where("component_a < component_b").select("a", "b").distinct()
-    more = stage(confirmed(estimated(rest, nodes), sets), "links")
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n")).where("c0 <> c1").select("key", "n")
+    rest = crossing_pairs(placed.join(open_keys, "key"), nodes).distinct()
+    more = stage(confirmed(rest, sets), "links")
     groups = connected_components(links.unionByName(more), "a", "b")
 
     whole = nodes.select("fp", "doc_id").join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "doc_id", F.coalesce("component", "fp").alias("component"))
