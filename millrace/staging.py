@@ -7,6 +7,7 @@ executor costs the tasks that ran on it and never the lineage above the staged t
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -47,3 +48,12 @@ def discard(spark: SparkSession, *frames: DataFrame) -> None:
         for file in df.inputFiles()[:1]:
             folder = hadoop.Path(file).getParent()
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of steps whose results are staged.
+
+    It acts when the driver collects its garbage, which a large heap may put off for long.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
