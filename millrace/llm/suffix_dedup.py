@@ -7,13 +7,15 @@ for equal strings of LENGTH bytes and takes about one position in 35:
 
 1. Sample: the positions whose GRAM-byte hash is smallest in some run of LENGTH - GRAM + 1. Every
    string of LENGTH bytes holds one, and equal strings hold it at the same place.
-2. Sort the sampled tuples, which are a name (of the gram) and the name of all bytes that a
-   string through this position can reach, by name, reach and place. Neighbours with equal
-   names and reach are one suffix as far as LENGTH bytes go: all but the earliest are removed.
-3. Recurse where a name has several reaches, which is only at the ends of repeats: there the
-   remaining suffixes, that is every start of a string through the sampled position, are named
-   and merged into one order.
-4. Compare adjacent entries: a string equal to its predecessor occurs earlier.
+2. Sort the sampled suffixes by name (the bytes that all strings through the position share),
+   reach (all bytes that such strings cover) and place. Neighbours with equal names and reach
+   are one suffix as far as LENGTH bytes go: all but the earliest are removed.
+3. Recurse where a name has several reaches, which is only at the ends of repeats: the strings
+   through the position fall into ZONES by their start, each with a longer name and a shorter
+   reach, and are sorted as before.
+4. The remaining suffixes, the single strings of zones that still have several reaches, are
+   merged into one order, and adjacent entries are compared: a string equal to its predecessor
+   occurs earlier.
 
 Order is that of doc_id, then of start. Sorting is by hash partition and streams, so a task
 holds one row of a group and never the group.
@@ -30,11 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.text_hashing import U, _table, chunks, mix, powers, text_buffer
-from millrace.staging import discard, stage
+from millrace.staging import discard, release, stage
 
 LENGTH = 100
 GRAM = 32
 RUN = LENGTH - GRAM + 1
+#: Distances from a string's start to the sampled position, by zone; then the whole range, and a single string.
+ZONES = 4
+FROM = np.array([RUN * z // ZONES for z in range(ZONES)] + [0, 0])
+TO = np.array([RUN * (z + 1) // ZONES - 1 for z in range(ZONES)] + [RUN - 1, 0])
+WHOLE, SINGLE = ZONES, ZONES + 1
 
 
 def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -77,10 +84,14 @@ def sample(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     padded = np.concatenate([np.zeros(RUN - 1, U), low, np.zeros(RUN - 1, U)])
     p = np.flatnonzero(_sliding(padded, RUN, np.maximum)[: len(name)] == name)
     row = np.searchsorted(ends, p, side="right") - 1
-    left, right = np.maximum(ends[row], p - (LENGTH - GRAM)), np.minimum(ends[row + 1], p + LENGTH)
+    return row, p - ends[row], name[p], reach(sums, p, WHOLE, ends[row], ends[row + 1])
+
+
+def reach(sums: Sums, p: np.ndarray, zone, low, high) -> np.ndarray:
+    """Name of all bytes of the text low to high that strings of the zone through p cover."""
+    left, right = np.maximum(low, p - TO[zone]), np.minimum(high, p - FROM[zone] + LENGTH)
     with np.errstate(over="ignore"):
-        reach = mix(sums.hash(left, right) + (p - left).astype(U))
-    return row, p - ends[row], name[p], reach
+        return mix(sums.hash(left, right) + (p - left).astype(U))
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -98,8 +109,9 @@ def numbered(docs: DataFrame) -> DataFrame:
     return keyed.join(places, F.struct("doc_id", "key").eqNullSafe(F.col("row"))).select("place", "doc_id", "text")
 
 
-SAMPLED = "name long, reach long, place long, pos int"
-SPANS = "place long, start int, stop int, open boolean"
+#: mark: position * 8 + zone
+SAMPLED = "name long, reach long, place long, mark long"
+SPANS = "place long, mark long, open boolean"
 
 
 def sampled(texts: DataFrame) -> DataFrame:
@@ -109,32 +121,32 @@ def sampled(texts: DataFrame) -> DataFrame:
             place = batch.column("place").to_numpy(zero_copy_only=False)
             for first, last in chunks(ends):
                 row, pos, name, reach = sample(data[ends[first] : ends[last]], ends[first : last + 1] - ends[first])
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(reach.view(np.int64)), pa.array(place[first + row]), pa.array(pos.astype(np.int32))], ["name", "reach", "place", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(reach.view(np.int64)), pa.array(place[first + row]), pa.array(pos * 8 + WHOLE)], ["name", "reach", "place", "mark"])
 
     return texts.select("place", "text").mapInArrow(read, SAMPLED)
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
     """Of the sampled positions: spans of those equal to an earlier one, and the open ones, the first of their reach under a name with several."""
-    ordered = rows.repartition("name").sortWithinPartitions("name", "reach", "place", "pos")
+    ordered = rows.repartition("name").sortWithinPartitions("name", "reach", "place", "mark")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last row so far: name, reach, place, pos, whether first of its reach, whether its name had an earlier reach
-        waiting = None  # (name, place, pos) of the first reach of the name at the end
+        held = None  # name and reach of the last row so far
+        waiting = None  # (place, mark) of the first reach of that name, until another one comes
 
-        def out(place, pos, is_open):
-            return pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(pos, pa.int32()), pa.array(np.asarray(pos) + 0, pa.int32()), pa.array(np.full(len(place), is_open))], ["place", "start", "stop", "open"])
+        def out(place, mark, is_open):
+            return pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(mark, pa.int64()), pa.array(np.full(len(place), is_open))], ["place", "mark", "open"])
 
         for batch in batches:
             if not len(batch):
                 continue
-            name, reach, place, pos = (batch.column(c).to_numpy() for c in ("name", "reach", "place", "pos"))
+            name, reached, place, mark = (batch.column(c).to_numpy() for c in ("name", "reach", "place", "mark"))
             same_name = np.empty(len(name), bool)
             same_name[1:] = name[1:] == name[:-1]
             same_name[0] = held is not None and held[0] == name[0]
             same = same_name.copy()
-            same[1:] &= reach[1:] == reach[:-1]
-            same[0] = same_name[0] and held[1] == reach[0]
+            same[1:] &= reached[1:] == reached[:-1]
+            same[0] = same_name[0] and held[1] == reached[0]
             later = same_name & ~same  # the first of a further reach of its name
             lead = np.flatnonzero(~same_name)
             # the first reach of a name is open if a further one follows
@@ -147,39 +159,60 @@ def neighbours(rows: DataFrame) -> DataFrame:
                 yield out([waiting[0]], [waiting[1]], True)
                 waiting = None
             if len(lead):
-                waiting = None if further[group[-1]] else (place[lead[-1]], pos[lead[-1]])
+                waiting = None if further[group[-1]] else (place[lead[-1]], mark[lead[-1]])
             if same.any():
-                yield out(place[same], pos[same], False)
+                yield out(place[same], mark[same], False)
             if opens.any():
-                yield out(place[opens], pos[opens], True)
-            held = (name[-1], reach[-1])
+                yield out(place[opens], mark[opens], True)
+            held = (name[-1], reached[-1])
 
     return ordered.mapInArrow(read, SPANS)
 
 
-def remaining(texts: DataFrame, opens: DataFrame) -> DataFrame:
-    """(h1, h2, place, start) of every string through an open position."""
-    at = opens.groupBy("place").agg(F.collect_set("start").alias("at"))
-    met = texts.join(at, "place").select("place", "text", "at")
+def _with_texts(texts: DataFrame, opens: DataFrame) -> DataFrame:
+    return texts.join(opens.groupBy("place").agg(F.collect_list("mark").alias("marks")), "place").select("place", "text", "marks")
+
+
+def zoned(texts: DataFrame, opens: DataFrame) -> DataFrame:
+    """The zones of the open positions, named as the samples are."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, ends = text_buffer(batch.column("text"))
             for i, place in enumerate(batch.column("place").to_pylist()):
                 text = data[ends[i] : ends[i + 1]]
-                p = batch.column("at")[i].values.to_numpy()
-                mark = np.zeros(len(text) + 1, np.int32)
-                np.add.at(mark, np.maximum(p - (LENGTH - GRAM), 0), 1)
-                np.add.at(mark, np.minimum(p, len(text) - LENGTH) + 1, -1)
-                start = np.flatnonzero(np.cumsum(mark)[:-1] > 0)
+                p, zone = np.repeat(batch.column("marks")[i].values.to_numpy() >> 3, ZONES), np.tile(np.arange(ZONES), len(batch.column("marks")[i].values))
+                real = (np.maximum(FROM[zone], p + LENGTH - len(text)) <= np.minimum(TO[zone], p))
+                p, zone = p[real], zone[real]
+                sums = Sums(text)
+                with np.errstate(over="ignore"):
+                    name = mix(sums.hash(p - FROM[zone], p - TO[zone] + LENGTH) + zone.astype(U))
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(reach(sums, p, zone, 0, len(text)).view(np.int64)), pa.array(np.full(len(p), place, np.int64)), pa.array(p * 8 + zone)], ["name", "reach", "place", "mark"])
+
+    return _with_texts(texts, opens).mapInArrow(read, SAMPLED)
+
+
+def remaining(texts: DataFrame, opens: DataFrame) -> DataFrame:
+    """(h1, h2, place, start) of every string of the open zones."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, ends = text_buffer(batch.column("text"))
+            for i, place in enumerate(batch.column("place").to_pylist()):
+                text, marks = data[ends[i] : ends[i + 1]], batch.column("marks")[i].values.to_numpy()
+                p, zone = marks >> 3, marks & 7
+                wanted = np.zeros(len(text) + 1, np.int32)
+                np.add.at(wanted, np.maximum(p - TO[zone], 0), 1)
+                np.add.at(wanted, np.minimum(p - FROM[zone], len(text) - LENGTH) + 1, -1)
+                start = np.flatnonzero(np.cumsum(wanted)[:-1] > 0)
                 one, two = (Sums(text, t).hash(start, start + LENGTH).view(np.int64) for t in (_table, _second))
-                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(np.full(len(start), place, np.int64)), pa.array(start.astype(np.int32))], ["h1", "h2", "place", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(np.full(len(start), place, np.int64)), pa.array(start.astype(np.int64))], ["h1", "h2", "place", "start"])
 
-    return met.mapInArrow(read, "h1 long, h2 long, place long, start int")
+    return _with_texts(texts, opens).mapInArrow(read, "h1 long, h2 long, place long, start long")
 
 
 def adjacent(strings: DataFrame) -> DataFrame:
-    """(place, start) of the strings equal to their predecessor in the merged order."""
+    """(place, mark) of the strings equal to their predecessor in the merged order."""
     ordered = strings.repartition("h1").sortWithinPartitions("h1", "h2", "place", "start")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,9 +225,9 @@ def adjacent(strings: DataFrame) -> DataFrame:
             same[1:] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
             same[0] = held == (a[0], b[0])
             held = (a[-1], b[-1])
-            yield batch.select(["place", "start"]).filter(pa.array(same))
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column("place").to_numpy()[same]), pa.array(batch.column("start").to_numpy()[same] * 8 + SINGLE)], ["place", "mark"])
 
-    return ordered.mapInArrow(read, "place long, start int")
+    return ordered.mapInArrow(read, "place long, mark long")
 
 
 def merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,26 +241,28 @@ def merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The numbered texts, and staged (place, spans) of what to remove from them."""
-    texts = numbered(docs)
-    first = stage(neighbours(sampled(texts)), "first")
-    again = adjacent(remaining(texts, first.where("open").select("place", "start"))).withColumn("kind", F.lit(1))
-    spans = first.where("not open").select("place", "start", F.lit(0).alias("kind")).unionByName(again)
-    spans = stage(spans.groupBy("place").agg(F.collect_list(F.struct("start", "kind")).alias("spans")), "spans")
-    discard(docs.sparkSession, first)
+    spark, texts = docs.sparkSession, numbered(docs)
+    steps = [stage(neighbours(sampled(texts)), "samples")]
+    release(spark)
+    steps.append(stage(neighbours(zoned(texts, steps[0].where("open"))), "zones"))
+    release(spark)
+    again = adjacent(remaining(texts, steps[1].where("open")))
+    spans = stage(again.unionByName(steps[0].where("not open").drop("open")).unionByName(steps[1].where("not open").drop("open")).groupBy("place").agg(F.collect_list("mark").alias("spans")), "spans")
+    discard(spark, *steps)
+    release(spark)
     return texts, spans
 
 
-def _cut(text: np.ndarray, spans: pa.StructArray | None) -> tuple[bytes, int, int]:
+def _cut(text: np.ndarray, marks: np.ndarray | None) -> tuple[bytes, int, int]:
     """(what is left, bytes removed, runs removed)."""
-    if spans is None or not len(spans):
+    if marks is None or not len(marks):
         return text.tobytes(), 0, 0
-    at, kind = spans.field("start").to_numpy().astype(np.int64), spans.field("kind").to_numpy()
-    # a whole reach (kind 0) or one string (kind 1)
-    start, stop = merged(np.where(kind == 0, np.maximum(at - (LENGTH - GRAM), 0), at), np.minimum(at + LENGTH, len(text)))
-    mark = np.zeros(len(text) + 1, np.int8)
-    mark[start] += 1
-    mark[stop] -= 1
-    return text[np.cumsum(mark[:-1]) == 0].tobytes(), int((stop - start).sum()), len(start)
+    p, zone = marks >> 3, marks & 7
+    start, stop = merged(np.maximum(p - TO[zone], 0), np.minimum(p - FROM[zone] + LENGTH, len(text)))
+    edge = np.zeros(len(text) + 1, np.int8)
+    edge[start] += 1
+    edge[stop] -= 1
+    return text[np.cumsum(edge[:-1]) == 0].tobytes(), int((stop - start).sum()), len(start)
 
 
 def _apply(docs: DataFrame, what, schema: str, columns: list[str]) -> DataFrame:
@@ -237,7 +272,7 @@ def _apply(docs: DataFrame, what, schema: str, columns: list[str]) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, ends = text_buffer(batch.column("text"))
-            rows = [what(data[ends[i] : ends[i + 1]], *_cut(data[ends[i] : ends[i + 1]], s.values if s.is_valid else None)) for i, s in enumerate(batch.column("spans"))]
+            rows = [what(data[ends[i] : ends[i + 1]], *_cut(data[ends[i] : ends[i + 1]], s.values.to_numpy() if s.is_valid else None)) for i, s in enumerate(batch.column("spans"))]
             made = zip(*rows, strict=True) if rows else [[] for _ in columns]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c) for c in made)], ["doc_id", *columns])
 
