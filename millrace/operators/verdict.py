@@ -11,14 +11,13 @@ SUSPICIOUS_SCORE = 20
 def conflicts(flows: DataFrame, tenant: str = "tenant") -> DataFrame:
     """(tenant, flow_id, kind, severity): a row for each kind of conflict that the flow's events show."""
     events = F.col("events")
-    allowed, blocked = F.filter(events, lambda e: e["action"] == "allowed"), F.filter(events, lambda e: e["action"] == "blocked")
-    decided = F.array_distinct(F.transform(F.filter(events, lambda e: e["action"].isin("allowed", "blocked")), lambda e: e["action"]))
-    low = F.exists(events, lambda e: (e["layer_ord"] == 1) & (e["score"] < SUSPICIOUS_SCORE))
-    edge_low = F.exists(events, lambda e: (e["layer_ord"] == 0) & (e["score"] < SUSPICIOUS_SCORE))
+    allowed, blocked = F.filter(events, lambda e: e["action"] == "allowed"), F.filter(events, lambda e: e["action"].isin("blocked", "challenge_failed"))
+    low = lambda ord_: F.exists(allowed, lambda e: (e["layer_ord"] == ord_) & (e["score"] < SUSPICIOUS_SCORE))
+    both = (F.size(allowed) > 0) & (F.size(blocked) > 0)
     kinds = F.array_compact(F.array(
-        F.when((F.col("effective_outcome") == "allowed") & low, F.struct(F.lit("score_conflict").alias("kind"), F.lit("medium").alias("severity"))).when((F.col("effective_outcome") == "allowed") & edge_low, F.struct(F.lit("score_conflict").alias("kind"), F.lit("low").alias("severity"))),
-        F.when(F.size(decided) > 1, F.struct(F.lit("layer_disagreement").alias("kind"), F.lit("medium").alias("severity"))),
-        F.when((F.size(allowed) > 0) & (F.size(blocked) > 0) & (F.get(blocked, 0)["pos"] > F.get(allowed, 0)["pos"]), F.struct(F.lit("blocked_after_allow").alias("kind"), F.lit("high").alias("severity"))),
+        F.when(low(1), F.struct(F.lit("score_conflict").alias("kind"), F.lit("medium").alias("severity"))).when(low(0), F.struct(F.lit("score_conflict").alias("kind"), F.lit("low").alias("severity"))),
+        F.when(both, F.struct(F.lit("layer_disagreement").alias("kind"), F.lit("medium").alias("severity"))),
+        F.when(both & (F.get(blocked, 0)["pos"] > F.get(allowed, 0)["pos"]), F.struct(F.lit("blocked_after_allow").alias("kind"), F.lit("high").alias("severity"))),
         F.when(F.exists(events, lambda e: ~e["mapped"]), F.struct(F.lit("unmapped_action").alias("kind"), F.lit("low").alias("severity"))),
     ))
     return flows.select(tenant, "flow_id", F.explode(kinds).alias("c")).select(tenant, "flow_id", "c.kind", "c.severity")

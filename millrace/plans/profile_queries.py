@@ -1,0 +1,252 @@
+"""Registered queries over pages, documents and other tables: parsing, profiling, retention, ingest."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.functions import identifiers, parsers, quality, values
+from millrace.operators import filters, profile, retention, stats
+from millrace.sources.driver_tables import LOG_SQL, request_log, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str, head: str = ""):
+    def register(f):
+        QUERIES[f.__name__] = f
+        ORACLE_SQL[f.__name__] = f"WITH {head} {sql}" if head else sql
+        return f
+
+    return register
+
+
+def urls(spark: SparkSession, d: str) -> DataFrame:
+    u = F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1)
+    rest = F.regexp_replace(F.regexp_replace("url", r"^[a-z]+://[^/?#]*", ""), r"#.*$", "")
+    return table(spark, d, "pages").select("page_id", u.alias("host"), values.uri_path(rest).alias("path"), values.uri_query(rest).alias("query"))
+
+
+URL_SQL = """u AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_replace(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '#.*$', '') AS rest FROM pages),
+urls AS (SELECT page_id, host, split_part(rest, '?', 1) AS path, CASE WHEN contains(rest, '?') AND rest NOT LIKE '%?' THEN substr(rest, instr(rest, '?') + 1) END AS query FROM u),
+pair AS (SELECT page_id, host, path, unnest(string_split(query, '&')) AS p FROM urls WHERE query IS NOT NULL),
+params AS (SELECT page_id, host, path, split_part(p, '=', 1) AS name, CASE WHEN contains(p, '=') THEN substr(p, instr(p, '=') + 1) ELSE '' END AS value FROM pair WHERE p <> ''),
+typed AS (SELECT *, CASE WHEN value = '' THEN 'empty' WHEN lower(value) IN ('true', 'false') THEN 'bool' WHEN regexp_full_match(value, '-?[0-9]+') THEN 'int' WHEN regexp_full_match(value, '-?[0-9]+\\.[0-9]+') THEN 'float' WHEN regexp_full_match(value, '[0-9A-Fa-f]{8,}') THEN 'hex' WHEN regexp_full_match(value, '[0-9A-Za-z]+') THEN 'alnum' ELSE 'freetext' END AS kind FROM params)"""
+
+
+@query("SELECT page_id, host, path, query FROM urls", URL_SQL)
+def url_parts(spark, d):
+    return urls(spark, d)
+
+
+@query("SELECT page_id, name, value FROM params", URL_SQL)
+def query_params(spark, d):
+    return profile.parameters(urls(spark, d)).select("page_id", "name", "value")
+
+
+@query("SELECT kind, count(*) AS n FROM typed GROUP BY kind", URL_SQL)
+def param_type_inference(spark, d):
+    return profile.parameters(urls(spark, d)).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT host, name, CASE WHEN len(ks) = 0 THEN 'empty' WHEN len(ks) = 1 THEN ks[1] WHEN list_sort(ks) = ['float', 'int'] THEN 'float' WHEN list_sort(ks) = ['hex', 'int'] THEN 'hex' WHEN len(list_filter(ks, lambda k: k NOT IN ('bool', 'int', 'hex', 'alnum'))) = 0 THEN 'alnum' ELSE 'freetext' END AS inferred_type, observations, min_len, max_len, least(k, 64) AS distinct_estimate, k > 64 AS enum_overflowed, present_count FROM (SELECT host, name, coalesce(list(DISTINCT kind) FILTER (WHERE kind <> 'empty'), []) AS ks, count(*) AS observations, min(length(value)) AS min_len, max(length(value)) AS max_len, count(DISTINCT value) AS k, count(DISTINCT page_id) AS present_count FROM typed GROUP BY host, name)", URL_SQL)
+def param_profile(spark, d):
+    return profile.parameter_profile(profile.parameters(urls(spark, d)), ["host"]).select("host", "name", "inferred_type", "observations", F.col("min_len").cast("bigint").alias("min_len"), F.col("max_len").cast("bigint").alias("max_len"), "distinct_estimate", "enum_overflowed", "present_count")
+
+
+@query("SELECT p.host, p.name, round(p.present / e.n, 6) AS presence FROM (SELECT host, name, count(DISTINCT page_id) AS present FROM params GROUP BY host, name) p JOIN (SELECT host, count(*) AS n FROM urls GROUP BY host) e ON e.host = p.host", URL_SQL)
+def param_presence(spark, d):
+    u = urls(spark, d)
+    present = profile.parameters(u).groupBy("host", "name").agg(F.countDistinct("page_id").alias("present"))
+    return present.join(u.groupBy("host").agg(F.count("*").alias("n")), "host").select("host", "name", F.round(F.col("present") / F.col("n"), 6).alias("presence"))
+
+
+@query("SELECT name, value, count(*) AS n FROM params WHERE name IN (SELECT name FROM params GROUP BY name HAVING count(DISTINCT value) <= 64) GROUP BY ALL", URL_SQL)
+def param_enums(spark, d):
+    return profile.enum_values(profile.parameters(urls(spark, d)), [])
+
+
+@query("SELECT name, kind, n, round(n / sum(n) OVER (PARTITION BY name), 6) AS share FROM (SELECT name, kind, count(*) AS n FROM typed GROUP BY ALL)", URL_SQL)
+def type_composition(spark, d):
+    return stats.shares(profile.parameters(urls(spark, d)), ["name"], "kind")
+
+
+def observed_pages(spark, d):
+    """One scope: every page is seen on one host, so that positions have enough samples."""
+    return urls(spark, d).withColumn("scope", F.lit("all")).withColumn("seen_us", F.col("page_id") * 1000).withColumn("provider", F.when(F.col("page_id") % 2 == 0, "cloudflare").otherwise("nginx")).withColumn("query_length", F.length("query"))
+
+
+# Positions of the path, level by level as the templates are learned; three levels are all that the pages have.
+TEMPLATE_SQL = (
+    URL_SQL
+    + """,
+seg AS (SELECT page_id, query, list_filter(string_split(path, '/'), lambda s: s <> '') AS s FROM urls),
+s0 AS (SELECT *, '/' AS p0 FROM seg),"""
+    + ",".join(
+        f"""
+k{i} AS (SELECT p{i}, v, n, CASE WHEN regexp_full_match(v, '-?[0-9]+') THEN 'int' WHEN regexp_full_match(v, '[0-9A-Fa-f]{{8,}}') THEN 'hex' ELSE 'other' END AS kind FROM (SELECT p{i}, s[{i + 1}] AS v, count(*) AS n FROM s{i} WHERE len(s) > {i} GROUP BY ALL)),
+g{i} AS (SELECT p{i}, kind, sum(n) AS n, count(*) AS k, count(*) FILTER (WHERE n = 1) AS ones FROM k{i} GROUP BY ALL),
+t{i} AS (SELECT p{i}, sum(n) AS n, sum(k) AS k, sum(ones) AS ones, max(n) AS most, arg_max(kind, n) AS kind FROM g{i} GROUP BY p{i}),
+c{i} AS (SELECT p{i}, CASE WHEN n >= 64 AND k >= 8 AND most / n >= 0.9 AND kind <> 'other' THEN kind WHEN k > 64 AND n >= 256 AND ones / k >= 0.85 THEN 'var' END AS kind FROM t{i}),
+s{i + 1} AS (SELECT s{i}.*, CASE WHEN len(s) <= {i} THEN s{i}.p{i} ELSE (CASE WHEN s{i}.p{i} = '/' THEN '' ELSE s{i}.p{i} END) || '/' || CASE WHEN c{i}.kind = 'var' OR (c{i}.kind = 'int' AND regexp_full_match(s[{i + 1}], '-?[0-9]+')) OR (c{i}.kind = 'hex' AND regexp_full_match(s[{i + 1}], '-?[0-9]+|[0-9A-Fa-f]{{8,}}')) THEN '{{' || c{i}.kind || '}}' ELSE s[{i + 1}] END END AS p{i + 1} FROM s{i} LEFT JOIN c{i} ON c{i}.p{i} = s{i}.p{i} AND c{i}.kind IS NOT NULL)"""
+        for i in range(3)
+    )
+)
+
+
+@query("SELECT page_id, p3 AS template FROM s3", TEMPLATE_SQL)
+def path_templates(spark, d):
+    return profile.learn_templates(observed_pages(spark, d), ["scope"]).select("page_id", "template")
+
+
+@query("SELECT template, count(*) AS observations, min(page_id) * 1000 AS first_us, max(page_id) * 1000 AS last_us, max(length(query)) AS max_query_length, CASE WHEN bool_or(page_id % 2 = 0) AND bool_or(page_id % 2 = 1) THEN 'cloudflare nginx' WHEN bool_or(page_id % 2 = 0) THEN 'cloudflare' ELSE 'nginx' END AS providers FROM (SELECT page_id, query, p3 AS template FROM s3) GROUP BY template", TEMPLATE_SQL)
+def endpoint_profile(spark, d):
+    out = profile.endpoint_profile(profile.learn_templates(observed_pages(spark, d), ["scope"]), ["scope"])
+    return out.select("template", "observations", "first_us", "last_us", F.col("max_query_length").cast("bigint").alias("max_query_length"), F.array_join("providers", " ").alias("providers"))
+
+
+@query("SELECT host, count(*) AS endpoints, sum(n)::BIGINT AS observations, max(last_us) AS last_us FROM (SELECT host, path, count(*) AS n, max(event_us) AS last_us FROM log GROUP BY ALL) GROUP BY host", LOG_SQL)
+def host_stats(spark, d):
+    return profile.host_stats(_log_profiles(spark, d))
+
+
+def _log_profiles(spark, d):
+    log = request_log(spark, d).withColumn("template", F.col("path")).withColumn("seen_us", F.col("event_us"))
+    return profile.endpoint_profile(log, ["host"])
+
+
+@query("SELECT host, path AS template, observations FROM (SELECT host, path, count(*) AS observations FROM log GROUP BY ALL) WHERE observations >= 20 AND path ILIKE '%/P/1%' ORDER BY observations DESC, host, path LIMIT 15 OFFSET 5", LOG_SQL)
+def profile_list(spark, d):
+    return profile.profile_list(_log_profiles(spark, d), 20, q="/P/1", limit=15, offset=5).select("host", "template", "observations")
+
+
+@query("SELECT host, path AS template, count(*) AS observations, min(event_us) AS first_us, max(event_us) AS last_us FROM log GROUP BY ALL", LOG_SQL)
+def profile_merge(spark, d):
+    log = request_log(spark, d).withColumn("template", F.col("path")).withColumn("seen_us", F.col("event_us"))
+    parts = [profile.endpoint_profile(log.where(c), ["host"]) for c in ("event_id % 2 = 0", "event_id % 2 = 1")]
+    return profile.merge_profiles(parts[0].unionByName(parts[1]), ["host"]).drop("providers")
+
+
+@query("SELECT host, path AS template, CAST(status AS BIGINT) AS status, count(*) AS n FROM log WHERE status IS NOT NULL GROUP BY ALL", LOG_SQL)
+def status_histogram(spark, d):
+    log = request_log(spark, d).withColumn("template", F.col("path"))
+    return profile.status_histogram(log, ["host"]).withColumn("status", F.col("status").cast("bigint"))
+
+
+@query("SELECT host, path AS template, CASE WHEN max(event_id) >= 5000 THEN max(event_id) ELSE -1 END AS version FROM log GROUP BY ALL", LOG_SQL)
+def profile_upsert(spark, d):
+    log = request_log(spark, d).withColumn("template", F.col("path"))
+    stored = log.groupBy("host", "template").agg(F.lit(-1).cast("bigint").alias("version"))
+    new = log.where("event_id >= 5000").groupBy("host", "template").agg(F.max("event_id").alias("version"))
+    return profile.upsert(stored, new, ["host", "template"])
+
+
+@query("SELECT page_id, host FROM urls WHERE NOT (lower(host) LIKE '%.example.net' OR lower(path) LIKE '/en%' OR contains(lower(path), '42'))", URL_SQL)
+def ingest_filter(spark, d):
+    rules = [{"field": "request_host", "op": "suffix", "values": [".EXAMPLE.net"]}, {"field": "request_path", "op": "prefix", "values": ["/en"]}, {"field": "request_path", "op": "contains", "values": ["42"]}]
+    return urls(spark, d).where(~filters.drop_filter(rules)).select("page_id", "host")
+
+
+@query("SELECT page_id, host FROM urls WHERE (host = 'example.com' OR host LIKE '%.example.com' OR host = 'm.ththth.example.net') AND NOT path LIKE '/fr%'", URL_SQL)
+def host_allowlist(spark, d):
+    hosts = ["*.example.com", "m.ththth.example.net"]
+    return urls(spark, d).where(filters.host_allowed(F.col("host"), hosts) & ~filters.path_excluded(F.col("path"), ["/fr"])).select("page_id", "host")
+
+
+@query("SELECT k, count(*) AS n FROM (SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY k")
+def json_props_parse(spark, d):
+    return table(spark, d, "events").select(F.from_json("props", "k bigint").alias("p")).groupBy(F.col("p.k").alias("k")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, event_type AS kind, CAST(user_id AS VARCHAR) AS user FROM events")
+def kv_parse(spark, d):
+    e = table(spark, d, "events")
+    line = F.concat(F.lit('kind="first",user="'), F.col("user_id"), F.lit('",kind="'), F.col("event_type"), F.lit('"'))
+    kv = parsers.key_values(line)
+    return e.select("event_id", F.try_element_at(kv, F.lit("kind")).alias("kind"), F.try_element_at(kv, F.lit("user")).alias("user"))
+
+
+@query("SELECT doc_id, CASE WHEN lower(trim(v)) NOT IN ('', '-', 'na', 'n/a', 'null', 'nil', 'none', 'unknown', '0') THEN 'ray:' || trim(v) END AS ident FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN ' N/A ' WHEN 1 THEN '0' WHEN 2 THEN source ELSE ' ' || source || '-' || doc_id END AS v FROM documents)")
+def identifier_validation(spark, d):
+    v = F.when(F.col("doc_id") % 5 == 0, " N/A ").when(F.col("doc_id") % 5 == 1, "0").when(F.col("doc_id") % 5 == 2, F.col("source")).otherwise(F.concat(F.lit(" "), "source", F.lit("-"), "doc_id"))
+    return table(spark, d, "documents").select("doc_id", identifiers.identifier("ray", v).alias("ident"))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 2 THEN NULL ELSE epoch_us(ts) END AS us FROM events")
+def timestamp_parse(spark, d):
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    text = F.when(F.col("event_id") % 3 == 0, F.concat(us.cast("string"), F.lit("000"))).when(F.col("event_id") % 3 == 1, F.date_format(F.col("ts"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).otherwise("0")
+    return table(spark, d, "events").select("event_id", F.unix_micros(parsers.edge_timestamp(text)).alias("us"))
+
+
+@query("SELECT doc_id, CASE WHEN c THEN md5(regexp_replace(text, '\\bAKIA[0-9A-Z]{16}\\b', '[redacted:aws_key]', 'g')) ELSE md5(text) END AS redacted_md5, c AS had_key FROM (SELECT doc_id, text, regexp_matches(text, '\\bAKIA[0-9A-Z]{16}\\b') AS c FROM documents) WHERE NOT regexp_matches(text, '\\beyJ|[Bb][Ee][Aa][Rr][Ee][Rr]\\s|PRIVATE KEY')")
+def secret_redaction(spark, d):
+    docs = table(spark, d, "documents").where(~F.col("text").rlike(r"\beyJ|[Bb][Ee][Aa][Rr][Ee][Rr]\s|PRIVATE KEY"))
+    return docs.select("doc_id", F.md5(quality.redact(F.col("text"))).alias("redacted_md5"), quality.contains_secret(F.col("text")).alias("had_key"))
+
+
+@query("SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 2 ELSE 1 END AS masked FROM conversations")
+def masked_field_counts(spark, d):
+    headers = F.when(F.col("turn") % 3 == 0, F.create_map(F.lit("Cookie"), "text", F.lit("X-Other"), "role", F.lit("Host"), "role")).otherwise(F.create_map(F.lit("Authorization"), "text", F.lit("accept"), "role"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.size(quality.masked_header_names(headers)).alias("masked"))
+
+
+@query("SELECT c_custkey, 'tok_' || left(c_name, 0) AS prefix, 20 AS length FROM customer")
+def keyed_tokens(spark, d):
+    t = identifiers.keyed_token(F.col("c_name"), b"test key")
+    return table(spark, d, "customer").select("c_custkey", F.left(t, F.lit(4)).alias("prefix"), F.length(t).alias("length"))
+
+
+@query("SELECT event_id, CASE WHEN ahead > 86400000000 OR ahead < -2592000000000 THEN 'implausible' WHEN ahead > 1000000 THEN 'skewed' ELSE 'ok' END AS quality FROM (SELECT event_id, CAST(user_id AS BIGINT) * 40000000000 - 3000000000000 AS ahead FROM events)")
+def time_quality(spark, d):
+    now = F.lit(1704067200000000)
+    return table(spark, d, "events").select("event_id", quality.time_quality(now + F.col("user_id") * 40_000_000_000 - 3_000_000_000_000, now).alias("quality"))
+
+
+@query("SELECT o_orderkey, CASE WHEN age < 30 THEN 'hot' WHEN age < 365 THEN 'warm' WHEN age < 1080 THEN 'cold' ELSE 'expired' END AS tier FROM (SELECT o_orderkey, date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-08-02') AS age FROM orders)")
+def retention_tiers(spark, d):
+    age = F.datediff(F.to_date(F.lit("1998-08-02")), F.col("o_orderdate").cast("date"))
+    return table(spark, d, "orders").select("o_orderkey", retention.tier(age, 30, 335, 36).alias("tier"))
+
+
+HOLD_SQL = """hold(tenant, hold_id, from_day, to_day) AS (VALUES ('t0', 'h1', DATE '1995-01-01', DATE '1995-06-30'), ('t0', 'h2', DATE '1995-06-01', NULL), ('t1', 'h3', NULL, DATE '1993-12-31')),
+part AS (SELECT 't' || (o_custkey % 3) AS tenant, CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY ALL),
+held AS (SELECT part.*, (SELECT min(hold_id) FROM hold h WHERE h.tenant = part.tenant AND (from_day IS NULL OR day >= from_day) AND (to_day IS NULL OR day <= to_day)) AS hold_id FROM part)"""
+
+
+def _parts(spark, d):
+    parts = table(spark, d, "orders").groupBy(F.concat(F.lit("t"), F.col("o_custkey") % 3).alias("tenant"), F.col("o_orderdate").cast("date").alias("day")).agg(F.count("*").alias("n"))
+    holds = spark.createDataFrame([("t0", "h1", "1995-01-01", "1995-06-30", None), ("t0", "h2", "1995-06-01", None, None), ("t1", "h3", None, "1993-12-31", None), ("t2", "h4", None, None, "1998-01-01")], "tenant string, hold_id string, from_day string, to_day string, released_at string")
+    return parts, holds.withColumns({c: F.col(c).cast("date") for c in ("from_day", "to_day")})
+
+
+@query("SELECT tenant, hold_id, count(*) AS days, sum(n)::BIGINT AS n FROM held GROUP BY ALL", HOLD_SQL)
+def legal_hold_cover(spark, d):
+    return retention.held_by(*_parts(spark, d)).groupBy("tenant", "hold_id").agg(F.count("*").alias("days"), F.sum("n").alias("n"))
+
+
+@query("SELECT tenant, count(*) AS days, sum(n)::BIGINT AS n FROM held WHERE hold_id IS NULL AND date_diff('day', day, DATE '1998-08-02') >= 1080 GROUP BY tenant", HOLD_SQL)
+def retention_expiry(spark, d):
+    parts, holds = _parts(spark, d)
+    age = F.datediff(F.to_date(F.lit("1998-08-02")), F.col("day"))
+    return retention.expire(parts.withColumn("tier", retention.tier(age, 30, 335, 36)), holds).groupBy("tenant").agg(F.count("*").alias("days"), F.sum("n").alias("n"))
+
+
+@query("SELECT tenant, count(*) AS n FROM log WHERE event_us < 1706659200000000 - CASE tenant WHEN 't0' THEN 3 WHEN 't1' THEN 10 ELSE 7 END * 86400000000 GROUP BY tenant", LOG_SQL)
+def raw_expiry(spark, d):
+    tenants = spark.createDataFrame([("t0", 3), ("t1", 10), ("t2", None)], "tenant string, raw_retention_days int")
+    raw = request_log(spark, d).select("tenant", F.col("event_us").alias("received_us"))
+    return retention.raw_expiry(raw, tenants, 1_706_659_200_000_000).groupBy("tenant").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, 'cf:' || event_id AS event_key, event_id % 7 = 0 AS dead FROM events")
+def dead_letters(spark, d):
+    payload = F.when(F.col("event_id") % 7 == 0, "{broken").otherwise(F.to_json(F.struct(F.col("event_id").cast("string").alias("RayID"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("EdgeStartTimestamp"))))
+    raw = table(spark, d, "events").select("event_id", F.lit("t").alias("tenant"), F.lit("cloudflare").alias("provider"), F.col("ts").cast("timestamp").alias("received_at"), F.concat(payload, F.when(F.col("event_id") % 7 == 0, F.col("event_id").cast("string")).otherwise("")).alias("payload"))
+    good, dead = parsers.normalize(raw, {"cloudflare": parsers.parse_edge})
+    ok = good.select(F.substring("event_id", 4, 20).cast("bigint").alias("event_id"), F.col("event_id").alias("event_key"), F.lit(False).alias("dead"))
+    bad = dead.select(F.regexp_extract("payload", "([0-9]+)$", 1).cast("bigint").alias("event_id"))
+    return ok.unionByName(bad.select("event_id", F.concat(F.lit("cf:"), "event_id").alias("event_key"), F.lit(True).alias("dead")))
