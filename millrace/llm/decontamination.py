@@ -130,7 +130,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, Dat
     """
     spark = docs.sparkSession
     windows = stage(item_windows(benchmark), "windows")
-    tokens = windows.select("words", F.posexplode("tokens").alias("offset", "token"))
+    tokens = windows.select("words", "tokens").distinct().select("words", F.posexplode("tokens").alias("offset", "token"))
     sizes = tuple(sorted(min(TOKEN, r[0]) for r in windows.select(F.least(F.size("words"), F.lit(TOKEN)).alias("n")).distinct().collect()))  # at most TOKEN values
     sizes = sizes or (TOKEN,)  # an empty benchmark
     frequency = stage(token_frequencies(docs, bitmap(tokens), sizes), "frequency")
