@@ -131,7 +131,7 @@ def neighbours(rows: DataFrame) -> DataFrame:
     ordered = rows.repartition("name").sortWithinPartitions("name", "reach", "place", "mark")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # name and reach of the last row so far
+        held = None  # name, reach, place and mark of the last row so far
         waiting = None  # (place, mark) of the first reach of that name, until another one comes
 
         def out(place, mark, is_open):
@@ -147,6 +147,9 @@ def neighbours(rows: DataFrame) -> DataFrame:
             same = same_name.copy()
             same[1:] &= reached[1:] == reached[:-1]
             same[0] = same_name[0] and held[1] == reached[0]
+            repeat = same.copy()  # the same position of a repeated row
+            repeat[1:] &= (place[1:] == place[:-1]) & (mark[1:] == mark[:-1])
+            repeat[0] = same[0] and held[2:] == (place[0], mark[0])
             later = same_name & ~same  # the first of a further reach of its name
             lead = np.flatnonzero(~same_name)
             # the first reach of a name is open if a further one follows
@@ -160,11 +163,12 @@ def neighbours(rows: DataFrame) -> DataFrame:
                 waiting = None
             if len(lead):
                 waiting = None if further[group[-1]] else (place[lead[-1]], mark[lead[-1]])
+            same &= ~repeat
             if same.any():
                 yield out(place[same], mark[same], False)
             if opens.any():
                 yield out(place[opens], mark[opens], True)
-            held = (name[-1], reached[-1])
+            held = (name[-1], reached[-1], place[-1], mark[-1])
 
     return ordered.mapInArrow(read, SPANS)
 
@@ -220,12 +224,12 @@ def adjacent(strings: DataFrame) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            a, b = batch.column("h1").to_numpy(), batch.column("h2").to_numpy()
+            a, b, place, start = (batch.column(c).to_numpy() for c in ("h1", "h2", "place", "start"))
             same = np.empty(len(a), bool)
-            same[1:] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-            same[0] = held == (a[0], b[0])
-            held = (a[-1], b[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(batch.column("place").to_numpy()[same]), pa.array(batch.column("start").to_numpy()[same] * 8 + SINGLE)], ["place", "mark"])
+            same[1:] = (a[1:] == a[:-1]) & (b[1:] == b[:-1]) & ((place[1:] != place[:-1]) | (start[1:] != start[:-1]))
+            same[0] = held is not None and held[:2] == (a[0], b[0]) and held[2:] != (place[0], start[0])
+            held = (a[-1], b[-1], place[-1], start[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(place[same]), pa.array(start[same] * 8 + SINGLE)], ["place", "mark"])
 
     return ordered.mapInArrow(read, "place long, mark long")
 
