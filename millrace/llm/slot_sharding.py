@@ -13,7 +13,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.staging import new_path, stage
+from millrace.staging import new_path
 
 SLOTS = 4096
 
@@ -84,7 +84,8 @@ def shard(docs: DataFrame, shards: int = 8, slots: int = SLOTS, map_path: str |
     keep = docs.columns if keep is None else keep
     raw = F.coalesce(F.encode(F.col("text"), "UTF-8"), F.lit(b""))
     record = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("doc_id").alias("id"), (F.length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("crc"))
-    record = stage(record.withColumn("virtual_slot", F.pmod(F.xxhash64("id", "size", "crc"), F.lit(slots)).cast("int")), "records")
+    # a record's slot follows from the record, so the rows are read again and not written in between
+    record = record.withColumn("virtual_slot", F.pmod(F.xxhash64("id", "size", "crc"), F.lit(slots)).cast("int"))
     sums = {r["virtual_slot"]: (r["bytes"], r["n"]) for r in record.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}  # at most one row a slot
     first = SlotMap.dealt(shards, slots)
     chosen = first.rebalanced({s: b for s, (b, _) in sums.items()})
