@@ -33,8 +33,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of docs, then shard, slot and virtual_slot."""
-    return shard(docs).select(*[f"`{c}`" for c in docs.columns], "_sh.shard", "_sh.slot", "_sh.virtual_slot")
+    """The columns of docs, then shard, slot and virtual_slot, which replace columns of these names."""
+    added = ("shard", "slot", "virtual_slot")
+    return shard(docs).select(*[f"`{c}`" for c in docs.columns if c not in added], *[f"_sh.{c}" for c in added])
 
 
 STAGES = [
