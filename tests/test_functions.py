@@ -1,0 +1,117 @@
+"""Scalar functions: identifiers, masking, value types, parsers."""
+
+import itertools
+import ipaddress
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from millrace.functions import identifiers, parsers, quality, values
+
+
+def one(spark, rows, schema, *columns):
+    return [tuple(r) for r in spark.createDataFrame(rows, schema).select(*columns).collect()]
+
+
+def test_identifiers(spark):
+    rows = [(" ab ",), ("N/A",), ("0",), ("",), (None,), ("-",)]
+    assert [r[0] for r in one(spark, rows, "v string", identifiers.identifier("dd", F.col("v")))] == ["dd:ab", None, None, None, None, None]
+    assert [r[0] for r in one(spark, [("abc-FRA",), ("-",), ("-x",), (None,), (" q ",)], "v string", identifiers.ray_id(F.col("v")))] == ["abc", None, "-x", None, "q"]
+    assert one(spark, [("a:b:c",), ("none",)], "v string", identifiers.namespace_of(F.col("v")), identifiers.value_of(F.col("v"))) == [("a", "b:c"), (None, None)]
+
+
+def test_tokens_are_hmac(spark):
+    for key in (b"k", b"x" * 100):
+        got = one(spark, [("secret é",), ("",), (None,)], "v string", identifiers.keyed_token(F.col("v"), key))
+        assert got == [(identifiers.keyed_token_py("secret é", key),), ("",), (None,)]
+    assert one(spark, [("a",)], "v string", identifiers.keyed_token(F.col("v"), None)) == [("[masked]",)]
+
+
+def test_masking(spark):
+    headers = {"Cookie": "a=1", "Host": "h", "X-New": "v", "Referer": "r"}
+    row = one(spark, [(headers,)], "h map<string,string>", quality.mask_headers(F.col("h"), b"k"), quality.masked_header_names(F.col("h")))[0]
+    assert row[0]["Cookie"] == "[redacted]" and row[0]["Host"] == "h" and row[0]["X-New"].startswith("tok_") and row[0]["Referer"].startswith("tok_")
+    assert row[1] == ["request.headers.cookie", "request.headers.referer", "request.headers.x-new"]
+    text = "AKIA" + "A" * 16 + " Bearer " + "t" * 24 + " ok"
+    assert one(spark, [(text,), ("plain",)], "t string", quality.redact(F.col("t")), quality.contains_secret(F.col("t"))) == [("[redacted:aws_key] [redacted:bearer] ok", True), ("plain", False)]
+    assert one(spark, [("a=1; b=2;;a=3",), ("",), (None,)], "c string", quality.cookie_count(F.col("c")), quality.cookie_names(F.col("c"))) == [(3, ["a", "b"]), (None, None), (None, None)]
+    body = [(r["name"], r["value"]) for r in one(spark, [("q=a+b&password=x&n=%31",)], "b string", quality.body_parameters(F.col("b")))[0][0]]
+    assert body == [("q", "a b"), ("password", ""), ("n", "1")]
+
+
+def test_time_quality(spark):
+    now = 10**15
+    cases = {None: "implausible", 0: "implausible", now: "ok", now + 2 * 10**6: "skewed", now + 10**6: "ok", now + quality.DAY + 1: "implausible", now - 31 * quality.DAY: "implausible"}
+    assert [r[0] for r in one(spark, [(c,) for c in cases], "t long", quality.time_quality(F.col("t"), F.lit(now)))] == list(cases.values())
+
+
+def test_type_inference(spark):
+    cases = {"": "empty", "TRUE": "bool", "-5": "int", "1.5": "float", "6f9619ff-8b86-d011-b42d-00cf4fc964ff": "uuid", "10.0.0.1": "ipv4", "256.0.0.1": "freetext", "::1": "ipv6", "1:2:3:4:5:6:7:8": "ipv6", "::ffff:1.2.3.4": "ipv6", "1:2": "freetext", "a@b.co": "email", "2024-02-29": "date", "2023-02-29": "freetext", "2024-02-29T10:00:00+01:00": "date", "deadbeef": "hex", "abc123": "alnum", '{"a":[1]}': "json", "{a": "freetext", "a b": "freetext", "12345678": "int"}
+    got = dict(one(spark, [(v,) for v in cases], "v string", "v", values.infer_type(F.col("v"))))
+    assert got == cases
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.one_of(st.ip_addresses(v=6).map(str), st.text("0123456789abcdef:.", min_size=2, max_size=24)), min_size=20, max_size=60))
+def test_ipv6_agrees_with_the_standard_library(spark, texts):
+    def is6(t):
+        try:
+            return ipaddress.ip_address(t).version == 6
+        except ValueError:
+            return False
+
+    got = dict(one(spark, [(t,) for t in texts], "v string", "v", values.infer_type(F.col("v")) == "ipv6"))
+    assert {t for t in texts if got[t]} == {t for t in texts if is6(t)}
+
+
+def test_type_lattice_is_a_join_in_any_order(spark):
+    kinds = [t for t in values.TYPES if t != "var"]
+    triples = list(itertools.product(kinds, repeat=3))
+    fold = [values.join_types_py(values.join_types_py(a, b), c) for a, b, c in triples]
+    got = [r[0] for r in spark.createDataFrame([(i, list(t)) for i, t in enumerate(triples)], "i long, t array<string>").orderBy("i").select(values.join_types(F.col("t"))).collect()]
+    assert got == fold
+    assert all(values.join_types_py(a, values.join_types_py(b, c)) == f for (a, b, c), f in zip(triples, fold, strict=True))
+
+
+def test_urls(spark):
+    assert one(spark, [("/a?x=1?y",), ("/a",), ("/a?",)], "u string", values.uri_path(F.col("u")), values.uri_query(F.col("u"))) == [("/a", "x=1?y"), ("/a", None), ("/a", None)]
+    pairs = one(spark, [("a=1&b=%zz&c&=d&a=x%20y+z",)], "q string", values.query_pairs(F.col("q")))[0][0]
+    assert [(p["name"], p["value"], p["ok"]) for p in pairs] == [("a", "1", True), ("b", None, False), ("c", "", True), ("", "d", True), ("a", "x y z", True)]
+    assert [r[0] for r in one(spark, [("c[335045]",), ("f[cat][7]",), ("a[]",), ("x",), ("a[b",)], "n string", values.parameter_name(F.col("n")))] == ["c[]", "f[cat][]", "a[]", "x", "a[b"]
+    assert [r[0] for r in one(spark, [(" WWW.Example.com:8080 ",), ("[::1]:443",)], "h string", values.canonical_host(F.col("h")))] == ["www.example.com", "[::1]"]
+    assert one(spark, [("//a//b/",), ("/",)], "p string", values.joined_path(values.path_segments(F.col("p")))) == [("/a/b",), ("/",)]
+
+
+RAW = "tenant string, provider string, payload string"
+
+
+def records(spark, rows):
+    return spark.createDataFrame([("t1", *r) for r in rows], RAW).withColumn("received_at", F.to_timestamp(F.lit("2024-01-01 00:00:10")))
+
+
+EDGE = '{"RayID":"%s","EdgeStartTimestamp":"2024-01-01T00:00:00.000Z","EdgeEndTimestamp":"2024-01-01T00:00:00.312Z","ClientIP":"198.51.100.1","ClientCountry":"de","ClientRequestHost":"shop.example.com","ClientRequestURI":"/a?x=1","ClientRequestMethod":"GET","EdgeResponseStatus":%d,"SecurityAction":"%s","RequestHeaders":{"X-DataDome-RequestId":"%s"}}'
+
+
+def test_parsers(spark):
+    rows = [
+        ("cloudflare", EDGE % ("aa1", 403, "block", "dd-1")), ("cloudflare", '{"RayID":"b2","EdgeStartTimestamp":1704067200100000000,"WAFAction":2}'), ("cloudflare", '{"RayID":"c3","SecurityAction":"newAction"}'),
+        ("cloudflare", '{"RayID":"d4","ParentRayID":"aa1","ClientRequestHost":"api-cloudflare.datadome.co","EdgeResponseStatus":403,"ResponseHeaders":{"x-datadome-responsetype":"hard_block"}}'),
+        ("datadome", '{"RequestID":"dd-1","timestamp":"2024-01-01T00:00:00.150Z","action":"CAPTCHA","botscore":"25"}'), ("f5asm", r'support_id="77",request_status="blocked",date_time="2024-01-01 00:00:00",sig_ids="1,2",uri="/a \"q\"",request="GET /a\r\nHost: h.example.com\r\nCF-Ray: aa1-FRA\r\n",uri="/b"'),
+        ("nginx", '{"time_iso8601":"2024-01-01T00:00:00+00:00","cf_ray":"aa1-FRA","x_forwarded_for":"203.0.113.9, 10.0.0.1","status":"429","request_time":"0.25","request_uri":"/a","user_agent":"-"}'), ("nginx", '{"request_uri":"/q","cf_ray":"-"}'),
+    ]
+    bad = [("cloudflare", "{broken"), ("cloudflare", "{}"), ("cloudflare", '{"RayID":"x","EdgeStartTimestamp":"yesterday"}'), ("datadome", '{"timestamp":"2024-01-01T00:00:00Z"}'), ("f5asm", "no pairs"), ("f5asm", 'uri="/a"'), ("nginx", "{}"), ("nginx", '{"time_iso8601":"noon"}')]
+    good, dead = parsers.normalize(records(spark, rows + bad))
+    got = {r["event_id"]: r for r in good.collect()}
+    assert len(got) == len(rows) and sorted(r["payload"] for r in dead.collect()) == sorted(p for _, p in bad)
+    edge, legacy, odd, call, bot, wall = got["cf:aa1"], got["cf:b2"], got["cf:c3"], got["ddcall:aa1"], got["dd:dd-1"], got["f5:77"]
+    assert (edge["identifiers"], edge["verdict"]["action"], edge["verdict"]["terminating"], edge["response"]["duration_ms"], edge["client"]["country"]) == (["ray:aa1", "dd:dd-1"], "blocked", True, 312.0, "DE")
+    assert (legacy["verdict"]["action"], legacy["event_time"].microsecond) == ("blocked", 100000)
+    assert (odd["verdict"]["action"], odd["verdict"]["mapped"]) == ("unknown", False) and "unmapped_values" in odd["data_quality_flags"]
+    assert (call["layer"], call["verdict"]["action"], call["ray_id"]) == ("bot_management", "blocked", "aa1")
+    assert (bot["verdict"]["action"], bot["bot"]["datadome_score"]) == ("challenged", 25.0)
+    assert (wall["ray_id"], wall["request"]["host"], wall["request"]["path"], wall["verdict"]["rule_id"]) == ("aa1", "h.example.com", "/b", "1")
+    origin = next(r for r in got.values() if r["provider"] == "nginx" and r["ray_id"])
+    assert (origin["client"]["ip"], origin["verdict"]["action"], origin["verdict"]["terminating"], origin["response"]["duration_ms"], origin["client"]["user_agent"]) == ("203.0.113.9", "rate_limited", False, 250.0, None)
+    bare = next(r for r in got.values() if r["provider"] == "nginx" and not r["ray_id"])
+    assert "no_correlation_key" in bare["data_quality_flags"]
