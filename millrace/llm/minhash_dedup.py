@@ -8,8 +8,9 @@
 3. BANDS bands of compressed registers are hashed to keys. All nodes of a key are compared with
    the key's smallest node, first only through the pair with the most common bands. What is
    still in different components but shares a key is then compared completely, sketch by
-   sketch in blocks, so a large group of near copies costs about one comparison a member, no
-   link between components is lost and only likely pairs are written.
+   sketch in blocks: first the likeliest links of a spanning forest over the components of a
+   block are written, then every likely pair that still crosses, once for all keys it shares.
+   So a large group of near copies costs a few confirmations a member and no link is lost.
 4. Pairs whose collision-corrected estimate is far below the threshold are dropped; the rest
    are confirmed on the full sets. Components of the confirmed links give the groups.
 
@@ -39,8 +40,8 @@ COPIES = 16
 SMALL_MAX, LARGE_MIN = 200, 150
 #: Chance that two registers with different minima agree (HyperMinHash, Yu and Weber 2017).
 COLLISION = 0.169919 / (1 << MANTISSA)
-#: An estimate this far below the threshold, over six standard deviations, is no link.
-MARGIN = 0.30
+#: An estimate this many standard deviations below the threshold is no link.
+DEVIATIONS = 6
 #: Members of a pivot that one task compares.
 MEMBERS = 512
 #: Members of a key that are compared as one block.
@@ -81,6 +82,15 @@ def registers(sorted_hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def surplus(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The collision-corrected estimates of rows of sketches, less the least that leaves a link possible."""
+    filled = (x != EMPTY) | (y != EMPTY)
+    seen = np.maximum(filled.sum(axis=1), 1)
+    agree = ((x == y) & filled).sum(axis=1)
+    least = THRESHOLD / 100 - DEVIATIONS * np.sqrt(THRESHOLD / 100 * (1 - THRESHOLD / 100) / seen)
+    return (agree - COLLISION * seen) / ((1 - COLLISION) * seen) - least
+
+
 _seeds = mix(np.arange(1, COPIES + 1, dtype=U) * U(0x2545F4914F6CDD1D))
 
 
@@ -101,9 +111,17 @@ def sketch_table(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("key"), "text").mapInArrow(read, SET)
 
 
+def bands(regs: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """The key of each band of the sketches, and whether it has a filled register."""
+    regs = regs.reshape(-1, BANDS, REGISTERS // BANDS)
+    key = np.full(regs.shape[:2], U(kind * BANDS)) + np.arange(BANDS, dtype=U)
+    for j in range(regs.shape[2]):
+        key = mix(key ^ regs[:, :, j].astype(U)) + U(j)
+    return key, (regs != EMPTY).any(axis=2)
+
+
 def band_keys(nodes: DataFrame) -> DataFrame:
     """(key, fp): each node once for every band that has a filled register."""
-    width = REGISTERS // BANDS
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,11 +130,7 @@ def band_keys(nodes: DataFrame) -> DataFrame:
                 has = np.array(batch.column(name).is_valid())
                 if not has.any():
                     continue
-                regs = np.frombuffer(b"".join(x for x in batch.column(name).to_pylist() if x), np.uint16).reshape(-1, BANDS, width)
-                key = np.full(regs.shape[:2], U(kind * BANDS)) + np.arange(BANDS, dtype=U)
-                for j in range(width):
-                    key = mix(key ^ regs[:, :, j].astype(U)) + U(j)
-                filled = (regs != EMPTY).any(axis=2)
+                key, filled = bands(np.frombuffer(b"".join(x for x in batch.column(name).to_pylist() if x), np.uint16), kind)
                 owner = np.repeat(fps[has], BANDS, axis=0).reshape(-1, BANDS, 2)[filled]
                 size = pa.py_buffer(np.arange(0, 16 * len(owner) + 1, 16, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(key[filled].view(np.int64)), pa.BinaryArray.from_buffers(pa.binary(), len(owner), [None, size, pa.py_buffer(np.ascontiguousarray(owner))])], ["key", "fp"])
@@ -138,48 +152,71 @@ def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                 has = np.array(a.is_valid()) & np.array(b.is_valid())
                 if has.any():
                     x, y = (np.frombuffer(b"".join(v for v, ok in zip(c.to_pylist(), has, strict=True) if ok), np.uint16).reshape(-1, REGISTERS) for c in (a, b))
-                    seen = ((x != EMPTY) | (y != EMPTY)).sum(axis=1)
-                    agree = ((x == y) & (x != EMPTY)).sum(axis=1)
-                    keep[has] |= (agree - COLLISION * seen) / ((1 - COLLISION) * seen) >= THRESHOLD / 100 - MARGIN
+                    keep[has] |= surplus(x, y) >= 0
             yield batch.filter(pa.array(keep)).select(columns)
 
     return both.mapInArrow(read, pairs.schema)
 
 
-def crossing_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
+def crossing_pairs(members: DataFrame, nodes: DataFrame, forest: bool) -> DataFrame:
     """(a, b): the pairs of a key in different components whose estimate leaves a link possible.
 
-    members: (key, fp, component, n), n the members of the key. A key's members fall into blocks
-    of about BLOCK, and every pair of blocks is one group, so no task holds more than two blocks
-    and only pairs that pass are written.
+    members: (key, fp, component, n, top, most), n the members of the key and top those of its
+    most common component. That component has no pairs of its own, so only the others fall into
+    blocks of about BLOCK that all meet; its members fall into blocks that meet these. Every
+    pair of blocks is one group, so no task holds more than two blocks and only pairs that pass
+    are written: with forest those of a spanning forest over the components of a group, the
+    likeliest first; else all, each under the first key it shares.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = members.join(nodes.select("fp", "n_shingles", "small", "large"), "fp").withColumn("block", F.pmod(F.xxhash64("fp"), blocks).cast("int"))
-    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    few, many = F.ceil((F.col("n") - F.col("top")) / BLOCK).cast("int"), F.ceil(F.col("top") / BLOCK).cast("int")
+    rare, h = F.col("component") != F.col("most"), F.xxhash64("fp")
+    placed = members.join(nodes.select("fp", "n_shingles", "small", "large"), "fp").withColumn("block", F.when(rare, F.pmod(h, few)).otherwise(few + F.pmod(h, many)).cast("int"))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(rare, few + many).otherwise(few) - 1)))
     groups = spread.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "fp", "component", "n_shingles", "small", "large").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "block")
 
-    def compare(rows: list[tuple]) -> pa.RecordBatch:
+    def compare(place: tuple, rows: list[tuple]) -> pa.RecordBatch:
         block, fp, component, n, *regs = zip(*rows, strict=True)
         block, n = np.array(block), np.array(n)
         label = np.unique(np.array(component, object), return_inverse=True)[1]
         known = [np.array([x is not None for x in r]) for r in regs]
         value = [np.frombuffer(b"".join(x or bytes(2 * REGISTERS) for x in r), np.uint16).reshape(-1, REGISTERS) for r in regs]
-        crossing = block[0] != block[-1]
-        out = []
+        keys, filled = (np.concatenate(x, axis=1) for x in zip(*(bands(v, kind) for kind, v in enumerate(value)), strict=True))
+        filled &= np.repeat(np.stack(known, axis=1), BANDS, axis=1)
+        left, right, chance = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
         for i in range(len(rows)):
             j = np.arange(i + 1, len(rows))
             j = j[(label[j] != label[i]) & (100 * np.minimum(n[j], n[i]) >= THRESHOLD * np.maximum(n[j], n[i]))]
-            if crossing:
+            if place[1] != place[2]:
                 j = j[block[j] != block[i]]
-            passes = np.zeros(len(j), bool)
+            if not len(j):
+                continue
+            estimate = np.full(len(j), -1.0)
             for k, v in zip(known, value, strict=True):
                 if k[i]:
-                    seen = ((v[j] != EMPTY) | (v[i] != EMPTY)).sum(axis=1)
-                    agree = ((v[j] == v[i]) & (v[j] != EMPTY)).sum(axis=1)
-                    passes |= k[j] & ((agree - COLLISION * seen) / ((1 - COLLISION) * np.maximum(seen, 1)) >= THRESHOLD / 100 - MARGIN)
-            out += [(max(fp[i], fp[x]), min(fp[i], fp[x])) for x in j[passes]]
-        columns = zip(*out, strict=True) if out else ([], [])
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["a", "b"])
+                    estimate = np.where(k[j], np.maximum(estimate, surplus(v[j], v[i])), estimate)
+            passes = estimate >= 0
+            j, estimate = j[passes], estimate[passes]
+            if not forest and len(j):
+                shared = (keys[j] == keys[i]) & filled[j] & filled[i]
+                here = keys[i][shared.argmax(axis=1)].view(np.int64) == place[0]
+                j, estimate = j[here], estimate[here]
+            left.append(np.full(len(j), i))
+            right.append(j)
+            chance.append(estimate)
+        i, j, estimate = (np.concatenate(x) for x in (left, right, chance))
+        if forest:
+            up, kept = list(range(len(rows))), []
+            for at in np.argsort(-estimate, kind="stable").tolist():
+                x, y = int(label[i[at]]), int(label[j[at]])
+                while up[x] != x:
+                    up[x] = x = up[up[x]]
+                while up[y] != y:
+                    up[y] = y = up[up[y]]
+                if x != y:
+                    up[x] = y
+                    kept.append(at)
+            i, j = i[kept], j[kept]
+        return pa.RecordBatch.from_arrays([pa.array([pick(fp[x], fp[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)], pa.binary()) for pick in (max, min)], ["a", "b"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, place = [], None
@@ -187,11 +224,11 @@ def crossing_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
             for key, lo, hi, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if place != (key, lo, hi):
                     if len(held) > 1:
-                        yield compare(held)
+                        yield compare(place, held)
                     held, place = [], (key, lo, hi)
                 held.append(tuple(row))
         if len(held) > 1:
-            yield compare(held)
+            yield compare(place, held)
 
     return groups.mapInArrow(read, "a binary, b binary")
 
@@ -286,12 +323,14 @@ def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     best = stars.groupBy("a").agg(F.max_by("b", F.struct("bands", "b")).alias("b"))
     links = stage(confirmed(best, sets), "links")
+    for forest in (True, False):
+        groups = connected_components(links, "a", "b")
+        placed = members.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("component"))
+        parts = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
+        open_keys = parts.groupBy("key").agg(F.sum("c").alias("n"), F.max("c").alias("top"), F.max_by("component", F.struct("c", "component")).alias("most")).where("top < n")
+        rest = crossing_pairs(placed.join(open_keys, "key"), nodes, forest).distinct()
+        links = links.unionByName(stage(confirmed(rest, sets), "links"))
     groups = connected_components(links, "a", "b")
-    placed = members.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("component"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n")).where("c0 <> c1").select("key", "n")
-    rest = crossing_pairs(placed.join(open_keys, "key"), nodes).distinct()
-    more = stage(confirmed(rest, sets), "links")
-    groups = connected_components(links.unionByName(more), "a", "b")
 
     whole = nodes.select("fp", "doc_id").join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "doc_id", F.coalesce("component", "fp").alias("component"))
     labels = whole.join(whole.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("fp", "component", "component_id")
