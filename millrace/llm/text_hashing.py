@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
