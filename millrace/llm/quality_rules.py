@@ -3,8 +3,10 @@
 Every rule looks at one statistic of the whole text and votes good, votes bad or abstains.
 The rules' accuracies are unknown; expectation-maximisation over the counts of vote patterns
 estimates them, and the posterior probability that a document is good replaces the requirement
-that all rules pass. The class balance is given (PRIOR_GOOD): rules that mostly abstain do not
-identify it.
+that all rules pass. A rule's good and bad votes have an accuracy each: junk of one kind passes
+the rules against other kinds, so a good vote says less than a bad one. A rule whose bad votes no
+other rule backs is found weak, and good votes of others outvote it. The class balance is given
+(PRIOR_GOOD): rules that mostly abstain do not identify it.
 
 What leaves the executors for the driver is one row of sums per iteration. The pattern table
 has at most 3^RULES rows whatever the corpus.
@@ -30,8 +32,10 @@ PRIOR_GOOD = 0.5
 PRIOR_ACCURACY = 0.9
 #: An accuracy stays between these: a rule is never taken as inverted or infallible.
 ACCURACY_RANGE = (0.55, 0.99)
-#: Rules that also vouch for a text, and the most that their accuracy may be.
-VOUCHERS, VOUCHER_MOST = ("sentences",), 0.65
+#: Where the accuracy of good votes starts; most rules vouch for nearly all texts.
+VOUCHER_MOST = 0.65
+#: An odd word has a character that is no letter, digit or usual punctuation.
+ODD_WORD = f"[^\\p{{L}}\\p{{M}}\\p{{N}}{SPACE}.,;:!?'\"()/’‘“”„«»…¿¡–—。、，．：；！？「」『』（）-][^{SPACE}]*"
 PREFIX = "_wq_"
 
 
@@ -91,6 +95,7 @@ def text_statistics(text: Column) -> Column:
             without("A-Z").alias("n_capitals"),
             without("0-9").alias("n_digits"),
             without(".?!").alias("n_stops"),
+            F.regexp_count(text, F.lit(ODD_WORD)).cast("long").alias("n_odd_words"),
         )
 
     return _let(F.array_remove(F.split(text, f"[{SPACE}]+"), ""), of)
@@ -106,59 +111,72 @@ def rule_votes(s: Column) -> dict[str, Column]:
     chars = F.greatest(s["word_chars"], F.lit(1))
     a_word = lambda c: c / words
     mean = s["word_chars"] / words
-    never = F.lit(False)
-    # Most rules know junk of one kind only and abstain on the rest; one also vouches for a text.
+    # A rule votes bad on junk of its kind, good well inside the normal range, and abstains in between.
     return {
-        "length": _vote(never, s["n_words"] < MIN_WORDS),
+        "length": _vote(s["n_words"] >= 2 * MIN_WORDS, s["n_words"] < MIN_WORDS),
         "sentences": _vote(a_word(s["n_stops"]).between(0.02, 0.3), (s["n_stops"] == 0) & (s["n_words"] >= 100)),
-        "word_length": _vote(never, (mean < 2) | (mean > 14)),
-        "symbols": _vote(never, a_word(s["n_symbols"]) > 0.1),
-        "repetition": _vote(never, a_word(s["n_repeat_words"]) > 0.4),
-        "lines": _vote(never, s["n_dup_lines"] * 10 > s["n_lines"] * 4),
-        "shouting": _vote(never, a_word(s["n_bangs"]) > 0.15),
-        "capitals": _vote(never, s["n_capitals"] / chars > 0.4),
-        "digits": _vote(never, s["n_digits"] / chars > 0.25),
+        "word_length": _vote(mean.between(4, 7), (mean < 2) | (mean > 14)),
+        "symbols": _vote(a_word(s["n_symbols"]) <= 0.02, a_word(s["n_symbols"]) > 0.1),
+        "repetition": _vote(a_word(s["n_repeat_words"]) <= 0.1, a_word(s["n_repeat_words"]) > 0.4),
+        "lines": _vote((s["n_lines"] > 0) & (s["n_dup_lines"] * 10 <= s["n_lines"]), s["n_dup_lines"] * 10 > s["n_lines"] * 4),
+        "shouting": _vote(a_word(s["n_bangs"]) <= 0.03, a_word(s["n_bangs"]) > 0.15),
+        "capitals": _vote(s["n_capitals"] / chars <= 0.1, s["n_capitals"] / chars > 0.4),
+        "digits": _vote(s["n_digits"] / chars <= 0.06, s["n_digits"] / chars > 0.25),
+        "odd_words": _vote(a_word(s["n_odd_words"]) <= 0.05, a_word(s["n_odd_words"]) > 0.3),
     }
 
 
-RULES = ("length", "sentences", "word_length", "symbols", "repetition", "lines", "shouting", "capitals", "digits")
+RULES = ("length", "sentences", "word_length", "symbols", "repetition", "lines", "shouting", "capitals", "digits", "odd_words")
 
 
-def _posterior(model: dict[str, float], votes: dict[str, Column]) -> Column:
-    """Probability of good quality: each vote counts by the log odds of its rule's accuracy, an abstention not at all."""
+def _posterior(model: dict, votes: dict[str, Column]) -> Column:
+    """Probability of good quality: each vote counts by the log odds of the accuracy of such votes of its rule, an abstention not at all."""
     total = F.lit(math.log(PRIOR_GOOD / (1 - PRIOR_GOOD)))
     for r in RULES:
-        weight = math.log(model[r] / (1 - model[r]))
-        total = total + F.when(votes[r] == GOOD, weight).when(votes[r] == BAD, -weight).otherwise(0.0)
+        good, bad = (math.log(model[r, v] / (1 - model[r, v])) for v in (GOOD, BAD))
+        total = total + F.when(votes[r] == GOOD, good).when(votes[r] == BAD, -bad).otherwise(0.0)
     return 1 / (1 + F.exp(-total))
 
 
-def fit(voted: DataFrame) -> dict[str, float]:
+def _within(accuracy: float) -> float:
+    return min(max(accuracy, ACCURACY_RANGE[0]), ACCURACY_RANGE[1])
+
+
+def fit(voted: DataFrame) -> dict:
     """The rules' accuracies, by expectation-maximisation on the pattern counts.
 
-    A rule's accuracy is the expected share of its votes that agree with the hidden quality,
-    shrunk half way to PRIOR_ACCURACY: junk of one kind passes the rules against other kinds,
-    so a rule that is alone in its votes would otherwise be outvoted by silence. A rule that
-    vouches for nearly all texts is held to VOUCHER_MOST. An empty table gives the prior.
+    model[rule, vote] is the accuracy of one kind of vote: how often texts of the quality voted
+    for get it, as a share of how often texts of either quality do. One text of each quality that
+    votes by the start is added to the sums. model[rule] is the expected share of all votes of the
+    rule that are right. An empty table gives the start.
     """
     patterns = stage(voted.groupBy(*[PREFIX + r for r in RULES]).agg(F.count("*").alias("docs")).coalesce(1), "patterns")
     votes = {r: F.col(PREFIX + r) for r in RULES}
-    model = {r: VOUCHER_MOST if r in VOUCHERS else PRIOR_ACCURACY for r in RULES}
+    start = {(r, v): a for r in RULES for v, a in ((GOOD, VOUCHER_MOST), (BAD, PRIOR_ACCURACY))}
+    model = dict(start)
+
+    def sums(table: DataFrame, c: str) -> dict:
+        row = table.agg(*[F.coalesce(F.sum(x), F.lit(0)).cast("double") for x in (F.col(c), *[F.when(votes[r] == v, F.col(c)) for r, v in start])]).first()
+        return dict(zip((None, *start), row, strict=True))
+
+    docs = sums(patterns, "docs")
     for _ in range(ROUNDS):
-        weighed = patterns.select("*", _posterior(model, votes).alias("p"))
-        right = lambda r: F.when(votes[r] == GOOD, F.col("p")).when(votes[r] == BAD, 1 - F.col("p"))
-        sums = [F.sum(right(r) * F.col("docs")).alias(f"right_{r}") for r in RULES] + [F.sum(F.when(votes[r] != ABSTAIN, F.col("docs"))).alias(f"votes_{r}") for r in RULES]
-        row = weighed.agg(*sums).first()
+        good = sums(patterns.select("*", (_posterior(model, votes) * F.col("docs")).alias("good")), "good")
+        bad = {k: docs[k] - good[k] for k in docs}
         after = {}
-        for r in RULES:
-            seen = row[f"votes_{r}"]
-            value = (row[f"right_{r}"] / seen + PRIOR_ACCURACY) / 2 if seen else PRIOR_ACCURACY
-            after[r] = min(max(value, ACCURACY_RANGE[0]), VOUCHER_MOST if r in VOUCHERS else ACCURACY_RANGE[1])
-        moved = max(abs(after[r] - model[r]) for r in RULES)
+        for r, v in start:
+            right, wrong = (good, bad) if v == GOOD else (bad, good)
+            often = (right[r, v] + start[r, v]) / (right[None] + 1)
+            falsely = (wrong[r, v] + 1 - start[r, v]) / (wrong[None] + 1)
+            after[r, v] = _within(often / (often + falsely))
+        moved = max(abs(after[k] - model[k]) for k in start)
         model = after
         if moved < SETTLED:
             break
     discard(voted.sparkSession, patterns)
+    for r in RULES:
+        seen = docs[r, GOOD] + docs[r, BAD]
+        model[r] = _within((good[r, GOOD] + bad[r, BAD]) / seen) if seen else PRIOR_ACCURACY
     return model
 
 

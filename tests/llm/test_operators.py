@@ -232,6 +232,22 @@ def test_fitted_accuracies_follow_agreement(spark):
     assert model["repetition"] >= model["symbols"] > 0.8 and model["sentences"] <= quality_rules.VOUCHER_MOST
 
 
+def test_good_votes_outvote_a_weak_rule(spark):
+    """Nobody backs the bad votes of shouting; those of symbols, repetition and sentences back each other."""
+    votes = [{}] * 400 + [{"shouting": 0}] * 60 + [{"symbols": 0, "repetition": 0, "sentences": 0}] * 60
+    rows = [tuple(v.get(r, 1) for r in quality_rules.RULES) for v in votes]
+    model = quality_rules.fit(spark.createDataFrame(rows, [quality_rules.PREFIX + r for r in quality_rules.RULES]))
+    assert model["shouting", quality_rules.BAD] < 0.6 < 0.9 < model["symbols", quality_rules.BAD]
+    prose = [" ".join(f"{chr(97 + (k * j + j) % 26)}{chr(97 + (k + 3 * j) % 26)}rd{j}".rstrip("0123456789") + "xyz"[(k + j) % 3] + chr(97 + j % 26) + chr(97 + j // 26) + ("." if j % 9 == 8 else "") for j in range(120)) for k in range(60)]
+    loud = [t.replace(".", "!!!") for t in prose[:8]]
+    junk = [" ".join(["ab#$% cd&&& ef***"] * 60) + f" {k}" for k in range(12)]
+    texts = prose + loud + junk
+    out = quality_rules.quality_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    bad = quality_rules.rule_votes(quality_rules.text_statistics(F.col("text")))["shouting"]
+    assert spark.createDataFrame([(t,) for t in loud], "text string").where(bad == quality_rules.BAD).count() == len(loud)
+    assert {r["doc_id"] for r in out.where("kept").collect()} == set(range(len(prose) + len(loud)))
+
+
 def repeats(table):
     order = sorted({(i, t or "") for i, t in table}, key=lambda x: (x[0] is None, x[0] or 0, hashlib.md5(x[1].encode()).hexdigest()))
     seen, done = set(), {}
