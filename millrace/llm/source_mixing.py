@@ -6,8 +6,10 @@
 2. The mix is cut into about BLOCKS blocks of equal word counts. The quotients
    target / (2 k + 1) rank the blocks; the highest of them, one a block, are the seats, so every
    source has an integer quota, and a shard, a run of consecutive ranks, has one as well.
-3. A source's documents stand in seeded order as one stream of words cut into blocks. Whole
-   passes over the stream come first; the rest of the quota takes blocks in seeded order.
+3. A source's documents stand in seeded order as one stream of words cut into blocks. A source
+   takes its seats and, as one block in part, what its target is above or below them, so a source
+   smaller than a block gets its target like any other. Whole passes over the stream come first;
+   the rest takes blocks in seeded order, the last of them in part.
 
 A hot source is spread over 4096 ranges of the seeded order; only sums per range meet, so no
 task gets a source whole.
@@ -81,14 +83,16 @@ def mix(docs: DataFrame, seed: str = SEED, share: float = SHARE, max_epochs: int
     quotas = apportion(targets).groupBy("place").agg(F.sum("seats").alias("quota"))
     # blocks of the streams: at most blocks / share and one a source
     cut = targets.where("source_size > 0").join(quotas, "place", "left").withColumn("n", F.ceil(F.col("source_size") / F.col("block")).cast("long"))
-    # seats are of equal length in the mix; the quota here is that of blocks of this stream
-    cut = cut.withColumn("quota", F.least(F.coalesce("quota", F.lit(0).cast("long")), F.col("n") * max_epochs))
-    streams = cut.withColumn("passes", F.floor(F.col("quota") / F.col("n")).cast("long")).withColumn("rest", F.col("quota") - F.col("passes") * F.col("n"))
-    each = streams.select("place", "block", "rest", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("b"))
-    lot = F.row_number().over(Window.partitionBy("place").orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col("place"), F.col("b"))), "b"))
-    drawn = each.withColumn("drawn", (lot <= F.col("rest")).cast("long"))
+    seated = F.coalesce("quota", F.lit(0).cast("long")) * F.col("block")
+    cut = cut.withColumn("quota", seated + (F.round("target").cast("long") - seated))
+    streams = cut.withColumn("passes", F.floor(F.col("quota") / F.col("source_size")).cast("long")).withColumn("rest", F.col("quota") - F.col("passes") * F.col("source_size"))
+    each = streams.select("place", "block", "rest", "source_size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("b"))
+    each = each.withColumn("length", F.least("block", F.col("source_size") - F.col("b") * F.col("block")))
+    lots = Window.partitionBy("place").orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col("place"), F.col("b"))), "b").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("rest") - F.coalesce(F.sum("length").over(lots), F.lit(0))
+    drawn = each.withColumn("drawn", F.greatest(F.least("length", left), F.lit(0)).cast("long"))
     ahead = F.coalesce(F.sum("drawn").over(Window.partitionBy("place").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    drawn = stage(drawn.select("place", "b", "drawn", (ahead * F.col("block")).alias("ahead")), "drawn")
+    drawn = stage(drawn.select("place", "b", "drawn", ahead.alias("ahead")), "drawn")
 
     starts = by_range.withColumn("start", F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     info = streams.select("place", "passes").join(targets, "place", "right")
@@ -98,7 +102,7 @@ def mix(docs: DataFrame, seed: str = SEED, share: float = SHARE, max_epochs: int
     placed = placed.select("number", "size", "source_size", "target", "place", "passes", "block", (F.col("start") + F.col("inside")).alias("from")).withColumn("to", F.col("from") + F.col("size"))
 
     def upto(column: str) -> Column:
-        return F.col(f"{column}_ahead") + F.col(f"{column}_drawn") * (F.col(column) - F.col(f"{column}_b") * F.col("block"))
+        return F.col(f"{column}_ahead") + F.least(F.col(f"{column}_drawn"), F.col(column) - F.col(f"{column}_b") * F.col("block"))
 
     for column in ("from", "to"):
         at = F.least(F.floor(F.col(column) / F.col("block")), F.ceil(F.col("source_size") / F.col("block")) - 1).cast("long")

@@ -172,6 +172,17 @@ def test_mixing(spark, sf, which):
     assert source_mixing.apply_mix(df).columns == df.columns
 
 
+def test_mixing_reaches_small_sources(spark):
+    """Sources of less than one block, and of a few, beside a hot one: each takes its target."""
+    size = {"hot": 200_000, "a": 300, "b": 1500, "c": 16_000}
+    rows = [(k, s, "w " * 100) for k, s in enumerate(s for s, n in size.items() for _ in range(n // 100))]
+    out = source_mixing.mix_report(spark.createDataFrame(rows, "doc_id long, source string, text string"), blocks=64).collect()
+    of, taken, want = {k: s for k, s, _ in rows}, Counter(), water_fill(size)
+    for r in out:
+        taken[of[r["doc_id"]]] += r["taken"]
+    assert all(abs(taken[s] - want[s]) <= 1 for s in size), (taken, want)
+
+
 @pytest.mark.parametrize("which", ["awkward", "table"])
 def test_sharding(spark, sf, which):
     df = docs(spark) if which == "awkward" else spark.read.parquet(f"{sf}/documents.parquet")
