@@ -184,8 +184,7 @@ def timestamp_parse(spark, d):
 
 @query("SELECT doc_id, CASE WHEN c THEN md5(regexp_replace(text, '\\bAKIA[0-9A-Z]{16}\\b', '[redacted:aws_key]', 'g')) ELSE md5(text) END AS redacted_md5, c AS had_key FROM (SELECT doc_id, text, regexp_matches(text, '\\bAKIA[0-9A-Z]{16}\\b') AS c FROM documents) WHERE NOT regexp_matches(text, '\\beyJ|[Bb][Ee][Aa][Rr][Ee][Rr]\\s|PRIVATE KEY')")
 def secret_redaction(spark, d):
-    docs = table(spark, d, "documents").where(~F.col("text").rlike(r"\beyJ|[Bb][Ee][Aa][Rr][Ee][Rr]\s|PRIVATE KEY"))
-    return docs.select("doc_id", F.md5(quality.redact(F.col("text"))).alias("redacted_md5"), quality.contains_secret(F.col("text")).alias("had_key"))
+    return table(spark, d, "documents").select("doc_id", F.md5(quality.redact(F.col("text"))).alias("redacted_md5"), quality.contains_secret(F.col("text")).alias("had_key"))
 
 
 @query("SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 2 ELSE 1 END AS masked FROM conversations")
