@@ -72,7 +72,7 @@ def mix(docs: DataFrame, seed: str = SEED, share: float = SHARE, max_epochs: int
     if no document has words all targets are 0. keep: the columns of docs to carry.
     """
     keep = docs.columns if keep is None else keep
-    turn = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    turn = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(F.col("text"), F.lit("")))))
     # the number of a row is stored with it, so that the decisions can be made on narrow rows
     table = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.monotonically_increasing_id().alias("number"), F.col("source").alias("source"), F.col("doc_id").alias("id"), word_count(F.col("text")).alias("size"), turn.alias("turn"))
     table = stage(table.withColumn("range", F.substring("turn", 1, DIGITS)), "sized")

@@ -183,6 +183,13 @@ def test_mixing_reaches_small_sources(spark):
     assert all(abs(taken[s] - want[s]) <= 1 for s in size), (taken, want)
 
 
+def test_mixing_takes_the_same_texts_in_any_row_order(spark):
+    """Rows without an id and of one length."""
+    rows = [(None, "a" if k % 3 else "b", f"t{k} " + "w " * 99) for k in range(400)]
+    got = [sorted(map(tuple, source_mixing.mix(spark.createDataFrame(r, "doc_id long, source string, text string"), blocks=64).select("text", "_mx.taken").collect())) for r in (rows, rows[::-1])]
+    assert got[0] == got[1] and len({n for _, n in got[0]}) > 1
+
+
 @pytest.mark.parametrize("which", ["awkward", "table"])
 def test_sharding(spark, sf, which):
     df = docs(spark) if which == "awkward" else spark.read.parquet(f"{sf}/documents.parquet")
