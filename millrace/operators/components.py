@@ -8,10 +8,10 @@ which cuts the lineage. Only a count and a fingerprint come back to the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from millrace.staging import discard, stage
+from millrace.staging import discard, release, stage
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     pairs = _both_ways(edges)
     low = pairs.groupBy("n").agg(F.min("m").alias("m0")).select("n", F.least("n", "m0").alias("low"))
-    return pairs.join(low, "n").where(F.col("m") > F.col("n")).select(F.col("m").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
+    return pairs.join(low, "n").where(F.col("m") > F.col("n")).select(F.col("m").alias("u"), F.col("low").alias("v")).where("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -40,16 +40,37 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     empty edge table gives an empty result. Nodes without edges are not listed.
     """
     spark = edges.sparkSession
-    now = stage(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v").distinct(), "edges")
+    now = stage(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v"), "edges")
     seen = None
     for _ in range(max_rounds):
-        after = stage(_small_star(_large_star(now)), "edges")
-        mark = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        mark = Observation()
+        after = stage(_small_star(_large_star(now)).observe(mark, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges")
         discard(spark, now)
+        release(spark)
         now = after
-        if tuple(mark) == seen:
+        if mark.get == seen:
             break
-        seen = tuple(mark)
+        seen = mark.get
     else:
         raise RuntimeError("connected components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v")).distinct())
+
+
+def forest_roots(links: DataFrame, child: str, parent: str, max_rounds: int = 60) -> DataFrame:
+    """(node, component) for every child of a forest, in which a child has one row and a smaller parent; component is its root.
+
+    Each round doubles the steps that a row has gone up. Roots are not listed.
+    """
+    spark = links.sparkSession
+    now = stage(links.select(F.col(child).alias("node"), F.col(parent).alias("component")), "forest")
+    for _ in range(max_rounds):
+        moved = Observation()
+        up = now.select(F.col("node").alias("component"), F.col("component").alias("above"))
+        step = now.join(up, "component", "left").select("node", F.coalesce("above", "component").alias("component"), F.col("above").isNotNull().alias("moved"))
+        after = stage(step.observe(moved, F.count_if("moved").alias("n")).drop("moved"), "forest")
+        discard(spark, now)
+        release(spark)
+        now = after
+        if not moved.get["n"]:
+            return now
+    raise RuntimeError("the forest is deeper than expected")
