@@ -5,12 +5,11 @@
 2. A HyperMinHash sketch has REGISTERS registers; each keeps the leading-zero count and the
    next MANTISSA bits of the smallest hash in its bucket. Small sets enter every element COPIES
    times under different hashes, which keeps the Jaccard similarity and fills the registers.
-3. BANDS bands of compressed registers are hashed to keys. All nodes of a key are compared with
-   the key's smallest node, first only through the pair with the most common bands. What is
-   still in different components but shares a key is then compared completely, sketch by
-   sketch in blocks: first the likeliest links of a spanning forest over the components of a
-   block are written, then every likely pair that still crosses, once for all keys it shares.
-   So a large group of near copies costs a few confirmations a member and no link is lost.
+3. BANDS bands of compressed registers are hashed to keys. A node is confirmed against the
+   smallest node of the key it shares most bands with. Nodes that still share a key across
+   components are compared sketch by sketch in blocks, and what may be linked meets again in
+   the same blocks with full sets. Only confirmed links that span a block are written, so neither
+   a large group of near copies nor a large cloud of half-similar texts becomes rows of pairs.
 4. Pairs whose collision-corrected estimate is far below the threshold are dropped; the rest
    are confirmed on the full sets. Components of the confirmed links give the groups.
 
@@ -24,12 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.text_hashing import NOT_SPACE, U, chunks, mix, shingles, text_buffer, words
-from millrace.operators.components import connected_components
-from millrace.staging import discard, stage
+from millrace.operators.components import connected_components, forest_roots
+from millrace.staging import discard, release, stage
 
 WORDS = 5
 THRESHOLD = 75  # percent
@@ -44,10 +43,26 @@ COLLISION = 0.169919 / (1 << MANTISSA)
 DEVIATIONS = 6
 #: Members of a pivot that one task compares.
 MEMBERS = 512
-#: Members of a key that are compared as one block.
-BLOCK = 1024
+#: Members of a key that are compared as one block, and the shingles that they may have in all.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
+#: Pairs of sketches that are compared at once, and bytes of sets in one batch.
+PAIRS, BATCH_BYTES = 1 << 14, 1 << 25
 
-SET = "doc_id long, key string, n_shingles long, fp binary, small binary, large binary"
+SET = "doc_id long, row binary, n_shingles long, fp binary, small binary, large binary"
+
+
+def row_key() -> Column:
+    """A key of doc_id and text; rows that repeat both share it."""
+    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")), F.coalesce(F.md5("text"), F.lit("null")))))
+
+
+def binary(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    """Rows of width 64-bit numbers from a binary column of that length without nulls."""
+    return np.frombuffer(b"".join(column.to_pylist()), U).reshape(-1, width)
+
+
+def linked(both: int, n: int, m: int) -> bool:
+    return 100 * both >= THRESHOLD * (int(n) + int(m) - both)
 
 
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
@@ -100,15 +115,15 @@ def sketches(s: np.ndarray) -> tuple[bytes | None, bytes | None]:
 
 
 def sketch_table(docs: DataFrame) -> DataFrame:
-    """doc_id, key (md5 of the text), n_shingles, fp (of the set; null if empty) and the sketches of each row of docs."""
+    """doc_id, row (its key), n_shingles, fp (of the set; null if empty) and the sketches of each row of docs."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(len(s), fingerprint(s) if len(s) else None, *sketches(s)) for s in shingle_sets(batch.column("text"))]
             columns = zip(*rows, strict=True) if rows else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True))], ["doc_id", "key", "n_shingles", "fp", "small", "large"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True))], ["doc_id", "row", "n_shingles", "fp", "small", "large"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("key"), "text").mapInArrow(read, SET)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), "text").mapInArrow(read, SET)
 
 
 def bands(regs: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,21 +136,22 @@ def bands(regs: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def band_keys(nodes: DataFrame) -> DataFrame:
-    """(key, fp): each node once for every band that has a filled register."""
+    """(key, fp, shingles): each node once for every band that has a filled register; shingles is its set size rounded up to a power of two."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([np.frombuffer(x, U) for x in batch.column("fp").to_pylist()], U).reshape(-1, 2)
+            fps, n = binary(batch.column("fp"), 2), np.array(batch.column("n_shingles"))
             for kind, name in enumerate(("small", "large")):
                 has = np.array(batch.column(name).is_valid())
                 if not has.any():
                     continue
                 key, filled = bands(np.frombuffer(b"".join(x for x in batch.column(name).to_pylist() if x), np.uint16), kind)
                 owner = np.repeat(fps[has], BANDS, axis=0).reshape(-1, BANDS, 2)[filled]
+                wide = np.repeat(1 << np.ceil(np.log2(n[has])).astype(np.int64), BANDS).reshape(-1, BANDS)[filled]
                 size = pa.py_buffer(np.arange(0, 16 * len(owner) + 1, 16, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(key[filled].view(np.int64)), pa.BinaryArray.from_buffers(pa.binary(), len(owner), [None, size, pa.py_buffer(np.ascontiguousarray(owner))])], ["key", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[filled].view(np.int64)), pa.BinaryArray.from_buffers(pa.binary(), len(owner), [None, size, pa.py_buffer(np.ascontiguousarray(owner))]), pa.array(wide)], ["key", "fp", "shingles"])
 
-    return nodes.select("fp", "small", "large").mapInArrow(read, "key long, fp binary")
+    return nodes.select("fp", "n_shingles", "small", "large").mapInArrow(read, "key long, fp binary, shingles long")
 
 
 def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -158,128 +174,178 @@ def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.mapInArrow(read, pairs.schema)
 
 
-def crossing_pairs(members: DataFrame, nodes: DataFrame, forest: bool) -> DataFrame:
-    """(a, b): the pairs of a key in different components whose estimate leaves a link possible.
+def whole_groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups of rows that agree in the integer columns by and follow each other, with the bounds of the groups."""
 
-    members: (key, fp, component, n, top, most), n the members of the key and top those of its
-    most common component. That component has no pairs of its own, so only the others fall into
-    blocks of about BLOCK that all meet; its members fall into blocks that meet these. Every
-    pair of blocks is one group, so no task holds more than two blocks and only pairs that pass
-    are written: with forest those of a spanning forest over the components of a group, the
-    likeliest first; else all, each under the first key it shares.
+    def bounds(table: pa.Table) -> np.ndarray:
+        k = np.stack([np.asarray(table.column(c)) for c in by])
+        return np.concatenate([[0], np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1, [len(table)]])
+
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])]).combine_chunks()
+        if len(table):
+            at = bounds(table)
+            if len(at) > 2:
+                yield table.slice(0, at[-2]), at[:-1]
+            rest = table.slice(at[-2])
+    if rest is not None:
+        yield rest, bounds(rest)
+
+
+def candidates(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The members of a block group that may be linked across components, each with its partners.
+
+    members: (key, fp, component, few, many, rare): the most common component of a key has no
+    pairs of its own, so only the others (rare) fall into few blocks that all meet; its members
+    fall into many blocks that meet these. Every pair of blocks is one group, so no task holds
+    more than two blocks. A row is (key, lo, hi, at, fp, component, partners): one per member, at
+    its place among those written of its group and partners the places of later ones whose
+    estimate leaves a link possible. A pair belongs to the first key that both sketches share.
     """
-    few, many = F.ceil((F.col("n") - F.col("top")) / BLOCK).cast("int"), F.ceil(F.col("top") / BLOCK).cast("int")
-    rare, h = F.col("component") != F.col("most"), F.xxhash64("fp")
-    placed = members.join(nodes.select("fp", "n_shingles", "small", "large"), "fp").withColumn("block", F.when(rare, F.pmod(h, few)).otherwise(few + F.pmod(h, many)).cast("int"))
-    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(rare, few + many).otherwise(few) - 1)))
+    h = F.xxhash64("fp")
+    placed = members.join(nodes.select("fp", "n_shingles", "small", "large"), "fp").withColumn("block", F.when(F.col("rare"), F.pmod(h, "few")).otherwise(F.col("few") + F.pmod(h, "many")).cast("int"))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("rare"), F.col("few") + F.col("many")).otherwise(F.col("few")) - 1)))
     groups = spread.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "fp", "component", "n_shingles", "small", "large").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "block")
 
-    def compare(place: tuple, rows: list[tuple]) -> pa.RecordBatch:
-        block, fp, component, n, *regs = zip(*rows, strict=True)
-        block, n = np.array(block), np.array(n)
-        label = np.unique(np.array(component, object), return_inverse=True)[1]
-        known = [np.array([x is not None for x in r]) for r in regs]
-        value = [np.frombuffer(b"".join(x or bytes(2 * REGISTERS) for x in r), np.uint16).reshape(-1, REGISTERS) for r in regs]
+    def compare(table: pa.Table, at: np.ndarray) -> pa.RecordBatch:
+        key, lo, hi, block, n = (np.asarray(table.column(c)) for c in ("key", "lo", "hi", "block", "n_shingles"))
+        label = binary(table.column("component"), 2)
+        known = [np.asarray(table.column(c).is_valid()) for c in ("small", "large")]
+        value = [np.frombuffer(b"".join(x or bytes(2 * REGISTERS) for x in table.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("small", "large")]
         keys, filled = (np.concatenate(x, axis=1) for x in zip(*(bands(v, kind) for kind, v in enumerate(value)), strict=True))
         filled &= np.repeat(np.stack(known, axis=1), BANDS, axis=1)
-        left, right, chance = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
-        for i in range(len(rows)):
-            j = np.arange(i + 1, len(rows))
-            j = j[(label[j] != label[i]) & (100 * np.minimum(n[j], n[i]) >= THRESHOLD * np.maximum(n[j], n[i]))]
-            if place[1] != place[2]:
-                j = j[block[j] != block[i]]
-            if not len(j):
-                continue
-            estimate = np.full(len(j), -1.0)
+        end = np.repeat(at[1:], np.diff(at))
+        later = end - np.arange(len(table)) - 1
+        upto = np.cumsum(later)
+        left, right, first = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+        while first < len(table):
+            last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + PAIRS, side="right")))
+            i = np.repeat(np.arange(first, last), later[first:last])
+            j = i + 1 + np.arange(len(i)) - np.repeat(upto[first:last] - later[first:last] - (upto[first - 1] if first else 0), later[first:last])
+            meet = (label[i] != label[j]).any(axis=1) & (100 * np.minimum(n[i], n[j]) >= THRESHOLD * np.maximum(n[i], n[j])) & ((lo[i] == hi[i]) | (block[i] != block[j]))
+            i, j = i[meet], j[meet]
+            passes = np.zeros(len(i), bool)
             for k, v in zip(known, value, strict=True):
-                if k[i]:
-                    estimate = np.where(k[j], np.maximum(estimate, surplus(v[j], v[i])), estimate)
-            passes = estimate >= 0
-            j, estimate = j[passes], estimate[passes]
-            if not forest and len(j):
-                shared = (keys[j] == keys[i]) & filled[j] & filled[i]
-                here = keys[i][shared.argmax(axis=1)].view(np.int64) == place[0]
-                j, estimate = j[here], estimate[here]
-            left.append(np.full(len(j), i))
-            right.append(j)
-            chance.append(estimate)
-        i, j, estimate = (np.concatenate(x) for x in (left, right, chance))
-        if forest:
-            up, kept = list(range(len(rows))), []
-            for at in np.argsort(-estimate, kind="stable").tolist():
-                x, y = int(label[i[at]]), int(label[j[at]])
-                while up[x] != x:
-                    up[x] = x = up[up[x]]
-                while up[y] != y:
-                    up[y] = y = up[up[y]]
-                if x != y:
-                    up[x] = y
-                    kept.append(at)
-            i, j = i[kept], j[kept]
-        return pa.RecordBatch.from_arrays([pa.array([pick(fp[x], fp[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)], pa.binary()) for pick in (max, min)], ["a", "b"])
+                both = np.flatnonzero(k[i] & k[j])
+                passes[both] |= surplus(v[i[both]], v[j[both]]) >= 0
+            i, j = i[passes], j[passes]
+            shared = (keys[i] == keys[j]) & filled[i] & filled[j]
+            here = keys[i, shared.argmax(axis=1)].view(np.int64) == key[i]
+            left.append(i[here])
+            right.append(j[here])
+            first = last
+        i, j = np.concatenate(left), np.concatenate(right)
+        rows = np.unique(np.concatenate([i, j]))
+        opens = np.searchsorted(rows, at[:-1])
+        place = np.arange(len(rows)) - opens[np.searchsorted(at, rows, side="right") - 1]
+        order = np.argsort(i, kind="stable")
+        lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(i[order], np.append(rows, len(table))).astype(np.int32)), pa.array(place[np.searchsorted(rows, j[order])].astype(np.int32)))
+        kept = table.select(["key", "lo", "hi", "fp", "component"]).take(pa.array(rows))
+        return pa.RecordBatch.from_arrays([*(kept.column(c).combine_chunks() for c in ("key", "lo", "hi")), pa.array(place.astype(np.int32)), *(kept.column(c).combine_chunks() for c in ("fp", "component")), lists], ["key", "lo", "hi", "at", "fp", "component", "partners"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, place = [], None
-        for batch in batches:
-            for key, lo, hi, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if place != (key, lo, hi):
-                    if len(held) > 1:
-                        yield compare(place, held)
-                    held, place = [], (key, lo, hi)
-                held.append(tuple(row))
-        if len(held) > 1:
-            yield compare(place, held)
+        for table, at in whole_groups(batches, ("key", "lo", "hi")):
+            yield compare(table, at)
 
-    return groups.mapInArrow(read, "a binary, b binary")
+    return groups.mapInArrow(read, "key long, lo int, hi int, at int, fp binary, component binary, partners array<int>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(fp, set) for the wanted (doc_id, fp): their texts again, cut to the rows that have this fingerprint."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted.select(F.col("doc_id"), "fp"), F.col("id").eqNullSafe(F.col("doc_id"))).select("fp", "text")
+    """(fp, set) for the wanted (fp, row): their texts again. Rows that repeat doc_id and text repeat their set."""
+    rows = docs.select(row_key().alias("row"), "text").join(wanted, "row").select("fp", "text")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(fp, s.tobytes()) for fp, s in zip(batch.column("fp").to_pylist(), shingle_sets(batch.column("text")), strict=True) if len(s) and fingerprint(s) == fp]
-            columns = zip(*found, strict=True) if found else ([], [])
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["fp", "set"])
+            fps, first = batch.column("fp"), 0
+            held, size = [], 0
+            for s in shingle_sets(batch.column("text")):
+                held.append(s.tobytes())
+                size += len(held[-1])
+                if size >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([fps.slice(first, len(held)), pa.array(held, pa.binary())], ["fp", "set"])
+                    first, held, size = first + len(held), [], 0
+            yield pa.RecordBatch.from_arrays([fps.slice(first, len(held)), pa.array(held, pa.binary())], ["fp", "set"])
 
     return rows.mapInArrow(read, "fp binary, set binary")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are linked. b's set meets those of at most MEMBERS a at a time."""
-    crowd = pairs.groupBy("b").agg(F.count("*").alias("n"))
-    split = F.floor((F.col("n") - 1) / MEMBERS).cast("int")
-    lots = pairs.join(crowd, "b").select("a", "b", F.pmod(F.xxhash64("a"), split + 1).cast("int").alias("lot"))
-    members = lots.join(sets.withColumnRenamed("fp", "a"), "a").select("b", "lot", F.col("a").alias("fp"), "set", F.lit(1).alias("role"))
-    pivots = crowd.select("b", F.explode(F.sequence(F.lit(0), split)).alias("lot")).join(sets.withColumnRenamed("fp", "b"), "b").select("b", "lot", F.col("b").alias("fp"), "set", F.lit(0).alias("role"))
-    met = pivots.unionByName(members).repartition("b", "lot").sortWithinPartitions("b", "lot", "role")
+def confirmed_stars(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets are linked. b's set meets those of at most about MEMBERS a at a time."""
+    crowd = pairs.groupBy("b").agg(F.floor((F.count("*") - 1) / MEMBERS).cast("int").alias("last"))
+    members = pairs.join(crowd, "b").select(F.col("a").alias("fp"), "b", F.pmod(F.xxhash64("a"), F.col("last") + 1).cast("int").alias("lot"), F.lit(1).alias("role"))
+    pivots = crowd.select(F.col("b").alias("fp"), "b", F.explode(F.sequence(F.lit(0), "last")).alias("lot"), F.lit(0).alias("role"))
+    met = members.unionByName(pivots).join(sets, "fp").repartition("b", "lot").sortWithinPartitions("b", "lot", "role")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, pivot = None, None
         for batch in batches:
             found = []
-            for b, lot, fp, data, role in zip(*(batch.column(c).to_pylist() for c in ("b", "lot", "fp", "set", "role")), strict=True):
+            for fp, b, lot, role, data in zip(*(batch.column(c).to_pylist() for c in ("fp", "b", "lot", "role", "set")), strict=True):
                 s = np.frombuffer(data, U)
                 if role == 0:
                     place, pivot = (b, lot), s
-                elif place == (b, lot):
-                    both = len(np.intersect1d(pivot, s, assume_unique=True))
-                    if 100 * both >= THRESHOLD * (len(pivot) + len(s) - both):
-                        found.append((fp, b))
+                elif place == (b, lot) and linked(len(np.intersect1d(pivot, s, assume_unique=True)), len(pivot), len(s)):
+                    found.append((fp, b))
             columns = zip(*found, strict=True) if found else ([], [])
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["a", "b"])
 
     return met.mapInArrow(read, "a binary, b binary")
 
 
+def confirmed_crossings(found: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): components that a link confirmed on full sets joins, spanning what is linked in each block group of candidates()."""
+    met = found.join(sets, "fp").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "at")
+
+    def links(rows: pa.Table) -> Iterator[tuple[int, int]]:
+        places, partners = np.asarray(rows.column("at")), rows.column("partners").to_pylist()
+        at = {p: i for i, p in enumerate(places.tolist())}
+        up = np.unique(binary(rows.column("component"), 2), axis=0, return_inverse=True)[1].ravel().tolist()
+        up = {c: c for c in up}, up
+        held = [np.frombuffer(x, U) for x in rows.column("set").to_pylist()]
+        size = np.array([len(s) for s in held])
+        number = np.unique(np.concatenate(held), return_inverse=True)[1]
+        parts = np.split(number, np.cumsum(size)[:-1])
+        mark = np.zeros(int(number.max()) + 1, bool)
+
+        def root(i: int) -> int:
+            parent, x = up[0], up[1][i]
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for i, others in enumerate(partners):
+            js = [j for j in (at[p] for p in others) if root(j) != root(i)]
+            if not js:
+                continue
+            mark[parts[i]] = True
+            for j in js:
+                if root(i) != root(j) and linked(int(np.count_nonzero(mark[parts[j]])), size[i], size[j]):
+                    up[0][root(i)] = root(j)
+                    yield i, j
+            mark[parts[i]] = False
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in whole_groups(batches, ("key", "lo", "hi")):
+            a, b = [], []
+            for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                rows = table.slice(first, last - first)
+                component = rows.column("component").to_pylist()
+                for i, j in links(rows):
+                    a.append(component[i])
+                    b.append(component[j])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    return met.mapInArrow(read, "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id of the group) and kept of each row of docs.
 
     Null texts and texts without words have an empty set and are linked with nothing. Rows that
     repeat a doc_id count as documents of their own; component_id is null for a group without
     any doc_id. Rows without doc_id or words are their own component. kept: doc_id = component_id.
-    An empty table gives no rows.
+    Other columns of docs are ignored. An empty table gives no rows.
     """
     rows, labels = _labelled(docs)
     out = rows.join(labels, "fp", "left")
@@ -288,52 +354,56 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of every group: that with the smallest doc_id, and of rows that repeat it the one with the smallest text key.
+    """One row of every group: that with the smallest doc_id, and of rows that repeat it the one with the smallest row key.
 
-    Rows without words stay. The columns are those of docs.
+    Rows without words stay, all of them. The columns are those of docs, whatever their names.
     """
     rows, labels = _labelled(docs)
-    out = rows.join(labels, "fp", "left")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    if rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty():
-        gone = stage(out.where("fp is not null and doc_id <> component_id").select(F.col("doc_id").alias("_nd_id")), "gone")
-        return docs.join(gone, F.col("doc_id").cast("long") == F.col("_nd_id"), "left_anti").select(*columns)
-    heads = out.where(F.col("fp").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "component").agg(F.min("key").alias("key"))
-    heads = heads.select(F.struct("doc_id", "key").alias("_nd_head")).distinct()
-    marked = docs.withColumn("_nd_row", F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("key")))
+    heads = rows.join(labels, "fp").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("head")).select("head.row")
     worded = F.coalesce(F.col("text").rlike("[^ \\t-\\r]"), F.lit(False))
-    single = marked.where(worded).join(heads, F.col("_nd_row").eqNullSafe(F.col("_nd_head"))).dropDuplicates(["_nd_row"])
-    return single.select(*columns).unionByName(marked.where(~worded).select(*columns))
+    carried = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("carried")
+    single = docs.where(worded).select(row_key().alias("row"), carried).join(heads, "row", "left_semi").dropDuplicates(["row"])
+    return single.select("carried.*").unionByName(docs.where(~worded))
 
 
 def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The staged (doc_id, key, n_shingles, fp) rows, and (fp, component, component_id) of every node."""
+    """The staged (doc_id, row, n_shingles, fp) rows, and (fp, component, component_id) of every node."""
     spark = docs.sparkSession
     table = stage(sketch_table(docs), "sketches")
-    nodes = stage(table.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("small").alias("small"), F.first("large").alias("large")), "nodes")
+    nodes = stage(table.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("small").alias("small"), F.first("large").alias("large")), "nodes")
 
     keyed = band_keys(nodes).repartition("key")
-    shared = keyed.groupBy("key").agg(F.min("fp").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    members = stage(keyed.join(shared.select("key", "pivot"), "key"), "members")
+    shared = keyed.groupBy("key").agg(F.min(F.struct("fp", "shingles")).alias("least"), F.count("*").alias("n")).where("n > 1")  # the columns of keyed, so that its exchange is reused
+    members = stage(keyed.join(shared.select("key", F.col("least.fp").alias("pivot")), "key"), "members")
+    release(spark)
 
     stars = members.where("fp <> pivot").groupBy(F.col("fp").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("bands"))
-    stars = stage(estimated(stars, nodes), "stars")
-    wanted = members.select("fp").distinct().join(nodes.select("fp", "doc_id"), "fp")
-    sets = stage(full_sets(docs, wanted).dropDuplicates(["fp"]), "sets")
-
-    best = stars.groupBy("a").agg(F.max_by("b", F.struct("bands", "b")).alias("b"))
-    links = stage(confirmed(best, sets), "links")
-    for forest in (True, False):
-        groups = connected_components(links, "a", "b")
-        placed = members.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("component"))
-        parts = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
-        open_keys = parts.groupBy("key").agg(F.sum("c").alias("n"), F.max("c").alias("top"), F.max_by("component", F.struct("c", "component")).alias("most")).where("top < n")
-        rest = crossing_pairs(placed.join(open_keys, "key"), nodes, forest).distinct()
-        links = links.unionByName(stage(confirmed(rest, sets), "links"))
-    groups = connected_components(links, "a", "b")
-
-    whole = nodes.select("fp", "doc_id").join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "doc_id", F.coalesce("component", "fp").alias("component"))
-    labels = whole.join(whole.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("fp", "component", "component_id")
+    best = estimated(stars, nodes).groupBy("a").agg(F.max_by("b", F.struct("bands", "b")).alias("b"))
+    best = stage(best, "stars")
+    release(spark)
+
+    sets = stage(full_sets(docs, members.select("fp").distinct().join(nodes.select("fp", "row"), "fp")), "sets")
+    release(spark)
+    links = stage(confirmed_stars(best, sets), "links")
+    release(spark)
+
+    trees = forest_roots(links, "a", "b")
+    placed = members.join(trees.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "shingles", F.coalesce("component", "fp").alias("component"))
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("shingles").alias("s"))
+    whole = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "component", "s")).alias("most")).where("most.n < n")
+    blocks = lambda n, s: F.greatest(F.ceil(n / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+    open_keys = whole.select("key", F.col("most.component").alias("common"), blocks(F.col("n") - F.col("most.n"), F.col("s") - F.col("most.s")).alias("few"), blocks(F.col("most.n"), F.col("most.s")).alias("many"))
+    crossing = placed.join(open_keys, "key").select("key", "fp", "component", "few", "many", (F.col("component") != F.col("common")).alias("rare"))
+    found = stage(candidates(crossing, nodes), "candidates")
+    release(spark)
+    more = stage(confirmed_crossings(found, sets), "links")
+    release(spark)
+    groups = connected_components(more, "a", "b")
+
+    in_trees = nodes.select("fp", "doc_id").join(trees.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "doc_id", F.coalesce("component", "fp").alias("tree"))
+    joined = in_trees.join(groups.withColumnRenamed("node", "tree"), "tree", "left").select("fp", "doc_id", F.coalesce("component", "tree").alias("component"))
+    labels = joined.join(joined.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("fp", "component", "component_id")
     labels = stage(labels, "labels")
-    discard(spark, sets, stars, members)
-    return table.select("doc_id", "key", "n_shingles", "fp"), labels
+    discard(spark, sets, best, members, nodes, links, trees, more, found, groups)
+    release(spark)
+    return table.select("doc_id", "row", "n_shingles", "fp"), labels
