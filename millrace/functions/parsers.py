@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.identifiers import content_id, identifier, identifier_set, ray_id
-from millrace.functions.quality import cookie_count, cookie_names, time_quality
+from millrace.functions.quality import body_parameters, cookie_count, cookie_names, encoded_parameters, mask_events, time_quality
 from millrace.functions.values import uri_path, uri_query
 from millrace.schema import EVENT, LAYERS, PROVIDERS, TERMINAL_ACTIONS
 
@@ -41,6 +41,15 @@ def _text(v: Column) -> Column:
     return F.nullif(v, F.lit(""))
 
 
+def lower_keys(*maps: Column) -> Column:
+    """The entries of all maps under lower-case keys; of keys that meet, the last non-empty value wins. It needs no map policy of the session."""
+    none = F.array().cast("array<struct<key:string,value:string>>")
+    entries = F.filter(F.concat(*[F.coalesce(F.map_entries(m), none) for m in maps]), lambda e: F.coalesce(e["value"] != "", F.lit(False)))
+    lower = F.transform(entries, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    names = F.transform(lower, lambda e: e["key"])
+    return F.map_from_entries(F.filter(lower, lambda e, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), e["key"])))
+
+
 def edge_timestamp(v: Column) -> Column:
     """RFC 3339 text or epoch nanoseconds, cut to microseconds."""
     return F.when(v.rlike(r"\A[0-9]+\z"), F.when(v != "0", F.timestamp_micros(F.floor(v.cast("decimal(20,0)") / 1000).cast("bigint")))).otherwise(F.try_to_timestamp(_text(v)))
@@ -50,7 +59,7 @@ def _event(raw: DataFrame, provider: str, dataset: str, error: Column, **fields:
     """Complete the event columns: fixed ones, quality of time, NULL for what a provider does not say."""
     layer = fields.pop("layer", F.lit(PROVIDERS[provider]))
     quality = time_quality(F.unix_micros(fields["event_time"]), F.unix_micros("received_at"))
-    flags = F.array_compact(F.array(F.when(quality == "skewed", "clock_skew"), F.when(quality == "implausible", "implausible_time"), F.when(~fields["mapped"], "unmapped_values"), F.when(F.size(fields["identifiers"]) == 0, "no_correlation_key")))
+    flags = F.array_compact(F.array(F.when(quality == "skewed", "clock_skew"), F.when(quality == "implausible", "implausible_time"), F.when(~fields["mapped"], "unmapped_values"), F.when(F.size(fields["identifiers"]) == 0, "no_correlation_key"), F.when(F.col("truncated"), "oversized_record") if "truncated" in raw.columns else F.lit(None)))
     action = fields["action"]
     fields |= {
         "schema_version": F.lit(SCHEMA_VERSION), "parser_version": F.lit(PARSER_VERSION), "provider": F.lit(provider), "dataset": F.lit(dataset), "layer": layer, "layer_ord": (F.array_position(F.array(*map(F.lit, LAYERS)), layer) - 1).cast("int"),
@@ -78,7 +87,7 @@ def _columns(ddl: str) -> list[str]:
 
 def parse_edge(raw: DataFrame) -> DataFrame:
     r = F.from_json("payload", _EDGE, {"columnNameOfCorruptRecord": "_corrupt"})
-    raw = raw.withColumn("r", r).withColumn("headers", F.map_concat(F.coalesce(F.transform_keys("r.RequestHeaders", lambda k, v: F.lower(k)), F.create_map().cast("map<string,string>")), F.coalesce(F.transform_keys("r.ResponseHeaders", lambda k, v: F.lower(k)), F.create_map().cast("map<string,string>"))))
+    raw = raw.withColumn("r", r).withColumn("headers", lower_keys(F.col("r.RequestHeaders"), F.col("r.ResponseHeaders")))
     c = lambda n: F.col(f"r.{n}")
     header = lambda n: _text(F.try_element_at(F.col("headers"), F.lit(n)))
     parent = F.when(~F.trim(c("ParentRayID")).isin("", "00"), ray_id(c("ParentRayID")))
@@ -111,7 +120,7 @@ def parse_edge(raw: DataFrame) -> DataFrame:
 
 
 def parse_bot(raw: DataFrame) -> DataFrame:
-    raw = raw.withColumn("r", F.transform_keys(F.from_json("payload", "map<string,string>"), lambda k, v: F.lower(k)))
+    raw = raw.withColumn("r", F.from_json("payload", "map<string,string>")).withColumn("r", F.when(F.col("r").isNotNull(), lower_keys(F.col("r"))))
     first = lambda *names: F.coalesce(*[_text(F.try_element_at(F.col("r"), F.lit(n))) for n in names])
     stamp, request, action = first("timestamp", "date"), first("requestid", "request_id"), F.lower(first("action"))
     when = F.when(stamp.rlike(r"\A[0-9]+\z"), F.timestamp_millis(stamp.try_cast("bigint"))).otherwise(F.try_to_timestamp(stamp))
@@ -141,7 +150,7 @@ def parse_firewall(raw: DataFrame) -> DataFrame:
     stamp = F.coalesce(F.try_to_timestamp(said("date_time"), F.lit("yyyy-MM-dd HH:mm:ss")), F.try_to_timestamp(said("date_time")))
     ray, status = ray_id(F.coalesce(said("cf_ray"), line("CF-Ray"))), F.lower(said("request_status"))
     error = F.when(F.size("r") == 0, "no key-value pairs").when(said("support_id").isNull(), "no support_id").when(said("date_time").isNotNull() & stamp.isNull(), "bad timestamp")
-    headers = F.filter(F.slice(F.split(F.split(head, "\n\n").getItem(0), "\r?\n"), 2, 1000), lambda h: F.instr(h, ":") > 0)
+    headers = F.filter(F.slice(F.split(F.split(head, "\n\n").getItem(0), "\r?\n"), 2, 1 << 30), lambda h: F.instr(h, ":") > 0)
     action = F.when(status == "blocked", "blocked").when(status == "alerted", "logged").when(status == "passed", "allowed").otherwise("unknown")
     cookie = line("Cookie")
     return _event(
@@ -149,7 +158,7 @@ def parse_firewall(raw: DataFrame) -> DataFrame:
         ip=F.coalesce(said("ip_client"), F.trim(F.substring_index(said("x_forwarded_for_header_value"), ",", 1))), country=F.upper(said("geo_location")), method=said("method"), host=F.coalesce(said("host"), said("virtual_server"), line("Host")), path=said("uri"), query=said("query_string"),
         status=F.nullif(said("response_code").try_cast("int"), F.lit(0)), action=action, terminating=status == "blocked", mapped=F.coalesce(status.isin("blocked", "alerted", "passed"), F.lit(False)),
         rule_id=F.trim(F.substring_index(said("sig_ids"), ",", 1)), rule_name=F.trim(F.substring_index(said("sig_names"), ",", 1)), category=F.coalesce(said("attack_type"), said("violations")),
-        shape=F.struct(F.lit(None).cast("bigint").alias("request_bytes"), F.nullif(F.size(headers), F.lit(0)).alias("header_count"), F.nullif(F.aggregate(headers, F.lit(0), lambda s, h: s + F.length(h) + 2), F.lit(0)).alias("header_bytes"), cookie_count(cookie).alias("cookie_count"), cookie_names(cookie).alias("cookie_names"), _text(F.regexp_extract(head, r"\n\n([\s\S]*)\z", 1)).alias("body_form")),
+        shape=F.struct(F.lit(None).cast("bigint").alias("request_bytes"), F.nullif(F.size(headers), F.lit(0)).alias("header_count"), F.nullif(F.aggregate(headers, F.lit(0), lambda s, h: s + F.length(h) + 2), F.lit(0)).alias("header_bytes"), cookie_count(cookie).alias("cookie_count"), cookie_names(cookie).alias("cookie_names"), encoded_parameters(body_parameters(_text(F.regexp_extract(head, r"\n\n([\s\S]*)\z", 1)), line("Content-Type"))).alias("body_form")),
     )
 
 
@@ -173,12 +182,17 @@ def parse_origin(raw: DataFrame) -> DataFrame:
 PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {"cloudflare": parse_edge, "datadome": parse_bot, "f5asm": parse_firewall, "nginx": parse_origin}
 
 
-def normalize(raw: DataFrame, parsers: dict[str, Callable[[DataFrame], DataFrame]] = PARSERS) -> tuple[DataFrame, DataFrame]:
-    """(events, dead letters) of raw rows (tenant, provider, received_at, payload)."""
+def normalize(raw: DataFrame, parsers: dict[str, Callable[[DataFrame], DataFrame]] = PARSERS, token_key: bytes | None = None) -> tuple[DataFrame, DataFrame]:
+    """(events, dead letters) of raw rows (tenant, provider, received_at, payload).
+
+    Events are masked: secret headers are replaced, sensitive ones become tokens under token_key
+    (``[masked]`` without one), and secrets inside queries and paths are cut out. Dead letters
+    keep their bytes. With ``truncated`` in raw, long records are flagged.
+    """
     parsed = None
     for provider, parse in parsers.items():
         rows = parse(raw.where(F.col("provider") == provider))
         parsed = rows if parsed is None else parsed.unionByName(rows)
     bad = F.col("parse_error").isNotNull()
     dead = parsed.where(bad).select(F.substring(F.sha2("payload", 256), 1, 16).alias("dead_letter_id"), "tenant", "provider", "received_at", "payload", F.col("parse_error").alias("reason"), "parser_version", F.lit("pending").alias("state"))
-    return parsed.where(~bad).drop("parse_error", "payload"), dead
+    return mask_events(parsed.where(~bad).drop("parse_error", "payload"), token_key), dead

@@ -15,6 +15,9 @@ GROUP = "[0-9A-Fa-f]{1,4}"
 #: Full and compressed forms, the last two groups perhaps written as IPv4.
 IPV6 = rf"(({GROUP}:){{7}}{GROUP}|({GROUP}:){{6}}{IPV4}|(?=[^.]*::)(?!.*::.*::)({GROUP}(:{GROUP}){{0,6}})?::({GROUP}(:{GROUP}){{0,6}})?|(?!.*::.*::)({GROUP}(:{GROUP}){{0,4}})?::({GROUP}:){{0,5}}{IPV4})"
 
+#: IPv4 written inside IPv6 counts as IPv4.
+MAPPED = rf"(?i:(::|(0{{1,4}}:){{5}})ffff:){IPV4}"
+
 
 def _is(v: Column, pattern: str) -> Column:
     return v.rlike(rf"\A(?:{pattern})\z")
@@ -41,7 +44,7 @@ def infer_type(v: Column) -> Column:
         .when(_is(v, "-?[0-9]+"), "int")
         .when(_is(v, r"-?[0-9]+\.[0-9]+"), "float")
         .when(_is(v, "[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"), "uuid")
-        .when(_is(v, IPV4), "ipv4")
+        .when(_is(v, IPV4) | _is(v, MAPPED), "ipv4")
         .when(_ipv6(v), "ipv6")
         .when(_is(v, r"[^@\s]+@[^@\s]+\.[^@\s]+"), "email")
         .when(_date(v), "date")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.quality import truncated
+from millrace.functions.quality import oversized
 
 #: The probe that a sender posts to test an endpoint; acknowledged and not kept.
 PROBE = '{"content":"tests"}'
@@ -18,8 +18,7 @@ LANDING = "value string, provider string, feed string"
 
 def _records(lines: DataFrame, received_at: Column | None = None) -> DataFrame:
     kept = lines.where((F.trim("value") != "") & (F.regexp_replace("value", r"\s", "") != PROBE))
-    payload, cut = truncated(F.col("value"))
-    return kept.select("provider", "feed", (F.current_timestamp() if received_at is None else received_at).alias("received_at"), payload.alias("payload"), cut.alias("truncated"), F.substring(F.sha2("value", 256), 1, 16).alias("record_id"))
+    return kept.select("provider", "feed", (F.current_timestamp() if received_at is None else received_at).alias("received_at"), F.col("value").alias("payload"), oversized(F.col("value")).alias("truncated"), F.substring(F.sha2("value", 256), 1, 16).alias("record_id"))
 
 
 def read_landing(spark: SparkSession, folder: str, received_at: Column | None = None) -> DataFrame:
