@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.identifiers import joined_id
+from millrace.operators.search import scoped
 
 SUPPRESS_US = 900_000_000
 BACKLOG = 100_000
@@ -50,24 +54,70 @@ def evaluate(subjects: DataFrame, detection: Detection, id_column: str, at: str
     return hit.select(joined_id("al_", F.lit(detection.id), F.col("tenant"), F.col(id_column).cast("string"), F.col(at).cast("string")).alias("alert_id"), F.lit(detection.id).alias("detection_id"), F.lit(detection.severity).alias("severity"), "tenant", F.col(id_column).cast("string").alias("subject"), key.alias("grouping_key"), F.col(at).alias("at_us"))
 
 
-def suppress(alerts: DataFrame, window_us: int = SUPPRESS_US, keys: tuple[str, ...] = ("tenant", "grouping_key"), at: str = "at_us", ident: str = "alert_id") -> DataFrame:
-    """Adds ``admitted``: the first of a key, and each at least window_us after the last admitted one.
+def _folded(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], at: str, name: str, admit: Callable[[], Callable[[int], bool]]) -> DataFrame:
+    """rows with a boolean column: what a fold over the times of each key, in order, says of each.
 
-    Whether a row is admitted depends on the last admitted row, which no frame expresses. Times
-    of a key are folded in runs: a run starts after a pause of window_us, where admission is
-    certain, so a key is split wherever it pauses and only a run is folded as one row.
+    Whether a row is admitted depends on the rows admitted before it, which no window frame
+    expresses. The rows of a key stream through one task in order; the fold's state is all that
+    is held of them. admit makes the fold of one key.
     """
-    from pyspark.sql import Window
+    ordered = rows.select("*", F.struct(*keys).alias("_key")).repartition(*keys).sortWithinPartitions(*keys, *order)
+    schema = ordered.select("*", F.lit(True).alias(name)).schema
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, fold = None, None
+        for batch in batches:
+            said = []
+            for key, time in zip(batch.column("_key").to_pylist(), batch.column(at).to_pylist(), strict=True):
+                if fold is None or key != held:
+                    held, fold = key, admit()
+                said.append(fold(time))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.bool_())], [*batch.schema.names, name])
+
+    return ordered.mapInArrow(read, schema).drop("_key")
+
+
+def suppress(alerts: DataFrame, window_us: int = SUPPRESS_US, keys: tuple[str, ...] = ("tenant", "grouping_key"), at: str = "at_us", ident: str = "alert_id") -> DataFrame:
+    """Adds ``admitted``: the first of a key, and each at least window_us after the last admitted one. A row without a time is not admitted."""
+
+    def fresh() -> Callable[[int], bool]:
+        last = [None]
+
+        def fold(time: int) -> bool:
+            if time is None or last[0] is not None and time - last[0] < window_us:
+                return False
+            last[0] = time
+            return True
+
+        return fold
+
+    return _folded(alerts, keys, (at, ident), at, "admitted", fresh)
+
+
+def suppression_counts(admitted: DataFrame, keys: tuple[str, ...] = ("tenant", "grouping_key")) -> DataFrame:
+    """(keys..., fired, suppressed) from the result of suppress()."""
+    return admitted.groupBy(*keys).agg(F.count_if("admitted").alias("fired"), F.count_if(~F.col("admitted")).alias("suppressed"))
+
 
-    w = Window.partitionBy(*keys).orderBy(at, ident)
-    pause = F.coalesce(F.col(at) - F.lag(at).over(w) >= window_us, F.lit(True))
-    runs = alerts.withColumn("_start", F.when(pause, F.col(at))).withColumn("_run", F.last("_start", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    times = F.array_sort(F.collect_set(at))
-    zero = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-    admit = F.aggregate(times, zero, lambda s, t: F.when(s["last"].isNull() | (t - s["last"] >= window_us), F.struct(t.alias("last"), F.concat(s["kept"], F.array(t)).alias("kept"))).otherwise(s), lambda s: s["kept"])
-    kept = runs.groupBy(*keys, "_run").agg(F.collect_set(at).alias("_t"), admit.alias("_kept")).select(*keys, F.explode("_kept").alias(at), F.lit(True).alias("_ok"))
-    ranked = alerts.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, at).orderBy(ident)))
-    return ranked.join(kept, [*keys, at], "left").withColumn("admitted", F.coalesce("_ok", F.lit(False)) & (F.col("_n") == 1)).drop("_n", "_ok")
+def rate_limit(hits: DataFrame, limit: int = 10, window_us: int = 60_000_000, keys: tuple[str, ...] = ("key",), at: str = "at_us", ident: str = "hit_id") -> DataFrame:
+    """Adds ``allowed``: fewer than limit hits of the key were allowed within window_us before. Refused hits do not count."""
+
+    def fresh() -> Callable[[int], bool]:
+        allowed: deque[int] = deque()
+
+        def fold(time: int) -> bool:
+            if time is None:
+                return False
+            while allowed and time - allowed[0] >= window_us:
+                allowed.popleft()
+            if len(allowed) >= limit:
+                return False
+            allowed.append(time)
+            return True
+
+        return fold
+
+    return _folded(hits, keys, (at, ident), at, "allowed", fresh)
 
 
 def ordered_alerts(alerts: DataFrame, limit: int = 100) -> DataFrame:
@@ -75,6 +125,17 @@ def ordered_alerts(alerts: DataFrame, limit: int = 100) -> DataFrame:
     return alerts.orderBy(F.when(rank == 0, 99).otherwise(rank), F.col("at_us").desc(), "alert_id").limit(limit)
 
 
+def alert_list(alerts: DataFrame, tenant: str, unacknowledged: bool = False, limit: int = 100) -> DataFrame:
+    """A tenant's alerts, worst first and newest first among equals; perhaps only those nobody has acknowledged."""
+    mine = scoped(alerts, tenant)
+    return ordered_alerts(mine.where("acknowledged_at is null") if unacknowledged else mine, limit)
+
+
+def audit_list(records: DataFrame, tenant: str, limit: int = 100) -> DataFrame:
+    """A tenant's audit records, newest first."""
+    return scoped(records, tenant).orderBy(F.col("at_us").desc(), F.col("audit_id").desc()).limit(limit)
+
+
 def source_health(sources: DataFrame, records: DataFrame, now_us: int) -> DataFrame:
     """sources (source_id, enabled, cadence_us) with last_us and health: disabled, awaiting, silent or healthy."""
     last = records.groupBy("source_id").agg(F.max("received_us").alias("last_us"))
@@ -85,3 +146,15 @@ def source_health(sources: DataFrame, records: DataFrame, now_us: int) -> DataFr
 def stage_state(stages: DataFrame) -> DataFrame:
     state = F.when((F.col("inputs") > 0) & (F.col("outputs") == 0), "zero_output").when(F.col("backlog") > BACKLOG, "backlogged").otherwise("healthy")
     return stages.withColumn("state", state)
+
+
+# What a source must state, with the condition under which it is missing.
+ONBOARDING = {
+    "id": "coalesce(trim(source_id), '') = ''", "tenant": "coalesce(trim(tenant), '') = ''", "provider": "coalesce(trim(provider), '') = ''", "delivery_mode": "coalesce(delivery_mode, '') not in ('push', 'pull')", "parser": "coalesce(trim(parser_version), '') = ''",
+    "fixtures": "coalesce(fixture_count, 0) = 0", "cadence": "coalesce(cadence_us, 0) <= 0", "classification": "coalesce(trim(data_classification), '') = ''", "retention": "coalesce(trim(retention_policy), '') = ''", "detections": "coalesce(trim(detection_posture), '') = ''",
+}
+
+
+def onboarding_gaps(sources: DataFrame) -> DataFrame:
+    """sources with ``missing``: the names of what each has not stated, in the order of ONBOARDING."""
+    return sources.withColumn("missing", F.array_compact(F.array(*[F.when(F.expr(c), n) for n, c in ONBOARDING.items()])))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import ipaddress
+import json
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_RULES, MAX_HOSTS, MAX_PATHS, MAX_REQUESTS = 64, 200, 100, 500
+MAX_RULES, MAX_HOSTS, MAX_PATHS, MAX_REQUESTS, MAX_PATTERNS = 64, 200, 100, 500, 2000
 
 
 def _any(conditions: list[Column]) -> Column:
@@ -66,34 +68,91 @@ def in_networks(ip: Column, networks: list[str]) -> Column:
     return F.coalesce(_any([n.between(int(s.network_address), int(s.broadcast_address)) for s in spans]), F.lit(False))
 
 
-# The fields that a rule expression may name, with the flow column behind each.
+# The fields that a rule expression may name, with the flow column behind each; NULL where flows do not hold it.
 RULE_FIELDS = {
-    "ip_src": "client_ip", "ip_src_asnum": "asn", "ip_src_country": "country", "http_host": "host", "http_request_method": "method", "http_request_uri_path": "path", "http_user_agent": "user_agent", "http_response_code": "status",
+    "ip_src": "client_ip", "ip_src_asnum": "asn", "ip_src_country": "country", "ip_geoip_asnum": "asn", "ip_geoip_country": "country", "ip_geoip_continent": None,
+    "http_host": "host", "http_request_method": "method", "http_request_uri": "path", "http_request_uri_path": "path", "http_request_uri_query": None, "http_request_full_uri": None, "http_request_version": None, "http_request_body_raw": None,
+    "http_user_agent": "user_agent", "http_referer": None, "http_cookie": None, "http_response_code": "status",
+    "cf_threat_score": None, "cf_bot_management_score": None, "cf_bot_management_verified_bot": None, "cf_client_bot": None, "cf_edge_server_port": None, "ssl": None,
 }
+NUMBERS = ("ip_src_asnum", "ip_geoip_asnum", "http_response_code", "cf_threat_score", "cf_bot_management_score", "cf_edge_server_port")
+FLAGS = ("cf_bot_management_verified_bot", "cf_client_bot", "ssl")
+#: What a rule may be made of besides fields, numbers and quoted text.
+RULE_WORDS = ("and", "or", "not", "in", "between", "is", "null", "like", "true", "false")
+RULE_FUNCTIONS = ("contains", "startswith", "endswith", "lower", "upper", "length")
+RULE_TOKEN = re.compile(r"\s*(?:(?P<text>'(?:[^'\\]|'')*')|(?P<number>[0-9]+(?:\.[0-9]+)?)|(?P<name>[A-Za-z_][A-Za-z0-9_]*)|(?P<sign><=|>=|<>|!=|=|<|>|\(|\)|,))")
+
+
+class ForbiddenRule(ValueError):
+    """A rule with a name, function or character that rules may not have."""
+
+
+def rule_fields(condition: str) -> list[str]:
+    """The fields that a rule names. Every piece of it must be on the list, so a rule can call no other function."""
+    at, named, text = 0, [], condition.strip()
+    while at < len(text):
+        found = RULE_TOKEN.match(text, at)
+        if not found:
+            raise ForbiddenRule(f"a rule may not hold what follows character {at}")
+        at = found.end()
+        if name := found["name"]:
+            called = text[at:].lstrip().startswith("(")
+            if name in RULE_FIELDS and not called:
+                named.append(name)
+            elif name.lower() not in (RULE_FUNCTIONS + ("in", "and", "or", "not") if called else RULE_WORDS):
+                raise ForbiddenRule(f"a rule may not name {name}")
+    return named
 
 
 def evaluate_rules(flows: DataFrame, rules: dict[str, str]) -> DataFrame:
     """(flow_id, rule, matched, caveat) for each rule, a Spark SQL condition over RULE_FIELDS.
 
-    A condition that does not parse raises; it is not a rule that does not match. A flow without
-    a field that the rule names is compared with an empty value and carries a caveat.
+    Rules are made of fields, literals, comparisons, RULE_WORDS and RULE_FUNCTIONS only; anything
+    else raises. A condition that does not parse raises; it is not a rule that does not match. A
+    flow without a field that the rule names is compared with an empty value and carries a caveat.
     """
     if len(rules) > MAX_REQUESTS:
         raise ValueError("too many rules")
-    subject = flows.select("tenant", "flow_id", *[F.coalesce(F.col(c), F.lit(0 if f in ("ip_src_asnum", "http_response_code") else "").cast(dict(flows.dtypes)[c])).alias(f) for f, c in RULE_FIELDS.items()], *[F.col(c).isNull().alias(f"_no_{f}") for f, c in RULE_FIELDS.items()])
-    found = []
-    for name, condition in rules.items():
-        named = [f for f in RULE_FIELDS if f in condition]
-        found.append(F.struct(F.lit(name).alias("rule"), F.coalesce(F.expr(condition), F.lit(False)).alias("matched"), _any([F.col(f"_no_{f}") for f in named]).alias("caveat")))
+    kinds = dict(flows.dtypes)
+
+    def value(field: str) -> Column:
+        column = RULE_FIELDS[field]
+        empty = F.lit(0) if field in NUMBERS else F.lit(False) if field in FLAGS else F.lit("")
+        return F.coalesce(F.col(column), empty.cast(kinds[column])) if column else empty
+
+    named = {name: rule_fields(condition) for name, condition in rules.items()}
+    used = sorted({f for fields in named.values() for f in fields})
+    absent = {f: F.col(RULE_FIELDS[f]).isNull() if RULE_FIELDS[f] else F.lit(True) for f in used}
+    subject = flows.select("tenant", "flow_id", *[value(f).alias(f) for f in used], *[absent[f].alias(f"_no_{f}") for f in used])
+    found = [F.struct(F.lit(name).alias("rule"), F.coalesce(F.expr(condition), F.lit(False)).alias("matched"), _any([F.col(f"_no_{f}") for f in named[name]]).alias("caveat")) for name, condition in rules.items()]
     return subject.select("tenant", "flow_id", F.explode(F.array(*found)).alias("r")).select("tenant", "flow_id", "r.*")
 
 
 def score_requests(requests: DataFrame, rules: DataFrame, threshold: int = 5, paranoia: int = 1) -> DataFrame:
     """(request_id, matched_rules, score, blocked): every rule (rule_id, pattern, score, paranoia) whose pattern occurs adds its score.
 
-    The rule table is small and given by the caller; it is joined as a condition, so the planner
-    broadcasts it where its size allows.
+    The rules, at most MAX_PATTERNS, become columns of one pass over the requests. A request
+    without a subject matches nothing; rows that repeat a request_id add up.
     """
-    active = rules.where(F.col("paranoia") <= paranoia)
-    hit = requests.join(active, F.expr("subject rlike pattern"), "left")
-    return hit.groupBy("request_id").agg(F.count("rule_id").alias("matched_rules"), F.coalesce(F.sum("score"), F.lit(0)).alias("score")).withColumn("blocked", F.col("score") >= threshold)
+    active = rules.where(F.col("paranoia") <= paranoia).select("rule_id", "pattern", "score").limit(MAX_PATTERNS + 1).collect()
+    if len(active) > MAX_PATTERNS:
+        raise ValueError("too many patterns")
+    hits = F.array_compact(F.array(F.lit(None).cast("long"), *[F.when(F.col("subject").rlike(r["pattern"]), F.lit(r["score"]).cast("long")) for r in active]))
+    each = requests.select("request_id", hits.alias("hits")).select("request_id", F.size("hits").alias("n"), F.aggregate("hits", F.lit(0).cast("long"), lambda s, x: s + x).alias("score"))
+    return each.groupBy("request_id").agg(F.sum("n").alias("matched_rules"), F.sum("score").alias("score")).withColumn("blocked", F.col("score") >= threshold)
+
+
+def property_scope(host: Column, properties: list[str]) -> Column:
+    """Whether a caller who is limited to some properties may see the host; an empty list sees all."""
+    return F.coalesce(F.lower(host).isin(*[p.lower() for p in properties]), F.lit(False)) if properties else F.lit(True)
+
+
+def profile_config(text: str | None) -> dict:
+    """A tenant's profiling settings (enabled, hosts, excluded_paths) from JSON; profiling is off where they are absent, broken or not valid."""
+    off = {"enabled": False, "hosts": [], "excluded_paths": []}
+    try:
+        said = off | {k: v for k, v in json.loads(text or "{}").items() if k in off}
+        validate_hosts(said["hosts"], said["excluded_paths"])
+    except (ValueError, AttributeError, TypeError):
+        return off
+    return said

@@ -106,6 +106,17 @@ def flow_by_id(flows: DataFrame, tenant: str, flow_id: str) -> DataFrame:
     return scoped(flows, tenant).where(F.col("flow_id") == safe("flow_id", flow_id)).orderBy(F.col("last_us").desc()).limit(1)
 
 
+def raw_by_id(raw: DataFrame, tenant: str, raw_id: str) -> DataFrame:
+    """The raw record behind an event."""
+    return scoped(raw, tenant).where(F.col("raw_id") == safe("raw_id", raw_id))
+
+
+def export_redactions(masked: DataFrame, tenant: str = "tenant") -> DataFrame:
+    """(tenant, key, redactions) of ordered events (key, pos, masked_fields): the distinct masked fields of a flow, the first seen first."""
+    seen = masked.where(F.size("masked_fields") > 0).select(tenant, "key", "pos", F.posexplode("masked_fields").alias("at", "field")).groupBy(tenant, "key", "field").agg(F.min(F.struct("pos", "at")).alias("first"))
+    return seen.groupBy(tenant, "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "field"))), lambda x: x["field"]).alias("redactions"))
+
+
 def raw_for_flow(flows: DataFrame, raw: DataFrame) -> DataFrame:
     """The raw record of each event in event order; events whose record is gone are left out."""
     wanted = flows.select("tenant", "flow_id", F.explode("events").alias("e")).select("tenant", "flow_id", F.col("e.pos").alias("pos"), F.col("e.raw_id").alias("raw_id"))

@@ -11,6 +11,15 @@ BASELINE_MIN, BASELINE_FACTOR, ZERO_BASELINE_RATE = 100, 3.0, 0.01
 QUALITY_MIN = 100
 
 
+def dashboard_range(preset: str | None = None) -> int:
+    """Microseconds of a dashboard's range; an hour where the preset is unknown."""
+    return RANGES_US.get(preset or "", RANGES_US["1h"])
+
+
+def within_range(flows: DataFrame, preset: str | None, now_us: int) -> DataFrame:
+    return flows.where(F.col("first_us").between(now_us - dashboard_range(preset), now_us))
+
+
 def counts_by(flows: DataFrame, field: str) -> DataFrame:
     return flows.groupBy(F.coalesce(F.col(field), F.lit("")).alias(field)).agg(F.count("*").alias("n"))
 
@@ -91,6 +100,12 @@ def shares(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(*by)), 6))
 
 
+def used_percent(metrics: DataFrame) -> DataFrame:
+    """The share of storage in use, of data and free space; NULL where there is neither."""
+    whole = F.col("data_bytes") + F.col("free_bytes")
+    return metrics.withColumn("used_pct", F.when(whole > 0, F.round(100.0 * F.col("data_bytes") / whole, 4)))
+
+
 def scrape_metrics(lines: DataFrame) -> DataFrame:
     """(data_bytes, free_bytes) from a metrics page: the sum of the sizes, the last free space."""
     value = F.regexp_extract("value", r"\s([0-9.eE+-]+)\s*$", 1).try_cast("double")

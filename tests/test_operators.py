@@ -98,6 +98,47 @@ def test_alerts(spark):
     assert sorted(r["alert_id"] for r in got if r["admitted"]) == ["a0", "a3", "a6", "a7"] and len(got) == len(rows)
 
 
+def test_rate_limit_counts_allowed_hits_only(spark):
+    rows = [("a", k, t) for k, t in enumerate([0, 1, 2, 3, 59, 60, 61, 62, 62])] + [("b", 0, 5), ("b", 1, None)]
+    got = alerts.rate_limit(spark.createDataFrame(rows, "key string, hit_id long, at_us long"), limit=2, window_us=60).collect()
+    assert sorted((r["key"], r["hit_id"]) for r in got if r["allowed"]) == [("a", 0), ("a", 1), ("a", 5), ("a", 6), ("b", 0)] and len(got) == len(rows)
+
+
+def test_rules_are_made_of_allowed_pieces(spark):
+    flows = flow.materialize(correlate.correlate(log(spark, event(1, "cloudflare", ["ray:a"], country=None, status=None))))
+    rules = {"a": "ip_src_country <> 'US' and http_host in ('h', 'x')", "b": "not (http_response_code between 200 and 299) or contains(lower(http_host), 'H')", "c": "ssl = true", "d": "http_host = 'it''s -- reflect('"}
+    got = {r["rule"]: (r["matched"], r["caveat"]) for r in filters.evaluate_rules(flows, rules).collect()}
+    assert got == {"a": (True, True), "b": (True, True), "c": (False, True), "d": (False, False)}
+    for bad in ("reflect('java.lang.System','getProperty','user.name') = 'root'", "java_method('a','b') is null", "flow_id = 'x'", "http_host = (select 1)", "`http_host` = 'x'", "http_host('x')", "http_host = 'x' -- c", "1 = 1; drop", "http_host = \"x\"", "exists (http_host)", "http_host[0] = 'x'"):
+        with pytest.raises(filters.ForbiddenRule):
+            filters.evaluate_rules(flows, {"bad": bad})
+
+
+def test_profile_config_fails_closed():
+    good = '{"enabled": true, "hosts": ["*.example.com"], "excluded_paths": ["/health"]}'
+    assert filters.profile_config(good) == {"enabled": True, "hosts": ["*.example.com"], "excluded_paths": ["/health"]}
+    for bad in (None, "", "{broken", "[]", '{"enabled": true, "hosts": ["a.*.com"]}', '{"enabled": true, "excluded_paths": ["health"]}', '{"enabled": true, "hosts": ["h"]}'.replace('["h"]', str([f"h{k}" for k in range(201)]).replace("'", '"'))):
+        assert filters.profile_config(bad)["enabled"] is False
+
+
+def test_conflicts_by_event(spark):
+    rows = [event(1, "cloudflare", ["ray:a", "dd:x"], score=5.0), event(2, "datadome", ["dd:x"], score=5.0), event(3, "f5asm", ["ray:a"], action="blocked", mapped=False), event(4, "nginx", ["ray:a"], mapped=False)]
+    got = sorted((r["kind"], r["severity"], r["layers"]) for r in verdict.conflict_events(flow.materialize(correlate.correlate(log(spark, *rows)))).collect())
+    assert got == [("blocked_after_allow", "high", ["edge", "app_firewall"]), ("layer_disagreement", "medium", ["edge", "bot_management", "origin", "app_firewall"]), ("score_conflict", "low", ["edge"]), ("score_conflict", "medium", ["bot_management"]), ("unmapped_action", "low", ["app_firewall"]), ("unmapped_action", "low", ["origin"])]
+
+
+def test_deep_paths_are_templated(spark):
+    paths = ["/" + "/".join(["d"] * 40) + f"/{k}" for k in range(80)]
+    out = profile.learn_templates(spark.createDataFrame([("s", p) for p in paths] + [(None, None)], "scope string, path string"), ["scope"])
+    assert {r["template"]: r["count"] for r in out.groupBy("template").count().collect()} == {"/" + "/".join(["d"] * 40) + "/{int}": 80, None: 1}
+
+
+def test_storage_used(spark):
+    lines = [(1, 'vl_data_size_bytes{type="a"} 30'), (2, 'vl_data_size_bytes{type="b"} 45'), (3, "vl_free_disk_space_bytes 9"), (4, "vl_free_disk_space_bytes 25"), (5, "other 7")]
+    row = stats.used_percent(stats.scrape_metrics(spark.createDataFrame(lines, "line_no long, value string"))).first()
+    assert (row["data_bytes"], row["free_bytes"], row["used_pct"]) == (75.0, 25.0, 75.0)
+
+
 def test_filters(spark):
     rows = [("A.Example.com", "/x"), ("example.com:80", "/health"), (None, "/x"), ("evil-example.com", "/x")]
     df = spark.createDataFrame(rows, "host string, path string")
