@@ -15,7 +15,15 @@ from millrace.operators.flow import materialize
 from millrace.schema import LAYERS, PROVIDERS
 from millrace.staging import stage
 
-_flows: dict[tuple[str, str], DataFrame] = {}
+_flows: dict[tuple, DataFrame] = {}
+
+
+def _version(spark: SparkSession, sf_dir: str) -> tuple:
+    """What tells one state of the events from another: the session, the path, and each file's time and length."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((f.getPath().getName(), f.getModificationTime(), f.getLen()) for f in (store.listStatus(path) if store.getFileStatus(path).isDirectory() else [store.getFileStatus(path)]))
+    return spark.sparkContext.applicationId, sf_dir, *files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,8 +50,8 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log with key and method_tier, staged once a session: events as they lie in the flow store."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The log with key and method_tier, staged once a session and state of the events: events as they lie in the flow store."""
+    key = _version(spark, sf_dir)
     if key not in _flows:
         _flows[key] = stage(correlate(request_log(spark, sf_dir)), "keyed_log")
     return _flows[key]
@@ -51,7 +59,7 @@ def keyed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flow table, materialised once a session from the keyed log."""
-    key = (spark.sparkContext.applicationId, sf_dir, "flows")
+    key = (*_version(spark, sf_dir), "flows")
     if key not in _flows:
         _flows[key] = stage(materialize(keyed_log(spark, sf_dir)), "flows")
     return _flows[key]

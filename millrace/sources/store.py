@@ -9,13 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.staging import stage
-
-
-def append(df: DataFrame, root: str, name: str, at: str) -> None:
-    """Append rows with a ``day`` taken from the time column."""
-    day = F.col(at).cast("date") if dict(df.dtypes)[at] == "timestamp" else F.timestamp_micros(F.col(at)).cast("date")
-    df.withColumn("day", day).write.mode("append").partitionBy("tenant", "day").parquet(f"{root}/{name}")
+from millrace.staging import discard, stage
 
 
 def read(spark: SparkSession, root: str, name: str, tenant: str, days: tuple[str, str] | None = None) -> DataFrame:
@@ -26,39 +20,62 @@ def read(spark: SparkSession, root: str, name: str, tenant: str, days: tuple[str
     return rows.where(F.col("day").between(*days)) if days else rows
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def _partitions(df: DataFrame) -> list[str]:
+    """The columns a table is partitioned by: tenant and day, and the hour where it has one, so a busy table's rewrites stay small."""
+    return ["tenant", "day", *(["hour"] if "hour" in df.columns else [])]
+
+
 def overwrite_by_key(spark: SparkSession, root: str, name: str, new: DataFrame, keys: list[str]) -> None:
     """Replace the rows of new's keys; only the partitions that hold one of them are rewritten."""
-    path = f"{root}/{name}"
-    try:
-        old = spark.read.parquet(path)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        new.write.mode("append").partitionBy("tenant", "day").parquet(path)
+    path, parts = f"{root}/{name}", _partitions(new)
+    if not exists(spark, path):
+        new.write.mode("append").partitionBy(*parts).parquet(path)
         return
-    hit = old.join(new.select(*keys).distinct(), keys, "left_semi").select("tenant", "day").union(new.select("tenant", "day")).distinct()
-    kept = old.join(hit, ["tenant", "day"], "left_semi").join(new.select(*keys).distinct(), keys, "left_anti")
+    old = spark.read.parquet(path)
+    hit = old.join(new.select(*keys).distinct(), keys, "left_semi").select(*parts).union(new.select(*parts)).distinct()
+    kept = old.join(hit, parts, "left_semi").join(new.select(*keys).distinct(), keys, "left_anti")
     whole = stage(kept.unionByName(new), name)
     empty = stage(hit, "touched")
-    gone = empty.join(whole.select("tenant", "day").distinct(), ["tenant", "day"], "left_anti")
-    whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant", "day").parquet(path)
+    gone = empty.join(whole.select(*parts).distinct(), parts, "left_anti")
+    whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
     _drop(spark, path, gone)
+    discard(spark, whole, empty)
+
+
+def delete_keys(spark: SparkSession, root: str, name: str, gone: DataFrame, keys: list[str]) -> None:
+    """Delete the rows whose keys are in gone; only the partitions that hold one are rewritten."""
+    path = f"{root}/{name}"
+    rows = spark.read.parquet(path)
+    parts = _partitions(rows)
+    gone = gone.select(*keys).distinct()
+    hit = stage(rows.join(gone, keys, "left_semi").select(*parts).distinct(), "touched")
+    kept = stage(rows.join(hit, parts, "left_semi").join(gone, keys, "left_anti"), "kept")
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+    _drop(spark, path, hit.join(kept.select(*parts).distinct(), parts, "left_anti"))
+    discard(spark, hit, kept)
 
 
 def delete_where(spark: SparkSession, root: str, name: str, condition: Column) -> None:
     """Rewrite the partitions that hold a matching row without it."""
     path = f"{root}/{name}"
     rows = spark.read.parquet(path)
-    hit = stage(rows.where(condition).select("tenant", "day").distinct(), "touched")
-    kept = stage(rows.join(hit, ["tenant", "day"], "left_semi").where(~F.coalesce(condition, F.lit(False))), "kept")
-    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant", "day").parquet(path)
-    _drop(spark, path, hit.join(kept.select("tenant", "day").distinct(), ["tenant", "day"], "left_anti"))
+    parts = _partitions(rows)
+    hit = stage(rows.where(condition).select(*parts).distinct(), "touched")
+    kept = stage(rows.join(hit, parts, "left_semi").where(~F.coalesce(condition, F.lit(False))), "kept")
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+    _drop(spark, path, hit.join(kept.select(*parts).distinct(), parts, "left_anti"))
+    discard(spark, hit, kept)
 
 
 def _drop(spark: SparkSession, path: str, parts: DataFrame) -> None:
     hadoop = spark._jvm.org.apache.hadoop.fs
     for row in parts.toLocalIterator():
-        folder = hadoop.Path(f"{path}/tenant={row['tenant']}/day={row['day']}")
+        folder = hadoop.Path("/".join([path, *(f"{c}={row[c]}" for c in parts.columns)]))
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
@@ -69,5 +86,7 @@ def audit_export(records: DataFrame, tenant: str, first_us: int, last_us: int, r
     checked without holding the export in one place.
     """
     lines = records.where((F.col("tenant") == tenant) & F.col("at_us").between(first_us, last_us)).select("at_us", F.sha2(F.to_json(F.struct(*records.columns)), 256).alias("digest"))
-    by_hour = lines.groupBy(F.floor(F.col("at_us") / 3_600_000_000).alias("hour")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("digest")), ""), 256).alias("digest"))
+    # a block holds the lines of one hour whose digests share two hex digits, so no row gathers an hour
+    block = F.concat_ws(":", F.lpad(F.floor(F.col("at_us") / 3_600_000_000).cast("string"), 12, "0"), F.substring("digest", 1, 2))
+    by_hour = lines.groupBy(block.alias("hour")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("digest")), ""), 256).alias("digest"))
     return by_hour.agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("hour", "digest"))), lambda x: x["digest"]), ""), 256).alias("sha256"), F.lit(retain_days).alias("retain_days")).where("n > 0")

@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from millrace.functions.parsers import normalize
+from millrace.functions.parsers import PARSERS, normalize
+from millrace.operators import search
 from millrace.operators.correlate import correlate
 from millrace.operators.flow import materialize
 from millrace.sources.landing import distinct_records, stream_landing, with_feeds
-from millrace.sources.store import overwrite_by_key
+from millrace.sources.store import delete_keys, exists, overwrite_by_key
 from millrace.staging import stage
 
 HORIZON_US = 3_600_000_000
@@ -31,44 +32,104 @@ def log_rows(events: DataFrame) -> DataFrame:
 
 
 def dated(df: DataFrame, at: str) -> DataFrame:
-    return df.withColumn("day", F.timestamp_micros(F.col(at)).cast("date"))
+    """df with the day and hour that its table is partitioned by."""
+    time = F.timestamp_micros(F.col(at))
+    return df.withColumn("day", time.cast("date")).withColumn("hour", F.hour(time))
 
 
-def absorb(spark: SparkSession, batch: DataFrame, root: str) -> None:
-    """One micro-batch of raw records (tenant, provider, received_at, payload) into the store."""
-    good, dead = normalize(batch)
-    new = stage(dated(log_rows(good), "at_us"), "batch")
-    overwrite_by_key(spark, root, "dead_letters", dated(dead, "received_us") if "received_us" in dead.columns else dead.withColumn("day", F.col("received_at").cast("date")), ["tenant", "dead_letter_id"])
-    overwrite_by_key(spark, root, "events", new, ["tenant", "event_id"])
-    # events that may share a flow with the batch: those within the horizon of its times
-    span = new.groupBy("tenant").agg((F.min("at_us") - HORIZON_US).alias("_from"), (F.max("at_us") + HORIZON_US).alias("_to"))
+def _near(spark: SparkSession, root: str, new: DataFrame) -> DataFrame:
+    """The stored events that may share a flow with new ones.
+
+    Those are the events within HORIZON_US of a new one, by buckets of that length, and all
+    events of the stored flows that these belong to, however far a flow reaches.
+    """
     stored = spark.read.parquet(f"{root}/events")
-    near = stored.join(span, "tenant").where((F.col("at_us") >= F.col("_from")) & (F.col("at_us") <= F.col("_to"))).drop("_from", "_to")
-    keyed = stage(correlate(near), "keyed")
-    touched = keyed.join(new.select("tenant", "event_id"), ["tenant", "event_id"], "left_semi").select("tenant", "key").where("key is not null").distinct()
-    whole = keyed.join(touched, ["tenant", "key"], "left_semi")
+    bucket = F.floor(F.col("at_us") / HORIZON_US)
+    around = new.select("tenant", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_bucket")).distinct()
+    near = stored.withColumn("_bucket", bucket).join(around, ["tenant", "_bucket"], "left_semi").drop("_bucket")
+    if not exists(spark, f"{root}/flows"):
+        return near
+    members = flow_members(spark.read.parquet(f"{root}/flows"))
+    reached = members.join(near.select("tenant", "event_id"), ["tenant", "event_id"], "left_semi").select("tenant", "flow_id").distinct()
+    wanted = members.join(reached, ["tenant", "flow_id"], "left_semi").select("tenant", "event_id").union(near.select("tenant", "event_id")).distinct()
+    return stored.join(wanted, ["tenant", "event_id"], "left_semi")
+
+
+def flow_members(flows: DataFrame) -> DataFrame:
+    """(tenant, flow_id, event_id) of stored flows."""
+    return flows.select("tenant", "flow_id", F.explode("events.event_id").alias("event_id"))
+
+
+def keep_wanted(events: DataFrame, configs: DataFrame | None) -> DataFrame:
+    """events without those that their tenant's filters drop.
+
+    configs: (tenant, filters), filters a JSON list of {field, op, values}. Tenants without a
+    config, and those whose filters do not parse, keep everything.
+    """
+    if configs is None:
+        return events
+    rules = F.from_json("filters", "array<struct<field:string,op:string,values:array<string>>>")
+    named = configs.select(F.col("tenant").alias("_tenant"), F.filter(rules, lambda r: r["values"].isNotNull()).alias("_rules"))
+
+    def hit(rule):
+        subject = F.lower(F.nullif(F.when(rule["field"] == "request_host", F.col("host")).when(rule["field"] == "request_path", F.col("path")), F.lit("")))
+        wanted = F.filter(F.transform(rule["values"], lambda v: F.lower(F.trim(v))), lambda v: v != "")
+        return F.exists(wanted, lambda v: F.coalesce(F.when(rule["op"] == "equals", subject == v).when(rule["op"] == "suffix", subject.endswith(v)).when(rule["op"] == "prefix", subject.startswith(v)).when(rule["op"] == "contains", subject.contains(v)), F.lit(False)))
+
+    joined = events.join(named, F.col("tenant") == F.col("_tenant"), "left")
+    return joined.where(~F.coalesce(F.exists("_rules", hit), F.lit(False))).drop("_tenant", "_rules")
+
+
+def absorb(spark: SparkSession, batch: DataFrame, root: str, configs: DataFrame | None = None, token_key: bytes | None = None) -> None:
+    """One micro-batch of raw records (tenant, provider, received_at, payload) into the store.
+
+    The raw records go to ``raw`` under the raw_id of their events, the events to ``events``, and
+    the flows that the batch touches are materialised again. A stored flow that holds an event
+    whose key has changed since, by a late bridge or because its cluster became ambiguous, is
+    deleted and its events go to the flows of their present keys.
+    """
+    good, dead = normalize(batch, token_key=token_key)
+    new = stage(dated(keep_wanted(log_rows(good), configs), "at_us"), "batch")
+    overwrite_by_key(spark, root, "dead_letters", dated(dead.withColumn("_us", F.unix_micros("received_at")), "_us").drop("_us"), ["tenant", "dead_letter_id"])
+    overwrite_by_key(spark, root, "raw", dated(raw_records(batch).withColumn("_us", F.unix_micros("received_at")), "_us").drop("_us"), ["tenant", "raw_id"])
+    if new.isEmpty():
+        return
+    overwrite_by_key(spark, root, "events", new, ["tenant", "event_id"])
+    keyed = stage(correlate(_near(spark, root, new)), "keyed")
+    touched = keyed.join(new.select("tenant", "event_id"), ["tenant", "event_id"], "left_semi").select("tenant", "key")
+    stale = None
+    if exists(spark, f"{root}/flows"):
+        members = flow_members(spark.read.parquet(f"{root}/flows")).join(keyed.select("tenant", "event_id", "key"), ["tenant", "event_id"])
+        moved = stage(members.where(~F.col("flow_id").eqNullSafe(F.concat(F.lit("flow:"), "key"))), "moved")
+        touched = touched.union(moved.select("tenant", "key"))
+        stale = moved.select("tenant", "flow_id").distinct()
+    whole = keyed.join(touched.where("key is not null").distinct(), ["tenant", "key"], "left_semi")
     flows = stage(dated(materialize(whole), "first_us"), "flows")
-    # a flow whose key got smaller by a late bridge replaces the flows of its other identifiers
-    old = flows.select("tenant", F.explode(F.array_union("ray_ids", "vendor_request_ids")).alias("id")).select("tenant", F.concat(F.lit("flow:"), "id").alias("flow_id"))
-    try:
-        gone = spark.read.parquet(f"{root}/flows").join(old.join(flows, ["tenant", "flow_id"], "left_anti").distinct(), ["tenant", "flow_id"], "left_semi")
-        if not gone.isEmpty():
-            from millrace.sources.store import delete_where
-
-            ids = [r["flow_id"] for r in gone.select("flow_id").distinct().collect()]  # merged flows of one micro-batch
-            delete_where(spark, root, "flows", F.col("flow_id").isin(ids))
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    if stale is not None:
+        delete_keys(spark, root, "flows", stale.join(flows, ["tenant", "flow_id"], "left_anti"), ["tenant", "flow_id"])
     overwrite_by_key(spark, root, "flows", flows, ["tenant", "flow_id"])
 
 
-def run(spark: SparkSession, landing: str, feeds: DataFrame, root: str, checkpoint: str, available_now: bool = True, seconds: int = 5) -> StreamingQuery:
-    """Start the stream. available_now: take what is there and stop."""
+def raw_records(batch: DataFrame) -> DataFrame:
+    """(tenant, provider, raw_id, received_at, payload) of the records that parse: what is kept as evidence."""
+    rows = None
+    for provider, parse in PARSERS.items():
+        parsed = parse(batch.where(F.col("provider") == provider)).where("parse_error is null").select("tenant", "provider", "raw_id", "received_at", "payload")
+        rows = parsed if rows is None else rows.unionByName(parsed)
+    return rows.dropDuplicates(["tenant", "raw_id"])
+
+
+def raw_by_id(spark: SparkSession, root: str, tenant: str, raw_id: str) -> DataFrame:
+    """The raw record behind an event."""
+    return search.raw_by_id(spark.read.parquet(f"{root}/raw"), tenant, raw_id)
+
+
+def run(spark: SparkSession, landing: str, feeds: DataFrame, root: str, checkpoint: str, available_now: bool = True, seconds: int = 5, configs: DataFrame | None = None, token_key: bytes | None = None) -> StreamingQuery:
+    """Start the stream. available_now: take what is there and stop. configs: the tenants' filters; token_key: for masked values."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
         records = distinct_records(with_feeds(batch, feeds))
-        absorb(spark, stage(records, f"records-{batch_id}"), root)
+        absorb(spark, stage(records, f"records-{batch_id}"), root, configs, token_key)
 
     writer = stream_landing(spark, landing).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{seconds} seconds")).start()

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from millrace.operators.profile import endpoint_profile, merge_profiles
-from millrace.staging import stage
+from millrace.operators.profile import endpoint_profile, learn_templates, merge_profiles
+from millrace.staging import discard, stage
 
 DEDUP_TTL = "2 hours"
 
@@ -17,10 +17,6 @@ def distinct_flows(flows: DataFrame) -> DataFrame:
     return flows.withWatermark("last_seen", DEDUP_TTL).dropDuplicatesWithinWatermark(["tenant", "flow_id"])
 
 
-def observations(flows: DataFrame) -> DataFrame:
-    return flows.select("tenant", "host", "method", F.col("path").alias("template"), F.col("last_us").alias("seen_us"), F.explode("providers").alias("provider"), "flow_id")
-
-
 def run(spark: SparkSession, flows: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
     """Merge what is available into ``<root>/profiles``; the table of a batch replaces the one before it."""
     scope = ["tenant", "host", "method"]
@@ -35,6 +31,20 @@ def run(spark: SparkSession, flows: DataFrame, root: str, checkpoint: str) -> St
 
 
 def profiles(spark: SparkSession, root: str) -> DataFrame:
-    return merge_profiles(spark.read.parquet(f"{root}/profile_parts").drop("batch_id"), ["tenant", "host", "method"])
-
+    """The endpoint profiles of all batches: paths templated by all that was seen of them, parts merged.
 
+    An endpoint whose paths collapse later is gone from the result, as its parts are stored by path.
+    """
+    scope = ["tenant", "host", "method"]
+    parts = spark.read.parquet(f"{root}/profile_parts").drop("batch_id").withColumnRenamed("template", "path")
+    return merge_profiles(learn_templates(parts, scope, weight="observations").drop("path"), scope)
+
+
+def compact(spark: SparkSession, root: str) -> None:
+    """Merge the parts of all batches so far into one part under the last batch's number; the stream must be stopped."""
+    path, scope = f"{root}/profile_parts", ["tenant", "host", "method"]
+    parts = spark.read.parquet(path)
+    last = parts.agg(F.max("batch_id")).first()[0]
+    whole = stage(merge_profiles(parts.drop("batch_id"), scope).withColumn("batch_id", F.lit(last)), "parts")
+    whole.write.mode("overwrite").partitionBy("batch_id").parquet(path)
+    discard(spark, whole)
