@@ -217,10 +217,11 @@ def rule_block_baseline(spark, d):
     return stats.rule_baseline(request_log(spark, d)).withColumns({c: F.round(c, 6) for c in ("mean", "variance")})
 
 
-@query("SELECT b.rule_id, b.observations, round(b.mean, 6) AS mean, round(r.mean, 6) AS recent, round(CASE WHEN b.mean > 0 THEN r.mean / b.mean WHEN r.mean > 0.01 THEN CAST('inf' AS DOUBLE) ELSE 0 END, 6) AS factor, b.observations >= 100 AND CASE WHEN b.mean > 0 THEN r.mean / b.mean >= 3 ELSE r.mean > 0.01 END AS deviates FROM b2 b JOIN r2 r ON r.rule_id = b.rule_id", LOG_SQL + ", b2 AS (SELECT rule_id, count(*) AS observations, avg(CAST(terminating AS DOUBLE)) AS mean FROM log WHERE r % 2 = 0 GROUP BY rule_id), r2 AS (SELECT rule_id, avg(CAST(terminating AS DOUBLE)) AS mean FROM log WHERE r % 2 = 1 OR r % 3 = 0 GROUP BY rule_id)")
+@query("SELECT b.rule_id, b.observations, round(b.mean, 6) AS mean, round(r.mean, 6) AS recent, round(CASE WHEN b.mean > 0 THEN r.mean / b.mean WHEN r.mean > 0.01 THEN CAST('inf' AS DOUBLE) ELSE 0 END, 6) AS factor, b.observations >= 100 AND CASE WHEN b.mean > 0 THEN r.mean / b.mean >= 3 ELSE r.mean > 0.01 END AS deviates FROM b2 b JOIN r2 r ON r.rule_id = b.rule_id", LOG_SQL + ", b2 AS (SELECT rule_id, count(*) AS observations, avg(CAST(terminating AS DOUBLE)) AS mean FROM log WHERE event_us < 1705622400000000 GROUP BY rule_id), r2 AS (SELECT rule_id, avg(CAST(terminating AS DOUBLE)) AS mean FROM log WHERE event_us >= 1705622400000000 GROUP BY rule_id)")
 def rule_deviation(spark, d):
     log = request_log(spark, d)
-    out = stats.rule_deviation(stats.rule_baseline(log.where("r % 2 = 0")), stats.rule_baseline(log.where("r % 2 = 1 or r % 3 = 0")))
+    since = 1_705_622_400_000_000
+    out = stats.rule_deviation(stats.rule_baseline(log.where(F.col("event_us") < since)), stats.rule_baseline(log.where(F.col("event_us") >= since)))
     return out.withColumns({c: F.round(c, 6) for c in ("mean", "recent", "factor")})
 
 
@@ -267,15 +268,32 @@ def stage_state(spark, d):
     return alerts.stage_state(stages).drop("backlog")
 
 
-@query("SELECT tenant AS subject, 'exact_ratio' AS detection_id FROM (SELECT tenant, count(*) AS total, count(*) FILTER (WHERE completeness = 'complete') / count(*) AS exact FROM flows GROUP BY tenant) WHERE total >= 100 AND exact < 0.80", FLOW_SQL)
+@query("""SELECT subject, detection_id FROM (
+SELECT tenant AS subject, 'exact_ratio' AS detection_id FROM (SELECT tenant, count(*) AS total, count(*) FILTER (WHERE correlation_method <> 'heuristic') / count(*) AS exact FROM flows GROUP BY tenant) WHERE total >= 100 AND exact < 0.80
+UNION ALL SELECT provider, 'source_silence' FROM log GROUP BY provider HAVING (SELECT max(event_us) FROM log) - max(event_us) > 600000000
+UNION ALL SELECT layer, 'zero_output' FROM log GROUP BY layer HAVING count(*) FILTER (WHERE action = 'blocked' AND layer_ord < 3) = 0
+UNION ALL SELECT provider, 'parse_failure' FROM log GROUP BY provider HAVING count(*) FILTER (WHERE status >= 500) / count(*) > 0.01)""", FLOW_SQL)
 def builtin_detections(spark, d):
-    subjects = flows(spark, d).groupBy("tenant").agg(F.count("*").alias("total"), (F.count_if(F.col("completeness") == "complete") / F.count("*")).alias("exact"), F.max("last_us").alias("at_us"))
-    return alerts.evaluate(subjects, next(x for x in alerts.BUILTIN if x.id == "exact_ratio"), "tenant").select("subject", "detection_id")
-
-
-@query("SELECT tenant, flow_id, event_id, raw_id, pos FROM (SELECT tenant, 'flow:' || key AS flow_id, event_id, raw_id, pos FROM ordered) WHERE event_id % 3 <> 0", KEY_SQL)
+    """All four: flows by tenant, sources and parse failures (here server errors) by provider, stages by layer."""
+    log, one_of = request_log(spark, d), {x.id: x for x in alerts.BUILTIN}
+    total = F.count("*").alias("total")
+    tenants = flows(spark, d).groupBy("tenant").agg(total, (F.count_if(F.col("correlation_method") != "heuristic") / F.count("*")).alias("exact"), F.max("last_us").alias("at_us"))
+    now = log.agg(F.max("event_us")).first()[0]
+    seen = log.select(F.col("provider").alias("source_id"), F.col("event_us").alias("received_us"))
+    sources = seen.select("source_id", F.lit(True).alias("enabled"), F.lit(600_000_000).alias("cadence_us")).distinct()
+    sources = alerts.source_health(sources, seen, now).select("source_id", "health", F.col("last_us").alias("at_us"), F.lit("t").alias("tenant"))
+    stages = log.groupBy(F.col("layer").alias("stage")).agg(F.count("*").alias("inputs"), F.count_if((F.col("action") == "blocked") & (F.col("layer_ord") < 3)).alias("outputs"), F.max("event_us").alias("at_us")).withColumn("tenant", F.lit("t"))
+    parsed = log.groupBy(F.col("provider").alias("source_id")).agg(F.count("*").alias("records"), F.count_if(F.col("status") >= 500).alias("failures"), F.max("event_us").alias("at_us")).withColumn("tenant", F.lit("t"))
+    found = None
+    for rows, name, key in ((tenants, "exact_ratio", "tenant"), (sources, "source_silence", "source_id"), (stages, "zero_output", "stage"), (parsed, "parse_failure", "source_id")):
+        fired = alerts.evaluate(rows, one_of[name], key).select("subject", "detection_id")
+        found = fired if found is None else found.unionByName(fired)
+    return found
+
+
+@query("SELECT tenant, flow_id, event_id, raw_id, pos FROM (SELECT tenant, 'flow:' || key AS flow_id, event_id, raw_id, pos FROM ordered)", KEY_SQL)
 def raw_evidence(spark, d):
-    raw = request_log(spark, d).where("event_id % 3 <> 0").select("tenant", "raw_id", "event_id")
+    raw = request_log(spark, d).select("tenant", "raw_id", "event_id")
     return search.raw_for_flow(flows(spark, d), raw).select("tenant", "flow_id", "event_id", "raw_id", F.col("pos").cast("bigint").alias("pos"))
 
 
