@@ -6,6 +6,7 @@ deletion of whole days drops folders.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +21,14 @@ def read(spark: SparkSession, root: str, name: str, tenant: str, days: tuple[str
     return rows.where(F.col("day").between(*days)) if days else rows
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+def load(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at path; None where there is none yet, or none of its rows are left."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def _partitions(df: DataFrame) -> list[str]:
@@ -33,10 +39,10 @@ def _partitions(df: DataFrame) -> list[str]:
 def overwrite_by_key(spark: SparkSession, root: str, name: str, new: DataFrame, keys: list[str]) -> None:
     """Replace the rows of new's keys; only the partitions that hold one of them are rewritten."""
     path, parts = f"{root}/{name}", _partitions(new)
-    if not exists(spark, path):
+    old = load(spark, path)
+    if old is None:
         new.write.mode("append").partitionBy(*parts).parquet(path)
         return
-    old = spark.read.parquet(path)
     hit = old.join(new.select(*keys).distinct(), keys, "left_semi").select(*parts).union(new.select(*parts)).distinct()
     kept = old.join(hit, parts, "left_semi").join(new.select(*keys).distinct(), keys, "left_anti")
     whole = stage(kept.unionByName(new), name)

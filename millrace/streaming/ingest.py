@@ -16,7 +16,7 @@ from millrace.operators import search
 from millrace.operators.correlate import correlate
 from millrace.operators.flow import materialize
 from millrace.sources.landing import distinct_records, stream_landing, with_feeds
-from millrace.sources.store import delete_keys, exists, overwrite_by_key
+from millrace.sources.store import delete_keys, load, overwrite_by_key
 from millrace.staging import stage
 
 HORIZON_US = 3_600_000_000
@@ -47,9 +47,10 @@ def _near(spark: SparkSession, root: str, new: DataFrame) -> DataFrame:
     bucket = F.floor(F.col("at_us") / HORIZON_US)
     around = new.select("tenant", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_bucket")).distinct()
     near = stored.withColumn("_bucket", bucket).join(around, ["tenant", "_bucket"], "left_semi").drop("_bucket")
-    if not exists(spark, f"{root}/flows"):
+    flows = load(spark, f"{root}/flows")
+    if flows is None:
         return near
-    members = flow_members(spark.read.parquet(f"{root}/flows"))
+    members = flow_members(flows)
     reached = members.join(near.select("tenant", "event_id"), ["tenant", "event_id"], "left_semi").select("tenant", "flow_id").distinct()
     wanted = members.join(reached, ["tenant", "flow_id"], "left_semi").select("tenant", "event_id").union(near.select("tenant", "event_id")).distinct()
     return stored.join(wanted, ["tenant", "event_id"], "left_semi")
@@ -97,9 +98,9 @@ def absorb(spark: SparkSession, batch: DataFrame, root: str, configs: DataFrame
     overwrite_by_key(spark, root, "events", new, ["tenant", "event_id"])
     keyed = stage(correlate(_near(spark, root, new)), "keyed")
     touched = keyed.join(new.select("tenant", "event_id"), ["tenant", "event_id"], "left_semi").select("tenant", "key")
-    stale = None
-    if exists(spark, f"{root}/flows"):
-        members = flow_members(spark.read.parquet(f"{root}/flows")).join(keyed.select("tenant", "event_id", "key"), ["tenant", "event_id"])
+    stale, stored = None, load(spark, f"{root}/flows")
+    if stored is not None:
+        members = flow_members(stored).join(keyed.select("tenant", "event_id", "key"), ["tenant", "event_id"])
         moved = stage(members.where(~F.col("flow_id").eqNullSafe(F.concat(F.lit("flow:"), "key"))), "moved")
         touched = touched.union(moved.select("tenant", "key"))
         stale = moved.select("tenant", "flow_id").distinct()

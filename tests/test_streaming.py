@@ -4,6 +4,7 @@ import datetime
 import gzip
 import json
 import os
+import time
 
 from pyspark.sql import functions as F
 
@@ -20,6 +21,15 @@ def deliver(root, provider, feed, name, lines, squeeze=False):
         f.write(gzip.compress(data) if squeeze else data)
 
 
+def wait_for(condition, seconds=90):
+    until = time.monotonic() + seconds
+    while not condition():
+        if time.monotonic() > until:
+            return False
+        time.sleep(0.5)
+    return True
+
+
 ORIGIN = '{"time_iso8601":"2024-01-01T00:00:00+00:00","cf_ray":"%s-FRA","status":"200","request_uri":"/a","host":"h"}'
 BOT = '{"requestid":"%s","timestamp":"2024-01-01T00:00:00.150Z","action":"allow"}'
 
@@ -51,9 +61,66 @@ def test_window_closes(spark, tmp_path):
     path = str(tmp_path / "in")
     schema = "tenant string, key string, event_id string, layer_ord int, terminating boolean"
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(path)
-    q = window.windows(spark.readStream.schema(schema).parquet(path)).writeStream.format("memory").queryName("closed").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert {(r["key"], r["reason"], r["n_events"]) for r in spark.table("closed").collect()} == {("k1", "all_layers", 4), ("k2", "terminal_complete", 1)}
+    q = window.windows(spark.readStream.schema(schema).parquet(path)).writeStream.format("memory").queryName("closed").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="1 second").start()
+    # timers of processing time always ask for one more batch, so the stream is stopped from outside
+    closed = lambda: {(r["key"], r["reason"], r["n_events"]) for r in spark.table("closed").collect()}
+    want = {("k1", "all_layers", 4), ("k2", "terminal_complete", 1)}
+    assert wait_for(lambda: closed() == want) and wait_for(lambda: q.lastProgress is not None)
+    q.stop()
+
+
+def test_window_elapses(spark, tmp_path):
+    path, schema = str(tmp_path / "in"), "tenant string, key string, event_id string, layer_ord int, terminating boolean"
+    spark.createDataFrame([("t", "k3", "6", 1, True), ("t", "k3", "7", 2, False)], schema).coalesce(1).write.parquet(path)
+    q = window.windows(spark.readStream.schema(schema).parquet(path), window_ms=2000).writeStream.format("memory").queryName("elapsed").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="1 second").start()
+    done = wait_for(lambda: [(r["key"], r["reason"], r["n_events"]) for r in spark.table("elapsed").collect()] == [("k3", "elapsed", 2)])
+    q.stop()
+    assert done
+
+
+SUPPORT = 'support_id="%s",request_status="blocked",date_time="2024-01-01 00:00:0%d",ip_client="198.51.100.1",host="h",method="GET",uri="/a"'
+BARE = '{"time_iso8601":"2024-01-01T00:00:00+00:00","cf_ray":"-","remote_addr":"198.51.100.1","host":"h","request_method":"GET","request_uri":"/a","status":"200"}'
+
+
+def batch(spark, *rows):
+    return spark.createDataFrame(rows, "tenant string, provider string, payload string").withColumn("received_at", F.to_timestamp(F.lit("2024-01-01 00:00:10")))
+
+
+def stored(spark, root):
+    flows = store.load(spark, f"{root}/flows")
+    return {(r["tenant"], r["flow_id"]): r["n_events"] for r in flows.collect()} if flows else {}
+
+
+def test_tenants_that_share_an_identifier_keep_their_flows(spark, tmp_path):
+    root = str(tmp_path)
+    ingest.absorb(spark, batch(spark, ("A", "nginx", ORIGIN % "x1"), ("B", "nginx", ORIGIN % "x1")), root)
+    assert set(stored(spark, root)) == {("A", "flow:ray:x1"), ("B", "flow:ray:x1")}
+    ingest.absorb(spark, batch(spark, ("A", "cloudflare", EDGE % ("x1", 200, "allow", "dd-1"))), root)
+    assert stored(spark, root) == {("A", "flow:dd:dd-1"): 2, ("B", "flow:ray:x1"): 1}
+    assert [r["payload"] for r in ingest.raw_by_id(spark, root, "A", "cf:x1").collect()] == [EDGE % ("x1", 200, "allow", "dd-1")] and ingest.raw_by_id(spark, root, "B", "cf:x1").count() == 0
+
+
+def test_a_cluster_that_becomes_ambiguous_leaves_no_flow(spark, tmp_path):
+    root = str(tmp_path)
+    ingest.absorb(spark, batch(spark, ("A", "f5asm", SUPPORT % ("z9", 1)), ("A", "nginx", BARE)), root)
+    assert list(stored(spark, root).values()) == [2]
+    ingest.absorb(spark, batch(spark, ("A", "f5asm", SUPPORT % ("z5", 2))), root)
+    assert stored(spark, root) == {}
+
+
+def test_batches_in_any_order_give_the_flows_of_one_batch(spark, tmp_path):
+    rows = [("A", "cloudflare", EDGE % ("a1", 200, "allow", "d1")), ("A", "nginx", ORIGIN % "a1"), ("A", "datadome", BOT % "d1"), ("A", "nginx", ORIGIN % "b2"), ("A", "nginx", ORIGIN % "b2"), ("A", "cloudflare", (EDGE % ("far", 200, "allow", "d9")).replace("2024-01-01", "2023-12-20"))]
+    ingest.absorb(spark, batch(spark, *rows), str(tmp_path / "one"))
+    want = stored(spark, str(tmp_path / "one"))
+    for part in (rows[3:], rows[2:4], rows[:1], rows[:3]):
+        ingest.absorb(spark, batch(spark, *part), str(tmp_path / "many"))
+    assert stored(spark, str(tmp_path / "many")) == want and want["A", "flow:dd:d1"] == 3
+
+
+def test_tenant_filters_drop_at_ingest(spark, tmp_path):
+    configs = spark.createDataFrame([("A", '[{"field":"request_host","op":"equals","values":[" H "]}]'), ("B", "{broken")], "tenant string, filters string")
+    ingest.absorb(spark, batch(spark, *[(t, "nginx", ORIGIN % "q") for t in "ABC"]), str(tmp_path), configs)
+    assert set(stored(spark, str(tmp_path))) == {("B", "flow:ray:q"), ("C", "flow:ray:q")}
 
 
 def test_flow_profiles_count_each_flow_once(spark, tmp_path):
@@ -63,7 +130,15 @@ def test_flow_profiles_count_each_flow_once(spark, tmp_path):
     spark.createDataFrame(rows, schema).withColumn("last_seen", F.to_timestamp("last_seen")).coalesce(1).write.parquet(path)
     stream = spark.readStream.schema(schema.replace("last_seen string", "last_seen timestamp")).parquet(path)
     profiles.run(spark, stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert [(r["template"], r["observations"], r["last_us"]) for r in profiles.profiles(spark, str(tmp_path / "out")).collect()] == [("/a", 2, 5)]
+    seen = lambda: sorted((r["template"], r["observations"], r["last_us"]) for r in profiles.profiles(spark, str(tmp_path / "out")).collect())
+    assert seen() == [("/a", 2, 5)]
+    more = [("t", f"g{k}", "h", "GET", f"/u/{k}", k, "2024-01-01 00:00:09") for k in range(80)]
+    spark.createDataFrame(more, schema).withColumn("last_seen", F.to_timestamp("last_seen")).coalesce(1).write.mode("append").parquet(path)
+    profiles.run(spark, stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    want = [("/a", 2, 5), ("/u/{int}", 80, 79)]
+    assert seen() == want
+    profiles.compact(spark, str(tmp_path / "out"))
+    assert seen() == want
 
 
 def test_pull_windows(spark, tmp_path):
