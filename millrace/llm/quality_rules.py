@@ -184,15 +184,21 @@ def quality_scores(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """docs with the struct ``_wq_s`` of statistics and ``_wq_p``, the posterior of good quality.
 
     keep: the columns of docs to carry (all by default); fewer make the staged table smaller.
-    Rows are never joined back, so null or repeated doc_id values and clashing column names
-    do not matter. Null and empty texts have no words and fail. An empty table gives no rows.
+    Rows are never joined back, so null or repeated doc_id values do not matter; the two structs
+    replace columns of their names. Null and empty texts have no words and fail, texts of any
+    length count whole. An empty table gives no rows.
     """
-    keep = docs.columns if keep is None else keep
-    scored = docs.select(*[F.col(f"`{c}`") for c in keep], text_statistics(F.col("text")).alias(PREFIX + "s"))
+    keep = [c for c in docs.columns if c not in (PREFIX + "s", PREFIX + "p")] if keep is None else keep
+    return _scored(docs, keep).select(*[f"row.`{c}`" for c in keep], PREFIX + "s", PREFIX + "p")
+
+
+def _scored(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The struct ``row`` of the columns to keep, ``_wq_s`` and ``_wq_p``."""
+    scored = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), text_statistics(F.col("text")).alias(PREFIX + "s"))
     voted = scored.select("*", *[v.alias(PREFIX + r) for r, v in rule_votes(F.col(PREFIX + "s")).items()])
     voted = stage(voted, "votes")
     model = fit(voted)
-    return voted.select(*[F.col(f"`{c}`") for c in keep], PREFIX + "s", _posterior(model, {r: F.col(PREFIX + r) for r in RULES}).alias(PREFIX + "p"))
+    return voted.select("row", PREFIX + "s", _posterior(model, {r: F.col(PREFIX + r) for r in RULES}).alias(PREFIX + "p"))
 
 
 def base_failed(s: Column) -> Column:
@@ -201,8 +207,8 @@ def base_failed(s: Column) -> Column:
 
 def filter_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that pass the base rules and whose posterior reaches the threshold."""
-    scored = quality_scores(docs)
-    return scored.where(~base_failed(F.col(PREFIX + "s")) & (F.col(PREFIX + "p") >= threshold)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    scored = _scored(docs, docs.columns)
+    return scored.where(~base_failed(F.col(PREFIX + "s")) & (F.col(PREFIX + "p") >= threshold)).select("row.*")
 
 
 def quality_report(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
