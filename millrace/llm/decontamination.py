@@ -7,8 +7,10 @@ the places of such shingles; the places are joined with the windows' prefixes, t
 offset fixes where the window would start, windows that would reach over either end of the
 document are dropped, and the rest are compared word by word.
 
-What is broadcast is a bitmap of fixed size; it may let other shingles through, which the join
-drops again.
+What is broadcast is a bitmap with BITS_A_TOKEN bits for each shingle of the benchmark, but no
+more than MOST_BITS (16 MB). It may let other shingles through, which the join drops again: one
+in BITS_A_TOKEN of the documents' shingles, and more only for a benchmark of over 8 million
+shingles.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from millrace.staging import discard, stage
 
 WINDOW = 10
 TOKEN = 3
-BITMAP_BITS = 1 << 24
+BITS_A_TOKEN, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 27
 
 PLACES = "array<struct<token:long,pos:long,first:long,around:array<string>>>"
 
@@ -50,17 +52,19 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
 
 
 def bitmap(tokens: DataFrame) -> np.ndarray:
-    """The fixed-size bitmap of a column ``token``; at most BITMAP_BITS / 64 rows come back."""
-    bit = F.col("token").bitwiseAND(F.lit(BITMAP_BITS - 1))
+    """The bitmap of a column ``token``, sized by its distinct values; at most MOST_BITS / 64 rows come back."""
+    n = tokens.select(F.approx_count_distinct("token")).first()[0]
+    size = min(max(1 << (BITS_A_TOKEN * n).bit_length(), LEAST_BITS), MOST_BITS)
+    bit = F.col("token").bitwiseAND(F.lit(size - 1))
     rows = tokens.select((bit / 64).cast("int").alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("bits")).groupBy("at").agg(F.bit_or("bits").alias("bits")).collect()
-    out = np.zeros(BITMAP_BITS // 64, np.int64)
+    out = np.zeros(size // 64, np.int64)
     for r in rows:
         out[r["at"]] = r["bits"]
     return out.view(U)
 
 
 def _passing(bits: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    at = tokens & U(BITMAP_BITS - 1)
+    at = tokens & U(64 * len(bits) - 1)
     return np.flatnonzero((bits[(at >> U(6)).astype(np.int64)] >> (at & U(63))) & U(1))
 
 
@@ -157,7 +161,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, Dat
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated. An empty table gives no rows."""
+    """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    Texts of any length are read as a whole. Equal texts, with one id or several, get equal
+    figures; of shingles that are equally rare the first of the window is its prefix, which does
+    not change the result. Other columns are ignored. An empty table gives no rows, and without
+    items nothing is contaminated.
+    """
     rows, found = contamination(docs, benchmark)
     items = F.coalesce("items", F.array().cast("array<string>"))
     return rows.join(found, "key", "left").select(
@@ -168,4 +178,5 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs in which no window of the benchmark occurs, all columns kept."""
     _, found = contamination(docs, benchmark)
-    return docs.withColumn("_dc_key", F.md5("text")).join(found.select(F.col("key").alias("_dc_key")), "_dc_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.md5("text").alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(found.select("key"), "key", "left_anti").select("row.*")
