@@ -5,9 +5,11 @@ to one part and the other in turn. The network is a permutation of exactly the v
 valid in the format, so a pseudonym has the same form and passes the same validation, and equal
 values have equal pseudonyms in all documents, however they are punctuated.
 
-Kinds: payment card numbers (13 to 19 digits, Luhn), North American phone numbers, social
+Kinds: payment card numbers (13 to 19 digits, Luhn), account numbers of countries that use digits
+only (IBAN, modulo 97), North American phone numbers with and without an area code, social
 security numbers, IPv4 addresses and dates of the years 1800 to 2199 (one Gregorian cycle of
-146097 = 189 * 773 days). What looks like one of them but is not valid stays as it is.
+146097 = 189 * 773 days), written year or day first. What looks like one of them but is not valid
+stays as it is, and so do dates with the month first, which cannot be told apart.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ FORMS = {
     "date": "(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})",
     "ip": f"{OCTET}(?:\\.{OCTET}){{3}}",
     "ssn": "[0-9]{3}-[0-9]{2}-[0-9]{4}",
-    "phone": "(?:\\+?1[ .-]?)?(?:\\([2-9][0-9]{2}\\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}",
+    "phone": "(?:(?:\\+?1[ .-]?)?(?:\\([2-9][0-9]{2}\\) ?|[2-9][0-9]{2}[ .-]))?[2-9][0-9]{2}[ .-][0-9]{4}",
+    "iban": "[A-Z]{2}[0-9]{2}(?: ?[0-9]){11,26}",
     "card": "[0-9](?:[ -]?[0-9]){12,18}",
 }
 CANDIDATE = "(?<![0-9A-Za-z_.+-])(?:" + "|".join(FORMS.values()) + ")(?![0-9A-Za-z_]|[.-][0-9])"
@@ -89,7 +92,7 @@ def kind_of(value: Column) -> Column:
     digits = _digits(value)
     ssn = (~digits.substr(1, 3).isin("000", "666")) & (digits.substr(1, 1) != "9") & (digits.substr(4, 2) != "00") & (digits.substr(6, 4) != "0000")
     return (
-        F.when(whole("date"), F.when(_day(value).isNotNull(), "date")).when(whole("ip"), "ip").when(whole("ssn"), F.when(ssn, "ssn")).when(whole("phone"), "phone").when(whole("card"), F.when((_check_digit(digits.substr(F.lit(1), F.length(digits) - 1)) == F.right(digits, F.lit(1))) & ~digits.rlike("^0+\\z"), "card"))
+        F.when(whole("date"), F.when(_day(value).isNotNull(), "date")).when(whole("ip"), "ip").when(whole("ssn"), F.when(ssn, "ssn")).when(whole("phone"), "phone").when(whole("card"), F.when((_check_digit(digits.substr(F.lit(1), F.length(digits) - 1)) == F.right(digits, F.lit(1))) & ~digits.rlike("^0+\\z"), "card")).when(whole("iban"), F.when(_iban_check(value.substr(1, 2), digits.substr(F.lit(3), F.length(digits) - 2)) == digits.substr(1, 2), "iban"))
     )
 
 
@@ -101,9 +104,17 @@ def _check_digit(payload: Column) -> Column:
     return F.pmod(10 - total % 10, F.lit(10)).cast("string")
 
 
+def _iban_check(country: Column, account: Column) -> Column:
+    """The two check digits of an account number."""
+    letters = F.concat(*[(F.ascii(country.substr(i, 1)) - 55).cast("string") for i in (1, 2)])
+    rest = F.aggregate(F.filter(F.split(F.concat(account, letters, F.lit("00")), ""), lambda c: c != ""), F.lit(0), lambda r, c: (r * 10 + c.cast("int")) % 97)
+    return _pad(98 - rest, 2)
+
+
 def pseudonym(value: Column, kind: Column, key: str) -> Column:
     """The pseudonym of a value of that kind; the value itself where kind is null."""
     fixed = lambda m, n: (F.lit(m).cast("long"), F.lit(n).cast("long"))
+    power = lambda k: F.pow(F.lit(10.0), k).cast("long")
 
     def date(v: Column) -> Column:
         moved = lambda s: F.date_add(F.to_date(F.lit(FIRST_DAY)), (s["a"] * DAYS[1] + s["b"]).cast("int"))
@@ -128,23 +139,31 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
         # area and exchange codes start with 2 to 9; a country code stays
         d = _digits(v)
         last = d.substr(F.length(d) - 9, F.lit(10))
-        return _let(
+        local = _let(feistel(_number(d, 1, 3) - 200, _number(d, 4, 4), fixed(800, 10_000), key, "local"), lambda s: _reform(v, F.concat(_pad(s["a"] + 200, 3), _pad(s["b"], 4))))
+        return F.when(F.length(d) == 7, local).otherwise(_let(
             feistel(_number(last, 1, 3) - 200, _number(last, 4, 7) - 2_000_000, fixed(800, 8_000_000), key, "phone"),
             lambda s: _reform(v, F.concat(d.substr(F.lit(1), F.length(d) - 10), _pad(s["a"] + 200, 3), _pad(s["b"] + 2_000_000, 7))),
-        )
+        ))
 
     def card(v: Column) -> Column:
         d = _digits(v)
         n = F.length(d) - 1
         left = F.floor(n / 2).cast("int")
-        power = lambda k: F.pow(F.lit(10.0), k).cast("long")
 
         def whole(s: Column) -> Column:
             return _let(F.concat(_pad(s["a"], left), _pad(s["b"], n - left)), lambda p: _reform(v, F.concat(p, _check_digit(p))))
 
         return _let(feistel(_number(d, 1, left), d.substr(left + 1, n - left).cast("long"), (power(left), power(n - left)), key, "card"), whole)
 
-    out = F.when(kind == "date", date(value)).when(kind == "ip", ip(value)).when(kind == "ssn", ssn(value)).when(kind == "phone", phone(value)).when(kind == "card", card(value))
+    def iban(v: Column) -> Column:
+        d, country = _digits(v), v.substr(1, 2)
+        n = F.length(d) - 2
+        left = F.floor(n / 2).cast("int")
+        account = lambda s: F.concat(_pad(s["a"], left), _pad(s["b"], n - left))
+        moved = feistel(_number(d, 3, left), d.substr(left + 3, n - left).cast("long"), (power(left), power(n - left)), key, "iban")
+        return _let(_let(moved, account), lambda p: _reform(v, F.concat(_iban_check(country, p), p)))
+
+    out = F.when(kind == "date", date(value)).when(kind == "ip", ip(value)).when(kind == "ssn", ssn(value)).when(kind == "phone", phone(value)).when(kind == "card", card(value)).when(kind == "iban", iban(value))
     return F.coalesce(out, value)
 
 
@@ -167,9 +186,10 @@ def pseudonymise(docs: DataFrame, key: str = DEMO_KEY, keep: list[str] | None =
     """docs with ``text`` rewritten and the struct ``_fp`` of the counts by kind.
 
     A null text stays null with no values. Nothing is shuffled or joined, so null and repeated
-    doc_id values do not matter. An empty table gives no rows.
+    doc_id values do not matter. Texts of any length are rewritten as a whole. ``_fp`` replaces a
+    column of that name, other columns are carried. An empty table gives no rows.
     """
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in docs.columns if c != "_fp"] if keep is None else keep
     out = docs.select(*[F.col(f"`{c}`") for c in keep if c != "text"], pseudonymised(F.col("text"), key).alias("_fp"))
     return out.select(*[F.col("_fp.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in keep], F.struct(*[F.coalesce(F.col(f"_fp.n_{k}"), F.lit(0).cast("long")).alias(f"n_{k}") for k in KINDS]).alias("_fp"))
 
