@@ -58,8 +58,10 @@ def link_quotes(messages: DataFrame) -> DataFrame:
 
     reply_to_turn: the latest message of the conversation that this one quotes; other_*: the
     first message elsewhere, where only that has the passage. Rows without conv_id or turn link
-    nothing; rows that repeat both share their links. A null text quotes nothing. Reply order
-    is conv_id, thread_turn, turn.
+    nothing; rows that repeat both share their links, and messages of one turn do not quote each
+    other. A null or empty text quotes nothing, a text of any length is read whole, a passage that
+    one message quotes several times counts once a level. Other columns of messages are left out.
+    An empty table gives no rows. Reply order is conv_id, thread_turn, turn.
     """
     parsed = messages.select("conv_id", "turn", "role", _lines(F.col("text")).alias("lines"), F.col("text").isNull().alias("bare"))
     parsed = parsed.select("conv_id", "turn", "role", "bare", F.rtrim(F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["body"]), "\n")).alias("text"), _passages(F.col("lines")).alias("passages"))
