@@ -6,13 +6,15 @@ as the tokenizer splits it, proved pieces count 1 at once, and only other pieces
 merges of the byte-pair model, once for every distinct piece that a worker meets.
 
 The splitting pattern of this vocabulary is restated for the characters whose case, class and
-normal form all Unicode versions agree on (Latin and common punctuation). A stretch of text
-with any other character is encoded whole by the library.
+normal form all Unicode versions agree on (Latin and common punctuation). Runs between blanks
+that hold any other character are encoded by the library, as pieces do not reach over blanks. A
+tokenizer file with another normaliser or splitting pattern is counted by the library throughout.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import re
 from collections.abc import Iterator
 
@@ -34,6 +36,11 @@ PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES
 #: Not on the fast path. U+0130 changes its length in lower case; the separators \x1c-\x1f and \x85 are spaces to some libraries.
 ODD = re.compile("[^\x00-\x1b\x20-\x84\x86-įı-ɏ‐-‧‰-⁞€]")
 
+RUN = re.compile("[^ \t\n\r]+")
+# The normaliser and the splitting pattern that the fast path restates.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
@@ -63,9 +70,17 @@ class Counter:
         self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.whole = self.proved()
+        self.fast = self.restated()
+        self.whole = self.proved() if self.fast else {}
         self.costs = dict(self.whole)
 
+    def restated(self) -> bool:
+        """Whether the file splits texts as PIECES does."""
+        made = json.loads(self.tokenizer.to_str())
+        normalizer, splits, model = (made.get(k) or {} for k in ("normalizer", "pre_tokenizer", "model"))
+        first = (splits.get("pretokenizers") or [{}])[0]
+        return normalizer.get("normalizers") == NORMALIZERS and first.get("pattern") == {"Regex": PATTERN} and first.get("invert") is True and model.get("end_of_word_suffix") == "</w>"
+
     def encoded(self, texts: list[str]) -> list[int]:
         return [len(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
@@ -81,8 +96,12 @@ class Counter:
         return {w: 1 for w, n in zip(words, self.encoded(words), strict=True) if n == 1}
 
     def stretch(self, text: str) -> int:
-        if ODD.search(text):
+        if not self.fast:
             return self.encoded([text])[0]
+        if ODD.search(text):
+            runs = RUN.findall(text)
+            odd = [r for r in runs if ODD.search(r)]
+            return self.encoded([" ".join(odd)])[0] + self.stretch(" ".join(r for r in runs if not ODD.search(r)))
         pieces = PIECES.findall(text.lower())
         try:
             return sum(map(self.costs.__getitem__, pieces))
@@ -112,11 +131,11 @@ def with_token_counts(docs: DataFrame, path: str | None = None, limit: int = LIM
     """docs with the struct ``_tk``: n_bytes, n_tokens and over_limit of each row's whole text.
 
     A null text counts as empty. Rows are neither joined nor shuffled, so null or repeated
-    doc_id values and clashing names do not matter. An empty table gives no rows.
+    doc_id values do not matter; ``_tk`` replaces a column of that name. An empty table gives no rows.
     path: a tokenizers file that all executors can read. keep: the columns of docs to carry.
     """
     path = path or vocabulary_path()
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in docs.columns if c != "_tk"] if keep is None else keep
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
