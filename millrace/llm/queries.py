@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.decontamination import contamination_report
 from millrace.llm.minhash_dedup import near_duplicates
+from millrace.llm.oracles import ORACLE_SQL
 from millrace.llm.pseudonyms import pseudonym_report
 from millrace.llm.quality_rules import quality_report
 from millrace.llm.quote_linking import link_quotes
@@ -61,4 +62,4 @@ def op10_zstd_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_hyperminhash_dedup, op2_quotation_linking, op3_prefix_filtered_decontamination, op4_feistel_pseudonyms, op5_sainte_lague_mixing, op6_virtual_slot_sharding, op7_weak_supervision_quality, op8_difference_cover_dedup, op9_whole_token_counts, op10_zstd_warc)}
-ORACLE_SQL: dict[str, str] = {}
+
