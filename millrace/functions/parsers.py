@@ -182,17 +182,27 @@ def parse_origin(raw: DataFrame) -> DataFrame:
 PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {"cloudflare": parse_edge, "datadome": parse_bot, "f5asm": parse_firewall, "nginx": parse_origin}
 
 
-def normalize(raw: DataFrame, parsers: dict[str, Callable[[DataFrame], DataFrame]] = PARSERS, token_key: bytes | None = None) -> tuple[DataFrame, DataFrame]:
-    """(events, dead letters) of raw rows (tenant, provider, received_at, payload).
+def parse(raw: DataFrame, parsers: dict[str, Callable[[DataFrame], DataFrame]] = PARSERS, token_key: bytes | None = None) -> DataFrame:
+    """The event columns of every raw row (tenant, provider, received_at, payload), with ``parse_error`` and the payload.
 
     Events are masked: secret headers are replaced, sensitive ones become tokens under token_key
-    (``[masked]`` without one), and secrets inside queries and paths are cut out. Dead letters
-    keep their bytes. With ``truncated`` in raw, long records are flagged.
+    (``[masked]`` without one), and secrets inside queries and paths are cut out. With
+    ``truncated`` in raw, long records are flagged.
     """
     parsed = None
-    for provider, parse in parsers.items():
-        rows = parse(raw.where(F.col("provider") == provider))
+    for provider, parser in parsers.items():
+        rows = parser(raw.where(F.col("provider") == provider))
         parsed = rows if parsed is None else parsed.unionByName(rows)
+    return mask_events(parsed, token_key)
+
+
+def split(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events, dead letters) of parsed rows; a dead letter keeps its bytes."""
     bad = F.col("parse_error").isNotNull()
     dead = parsed.where(bad).select(F.substring(F.sha2("payload", 256), 1, 16).alias("dead_letter_id"), "tenant", "provider", "received_at", "payload", F.col("parse_error").alias("reason"), "parser_version", F.lit("pending").alias("state"))
-    return mask_events(parsed.where(~bad).drop("parse_error", "payload"), token_key), dead
+    return parsed.where(~bad).drop("parse_error", "payload"), dead
+
+
+def normalize(raw: DataFrame, parsers: dict[str, Callable[[DataFrame], DataFrame]] = PARSERS, token_key: bytes | None = None) -> tuple[DataFrame, DataFrame]:
+    """(events, dead letters) of raw rows."""
+    return split(parse(raw, parsers, token_key))

@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from millrace.functions.parsers import PARSERS, normalize
+from millrace.functions.parsers import normalize, parse, split
 from millrace.operators import search
 from millrace.operators.correlate import correlate
 from millrace.operators.flow import materialize
 from millrace.sources.landing import distinct_records, stream_landing, with_feeds
 from millrace.sources.store import delete_keys, load, overwrite_by_key
-from millrace.staging import stage
+from millrace.staging import discard, stage
 
 HORIZON_US = 3_600_000_000
 
@@ -89,10 +89,12 @@ def absorb(spark: SparkSession, batch: DataFrame, root: str, configs: DataFrame
     whose key has changed since, by a late bridge or because its cluster became ambiguous, is
     deleted and its events go to the flows of their present keys.
     """
-    good, dead = normalize(batch, token_key=token_key)
+    parsed = stage(parse(batch, token_key=token_key), "parsed")  # once, for events, dead letters and evidence
+    good, dead = split(parsed)
     new = stage(dated(keep_wanted(log_rows(good), configs), "at_us"), "batch")
     overwrite_by_key(spark, root, "dead_letters", dated(dead.withColumn("_us", F.unix_micros("received_at")), "_us").drop("_us"), ["tenant", "dead_letter_id"])
-    overwrite_by_key(spark, root, "raw", dated(raw_records(batch).withColumn("_us", F.unix_micros("received_at")), "_us").drop("_us"), ["tenant", "raw_id"])
+    overwrite_by_key(spark, root, "raw", dated(raw_records(parsed).withColumn("_us", F.unix_micros("received_at")), "_us").drop("_us"), ["tenant", "raw_id"])
+    discard(spark, parsed)
     if new.isEmpty():
         return
     overwrite_by_key(spark, root, "events", new, ["tenant", "event_id"])
@@ -109,15 +111,12 @@ def absorb(spark: SparkSession, batch: DataFrame, root: str, configs: DataFrame
     if stale is not None:
         delete_keys(spark, root, "flows", stale.join(flows, ["tenant", "flow_id"], "left_anti"), ["tenant", "flow_id"])
     overwrite_by_key(spark, root, "flows", flows, ["tenant", "flow_id"])
+    discard(spark, new, keyed, flows)
 
 
-def raw_records(batch: DataFrame) -> DataFrame:
+def raw_records(parsed: DataFrame) -> DataFrame:
     """(tenant, provider, raw_id, received_at, payload) of the records that parse: what is kept as evidence."""
-    rows = None
-    for provider, parse in PARSERS.items():
-        parsed = parse(batch.where(F.col("provider") == provider)).where("parse_error is null").select("tenant", "provider", "raw_id", "received_at", "payload")
-        rows = parsed if rows is None else rows.unionByName(parsed)
-    return rows.dropDuplicates(["tenant", "raw_id"])
+    return parsed.where("parse_error is null").select("tenant", "provider", "raw_id", "received_at", "payload").dropDuplicates(["tenant", "raw_id"])
 
 
 def raw_by_id(spark: SparkSession, root: str, tenant: str, raw_id: str) -> DataFrame:
