@@ -1,6 +1,8 @@
 """Every operator against a brute-force version, on the smallest tables and on rows chosen to be awkward."""
 
+import datetime
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -135,6 +137,140 @@ def test_pseudonyms_keep_form_and_link_values(spark):
     assert got[(3, 0, 0)] is None and got[(4, 0, 0)] == ""
 
 
+def feistel(a, b, moduli, key, kind):
+    """The network by its definition."""
+    for i in range(10):
+        h = int(hashlib.sha256(f"{key}|{kind}|{i}|{a if i % 2 else b}|{key}".encode()).hexdigest()[:15], 16)
+        a, b = (a, (b + h) % moduli[1]) if i % 2 else ((a + h) % moduli[0], b)
+    return a, b
+
+
+def luhn_digit(payload):
+    return str(-sum(sum(divmod(int(c) * (2 - i % 2), 10)) for i, c in enumerate(reversed(payload))) % 10)
+
+
+def iban_check(country, account):
+    return f"{98 - int(account + ''.join(str(ord(c) - 55) for c in country) + '00') % 97:02d}"
+
+
+def pseudonym_by_definition(v, kind, key):
+    d = re.sub("[^0-9]", "", v)
+    if kind == "date":
+        day = datetime.date.fromisoformat(v) if v[4] == "-" else datetime.datetime.strptime(v, "%d/%m/%Y").date()
+        a, b = feistel(*divmod((day - datetime.date(1800, 1, 1)).days, 773), (189, 773), key, kind)
+        out = datetime.date(1800, 1, 1) + datetime.timedelta(a * 773 + b)
+        return out.isoformat() if v[4] == "-" else out.strftime("%d/%m/%Y")
+    if kind == "ip":
+        o = [int(x) for x in v.split(".")]
+        a, b = feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], (65536, 65536), key, kind)
+        return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    if kind == "ssn":
+        area = int(d[:3])
+        a, b = feistel(area - 1 - (area > 666), (int(d[3:5]) - 1) * 9999 + int(d[5:]) - 1, (898, 99 * 9999), key, kind)
+        return f"{a + 1 + (a >= 665):03d}-{b // 9999 + 1:02d}-{b % 9999 + 1:04d}"
+    if kind == "phone" and len(d) == 7:
+        a, b = feistel(int(d[:3]) - 200, int(d[3:]), (800, 10_000), key, "local")
+        new = f"{a + 200:03d}{b:04d}"
+    elif kind == "phone":
+        a, b = feistel(int(d[-10:-7]) - 200, int(d[-7:]) - 2_000_000, (800, 8_000_000), key, kind)
+        new = d[:-10] + f"{a + 200:03d}{b + 2_000_000:07d}"
+    else:
+        body = d[:-1] if kind == "card" else d[2:]
+        left = len(body) // 2
+        a, b = feistel(int(body[:left]), int(body[left:]), (10**left, 10 ** (len(body) - left)), key, kind)
+        body = str(a).zfill(left) + str(b).zfill(len(body) - left)
+        new = body + luhn_digit(body) if kind == "card" else iban_check(v[:2], body) + body
+    digits = iter(new)
+    return re.sub("[0-9]", lambda _: next(digits), v)
+
+
+def test_pseudonyms_against_the_definition(spark):
+    pick = random.Random(7)
+    number = lambda n: "".join(pick.choice("0123456789") for _ in range(n))
+    values = [("date", str(datetime.date(1800, 1, 1) + datetime.timedelta(pick.randrange(189 * 773)))) for _ in range(30)] + [("date", "29/02/2024"), ("date", "1800-01-01"), ("date", "2199-12-31")]
+    values += [("ip", ".".join(str(pick.randrange(256)) for _ in range(4))) for _ in range(20)] + [("ip", "0.0.0.0"), ("ip", "255.255.255.255")]
+    values += [("ssn", f"{a}-{pick.randrange(1, 100):02d}-{pick.randrange(1, 10000):04d}") for a in ("001", "665", "667", "899")]
+    values += [("phone", f) for f in ("555-3824", "212 555-0199", "(212) 555-0199", "+1 (212) 555-0199", "1-212-555-0199", "999.9999")]
+    values += [("card", p + luhn_digit(p)) for p in (number(n) for n in range(12, 19))] + [("card", "4111 1111 1111 1111"), ("card", "4111-1111-1111-1111")]
+    values += [("iban", c + iban_check(c, p) + p) for c, p in (("DE", number(18)), ("NO", number(11)), ("PL", number(24)))] + [("iban", "DE89 3704 0044 0532 0130 00")]
+    df = spark.createDataFrame(values, "kind string, v string")
+    out = df.select("v", "kind", pseudonyms.kind_of(F.col("v")).alias("found"), pseudonyms.pseudonym(F.col("v"), F.col("kind"), "k").alias("p")).collect()
+    assert all(r["found"] == r["kind"] for r in out)
+    assert {r["v"]: r["p"] for r in out} == {v: pseudonym_by_definition(v, kind, "k") for kind, v in values}
+    long = "call 555-3824 or write. " * 3000
+    bad = "000-12-3456 DE00370400440532013000 300.1.1.1 4111111111111112 155-3824 555-38245 2023-02-29"
+    texts = spark.createDataFrame([(1, long), (2, bad), (3, None), (3, None), (4, "x" * 200_000)], "doc_id long, text string")
+    got = [(r["doc_id"], r["text"], r["n_phone"]) for r in pseudonyms.pseudonym_report(texts).orderBy("doc_id").collect()]
+    assert got[0] == (1, long.replace("555-3824", pseudonym_by_definition("555-3824", "phone", pseudonyms.DEMO_KEY)), 3000)
+    assert got[1:] == [(2, bad, 0), (3, None, 0), (3, None, 0), (4, "x" * 200_000, 0)]
+
+
+def quotes_by_definition(rows):
+    """Links of quoted passages and lines, message by message."""
+
+    def words(lines):
+        return re.sub(r"[\s!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]+", " ", " ".join(lines).lower()).strip(" ")
+
+    def passages(text):
+        out = []
+        for line in re.split("\r?\n", text or ""):
+            marks = re.match(r"(?:>[ \t]?)*", line).group()
+            level, body = marks.count(">"), line[len(marks) :]
+            if body.strip(" ") and out and out[-1][0] == level:
+                out[-1][1].append(body)
+            elif body.strip(" "):
+                out.append((level, [body]))
+        return out
+
+    wrote, quoted = defaultdict(set), defaultdict(set)
+    for conv, turn, _, text in rows:
+        if conv is None or turn is None:
+            continue
+        for level, lines in passages(text):
+            keys = {words(lines)} | {w for w in map(lambda x: words([x]), lines) if len(w.split(" ")) >= 4}
+            for k in keys - {""}:
+                (quoted[conv, turn] if level else wrote[k]).add((k, level) if level else (conv, turn))
+    out = {}
+    for conv, turn, _, _ in rows:
+        found, linked, replies, others = quoted.get((conv, turn), set()), 0, [], []
+        for k, level in found:
+            inside = [t for c, t in wrote[k] if c == conv and t < turn]
+            first = min(wrote[k], default=None)
+            if inside:
+                replies.append((-level, max(inside)))
+            elif first and first[0] != conv:
+                others.append(first)
+            linked += bool(inside) or bool(first and first[0] != conv)
+        out[conv, turn] = (len(found), linked, max(replies)[1] if replies else None, min(others) if others else None)
+    return out
+
+
+def test_quotes_against_the_definition(spark):
+    pick = random.Random(11)
+    says = [" ".join(pick.choice("red green blue one two three cat dog sun rain".split()) for _ in range(pick.randrange(2, 9))) + pick.choice(".!?") for _ in range(40)]
+    rows = []
+    for conv in range(30):
+        held = [["Everyone quotes this passage of many words."]]
+        for turn in range(pick.randrange(1, 9)):
+            own = pick.sample(says, pick.randrange(1, 4))
+            quote = [("> " if pick.random() < 0.5 else ">>" if pick.random() < 0.5 else "> > ") + x.upper() for x in pick.choice(held)] if pick.random() < 0.7 else []
+            rows.append((conv, turn, "user", "\n".join([*quote, *own]) if pick.random() < 0.95 else None))
+            held.append(own)
+    rows += [(30, t, "user", ("> " + " ".join(says) + "\n") * 300 + says[0]) for t in range(2)] + [(31, 0, "user", "Everyone quotes this passage of many words.")] + [(32, 0, "a", "twice the same turn here"), (32, 0, "b", "> twice the same turn here\nother")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("p", F.lit("clash")).withColumn("lines", F.lit("clash"))
+    out = quote_linking.link_quotes(df).collect()
+    want = quotes_by_definition(rows)
+    got = {(r["conv_id"], r["turn"]): (r["n_quotes"], r["n_linked"], r["reply_to_turn"], (r["other_conv_id"], r["other_turn"]) if r["other_conv_id"] is not None else None) for r in out}
+    assert len(out) == len(rows) and got == want and sum(v[1] for v in want.values()) > 30
+    up = {k: v[2] for k, v in want.items()}
+    for r in out:
+        turn, depth = r["turn"], 0
+        while up[r["conv_id"], turn] is not None:
+            turn, depth = up[r["conv_id"], turn], depth + 1
+        assert (r["thread_turn"], r["depth"]) == (turn, depth)
+    assert all(">" not in (r["text"] or "") for r in out)
+
+
 def water_fill(size):
     names = sorted((s for s in size if s is not None)) + [None] * (None in size)
     weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
@@ -190,6 +326,39 @@ def test_mixing_takes_the_same_texts_in_any_row_order(spark):
     assert got[0] == got[1] and len({n for _, n in got[0]}) > 1
 
 
+def test_blocks_are_drawn_by_the_quotas_of_the_shards(spark):
+    size = {"hot": 200_000, "a": 300, "b": 1500, "c": 16_000}
+    sizes = spark.createDataFrame([(s, n) for s, n in size.items()], "source string, source_size long")
+    targets = source_mixing.source_targets(sizes).withColumn("block", F.lit(2000).cast("long")).cache()
+    name = {r["place"]: r["source"] for r in targets.collect()}
+    seats = {(r["place"], r["shard"]): r["seats"] for r in source_mixing.apportion(targets, 8).collect()}
+    want = water_fill(size)
+    total = round(sum(want.values()) / 2000)
+    best = sorted(((want[s] / (2 * k + 1), s) for s in size for k in range(total)), reverse=True)[:total]
+    assert Counter(s for _, s in best) == Counter({name[p]: sum(n for (q, _), n in seats.items() if q == p) for p in name if any(q == p for q, _ in seats)})
+    draws = source_mixing.draw_blocks(targets, shards=8).collect()
+    got, words = Counter(), Counter()
+    for r in draws:
+        got[r["place"], r["shard"]] += 1
+        words[name[r["place"]]] += r["words"]
+    assert all(words[s] == round(want[s]) for s in size)
+    last = {p: max((s for q, s in seats if q == p), default=0) for p in name}
+    assert all(got[k] == n for k, n in seats.items() if k[1] != last[k[0]]) and all(abs(got[k] - n) <= 3 for k, n in seats.items())
+    assert len({(r["place"], r["turn"]) for r in draws}) == len(draws)
+
+
+def test_clashing_names_do_not_matter(spark):
+    """Columns named as the operators' own."""
+    names = ("_mx", "_wq_s", "_wq_p", "_tk", "_sh", "_fp", "_dc_key", "_nd_row", "row", "key", "fp", "size", "shard", "slot", "number", "carried", "component")
+    df = docs(spark).select("doc_id", "text", "lang", "source", "n_chars", *[F.lit("clash").alias(n) for n in names])
+    items = spark.createDataFrame([(1, "one two")], "item_id long, text string")
+    for out in (source_mixing.apply_mix(df), quality_rules.filter_quality(df), decontamination.decontaminate(df, items), minhash_dedup.drop_near_duplicates(df)):
+        assert out.columns == df.columns and {r["_mx"] for r in out.collect()} <= {"clash"}
+    for out in (slot_sharding.shard_report(df), token_counts.token_report(df), pseudonyms.pseudonym_report(df), source_mixing.mix_report(df), quality_rules.quality_report(df), suffix_dedup.repeats_report(df), minhash_dedup.near_duplicates(df), decontamination.contamination_report(df, items)):
+        assert out.count() == df.count()
+    assert pseudonyms.pseudonymise(df).count() == token_counts.with_token_counts(df).count() == slot_sharding.shard(df).count() == source_mixing.mix(df).count() == df.count()
+
+
 @pytest.mark.parametrize("which", ["awkward", "table"])
 def test_sharding(spark, sf, which):
     df = docs(spark) if which == "awkward" else spark.read.parquet(f"{sf}/documents.parquet")
@@ -216,10 +385,25 @@ def test_slot_map_versions(spark, tmp_path):
     assert (first.version, even.version, grown.version) == (1, 2, 3) and grown.shards == 9
     assert all(a == b or b == 8 for a, b in zip(even.owner, grown.owner, strict=True)) and max(load.values()) < 1.05 * min(load.values())
     even.save(spark, str(tmp_path / "map"))
+    even.save(spark, str(tmp_path / "map"))
     grown.save(spark, str(tmp_path / "map"))
     assert slot_sharding.SlotMap.load(spark, str(tmp_path / "map")) == grown and slot_sharding.SlotMap.load(spark, str(tmp_path / "map"), 2) == even
 
 
+def test_the_stored_map_is_loaded_and_edited(spark, sf, tmp_path):
+    df, path = spark.read.parquet(f"{sf}/documents.parquet"), str(tmp_path / "map")
+    first = {(r["doc_id"], r["_sh"]["shard"]) for r in slot_sharding.shard(df, map_path=path).collect()}
+    again = {(r["doc_id"], r["_sh"]["shard"]) for r in slot_sharding.shard(df, map_path=path).collect()}
+    assert first == again and slot_sharding.SlotMap.versions(spark, path) == [1, 2] and len(slot_sharding.SlotMap.load(spark, path).owner) == 4096
+    more = df.unionByName(df.limit(60).withColumn("text", F.repeat("text", 9)))
+    moved = {(r["doc_id"], r["_sh"]["shard"]) for r in slot_sharding.shard(more, map_path=path).collect()}
+    assert slot_sharding.SlotMap.versions(spark, path) == [1, 2, 3] and len(moved & first) > 0.5 * len(first)
+    with pytest.raises(ValueError):
+        slot_sharding.shard(df, shards=9, map_path=path)
+    with pytest.raises(ValueError):
+        slot_sharding.SlotMap(2, 8, tuple([0] * 4096)).save(spark, path)
+
+
 @pytest.mark.parametrize("which", ["awkward", "table"])
 def test_quality_statistics(spark, sf, which):
     df = docs(spark) if which == "awkward" else spark.read.parquet(f"{sf}/documents.parquet")
@@ -307,6 +491,22 @@ def test_token_counts(spark, sf, which):
     assert rows_of(token_counts.token_report(df)) == sorted(want, key=repr)
 
 
+def test_tokens_of_another_file_are_counted_by_its_own_rules(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    made = json.load(open(token_counts.vocabulary_path()))
+    made["pre_tokenizer"]["pretokenizers"][0]["pattern"] = {"Regex": "[^\\s]+"}
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(made))
+    text, mixed = "don't stop at 1234, it's fine", "plain words, then 漢字 words e\u0301 and\n\u0308x ΑΣ. ok"
+    for file in (str(path), token_counts.vocabulary_path()):
+        counter, library = token_counts.Counter(file), Tokenizer.from_file(file)
+        assert counter.fast == (file != str(path))
+        assert [counter.count(t) for t in (text, mixed)] == [len(e.ids) for e in library.encode_batch([text, mixed], add_special_tokens=False)]
+
+
 def test_archives(spark, sf):
     big = "<p>" + "content " * 200
     awkward = [(1, "http://a", None), (2, None, ""), (3, "http://a b\r\nX: y", big), (5, "u", big), (5, "u", big), (4, "u", big), (None, "u", big), (6, "u", "small"), (7, "u", "small"), (8, "u", "WARC/1.1\r\n\r\n\r\n\r\n é"), (9, "u", "é" * 500)]

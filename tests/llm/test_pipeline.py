@@ -1,7 +1,7 @@
 """The pipeline's stages: what each keeps, and the whole run."""
 
 import corpus_pipeline
-from tests.llm.test_operators import components, contamination, pairs
+from tests.llm.test_operators import components, contamination, docs, pairs
 
 
 def test_stages(spark, sf):
@@ -19,3 +19,11 @@ def test_stages(spark, sf):
     assert {i for i, _ in pairs(frames[4])} <= {i for i, _ in pairs(clean)}
     assert frames[5].count() == frames[4].count() and set(frames[5].columns) > set(docs.columns)
     assert sorted(frames[5].columns[-3:]) == ["shard", "slot", "virtual_slot"]
+
+
+def test_awkward_rows_and_empty_tables(spark, sf):
+    for df in (docs(spark), docs(spark).limit(0)):
+        for name, apply in corpus_pipeline.STAGES:
+            out = apply(spark, df, sf)
+            assert out.columns[: len(df.columns)] == df.columns, name
+            assert out.count() <= 2 * df.count()
