@@ -18,7 +18,9 @@ for equal strings of LENGTH bytes and takes about one position in 35:
    occurs earlier.
 
 Order is that of doc_id, then of start. Sorting is by hash partition and streams, so a task
-holds one row of a group and never the group.
+holds one row of a group and never the group. A suffix that equals an earlier one of its own input
+batch is settled before the shuffle and dealt by its place instead of its name, so a name that
+many copies share sends one row a batch and reach to its task.
 """
 
 from __future__ import annotations
@@ -109,19 +111,39 @@ def numbered(docs: DataFrame) -> DataFrame:
     return keyed.join(places, F.struct("doc_id", "key").eqNullSafe(F.col("row"))).select("place", "doc_id", "text")
 
 
-#: mark: position * 8 + zone
+#: mark: position * 8 + zone, and SETTLED for what is known to be a repeat; HELD sampled positions are looked at together
+SETTLED, HELD = 1 << 62, 1 << 20
 SAMPLED = "name long, reach long, place long, mark long"
 SPANS = "place long, mark long, open boolean"
 
 
+def settled(name: np.ndarray, reach: np.ndarray, place: np.ndarray, mark: np.ndarray) -> pa.RecordBatch:
+    """Rows of SAMPLED, each position once; those equal to an earlier one here have SETTLED added to their mark and a name from their place."""
+    order = np.lexsort((mark, place, reach, name))
+    name, reach, place, mark = (x[order] for x in (name, reach, place, mark))
+    same = np.zeros(len(name), bool)
+    same[1:] = (name[1:] == name[:-1]) & (reach[1:] == reach[:-1])
+    once = np.ones(len(name), bool)
+    once[1:] = ~(same[1:] & (place[1:] == place[:-1]) & (mark[1:] == mark[:-1]))
+    name, reach, place, mark, same = (x[once] for x in (name, reach, place, mark, same))
+    name, mark = np.where(same, mix(place.view(U)), name), np.where(same, mark + SETTLED, mark)
+    return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(reach.view(np.int64)), pa.array(place), pa.array(mark)], ["name", "reach", "place", "mark"])
+
+
 def sampled(texts: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, ends = text_buffer(batch.column("text"))
-            place = batch.column("place").to_numpy(zero_copy_only=False)
+            place, held, size = batch.column("place").to_numpy(zero_copy_only=False), [], 0
             for first, last in chunks(ends):
                 row, pos, name, reach = sample(data[ends[first] : ends[last]], ends[first : last + 1] - ends[first])
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(reach.view(np.int64)), pa.array(place[first + row]), pa.array(pos * 8 + WHOLE)], ["name", "reach", "place", "mark"])
+                held.append((name, reach, place[first + row], pos * 8 + WHOLE))
+                size += len(name)
+                if size >= HELD:
+                    yield settled(*map(np.concatenate, zip(*held, strict=True)))
+                    held, size = [], 0
+            if held:
+                yield settled(*map(np.concatenate, zip(*held, strict=True)))
 
     return texts.select("place", "text").mapInArrow(read, SAMPLED)
 
@@ -141,6 +163,12 @@ def neighbours(rows: DataFrame) -> DataFrame:
             if not len(batch):
                 continue
             name, reached, place, mark = (batch.column(c).to_numpy() for c in ("name", "reach", "place", "mark"))
+            known = mark >= SETTLED
+            if known.any():
+                yield out(place[known], mark[known] - SETTLED, False)
+                name, reached, place, mark = (x[~known] for x in (name, reached, place, mark))
+                if not len(name):
+                    continue
             same_name = np.empty(len(name), bool)
             same_name[1:] = name[1:] == name[:-1]
             same_name[0] = held is not None and held[0] == name[0]
