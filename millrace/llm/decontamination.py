@@ -9,7 +9,7 @@ document are dropped, and the rest are compared word by word.
 
 What is broadcast is a bitmap with BITS_A_TOKEN bits for each shingle of the benchmark, but no
 more than MOST_BITS (16 MB). It may let other shingles through, which the join drops again: one
-in BITS_A_TOKEN of the documents' shingles, and more only for a benchmark of over 8 million
+in BITS_A_TOKEN of the documents' shingles, and more only for a benchmark of over a million
 shingles.
 """
 
@@ -27,7 +27,7 @@ from millrace.staging import discard, stage
 
 WINDOW = 10
 TOKEN = 3
-BITS_A_TOKEN, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 27
+BITS_A_TOKEN, LEAST_BITS, MOST_BITS = 128, 1 << 22, 1 << 27
 
 PLACES = "array<struct<token:long,pos:long,first:long,around:array<string>>>"
 
