@@ -30,7 +30,8 @@ def _let(value: Column, body) -> Column:
 def _lines(text: Column) -> Column:
     """array<struct(level, body)>: the lines with their quote marks counted and taken off."""
     marks = lambda line: F.regexp_extract(line, MARKS, 1)
-    return F.transform(F.split(F.coalesce(text, F.lit("")), "\r?\n"), lambda line: F.struct(F.length(F.regexp_replace(marks(line), "[^>]", "")).alias("level"), F.substring(line, F.length(marks(line)) + 1, F.length(line)).alias("body")))
+    quoted = lambda line: line.startswith(">")
+    return F.transform(F.split(F.coalesce(text, F.lit("")), "\r?\n"), lambda line: F.struct(F.when(quoted(line), F.length(F.regexp_replace(marks(line), "[^>]", ""))).otherwise(0).alias("level"), F.when(quoted(line), F.substring(line, F.length(marks(line)) + 1, F.length(line))).otherwise(line).alias("body")))
 
 
 def _passages(lines: Column) -> Column:
@@ -67,7 +68,8 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     parsed = parsed.select("conv_id", "turn", "role", "bare", F.rtrim(F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["body"]), "\n")).alias("text"), _passages(F.col("lines")).alias("passages"))
     parsed = stage(parsed, "messages")
     placed = parsed.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("passages").alias("p"))
-    hashed = placed.select("conv_id", "turn", "p.level", F.explode(_hashes(F.col("p.lines"))).alias("hash")).distinct()
+    hashed = placed.select("conv_id", "turn", "p.level", F.explode(_hashes(F.col("p.lines"))).alias("hash"))
+    hashed = stage(hashed, "hashes").distinct()
     quotes, originals = hashed.where("level > 0"), hashed.where("level = 0").select("conv_id", "turn", "hash").distinct()
 
     both = originals.select("conv_id", "hash", "turn", F.col("turn").alias("wrote"), F.lit(None).cast("int").alias("level")).unionByName(quotes.select("conv_id", "hash", "turn", F.lit(None).cast(dict(messages.dtypes)["turn"]).alias("wrote"), "level"))
