@@ -61,8 +61,46 @@ SELECT page_id, n AS payload_bytes, sha1(body) AS payload_digest, CASE WHEN n >=
 FROM tops
 """
 
+EXACT_DUPLICATES = r"""
+WITH texts AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM texts
+"""
+
+_NEAREST = """
+a{k} AS MATERIALIZED (
+    SELECT r, p, arg_min(e, d * 64 + e) AS e, min(d) AS d
+    FROM (SELECT r, parts.p, e, list_sum([(v[j] - c[j]) * (v[j] - c[j]) for j in range(1, len(v) + 1)])::BIGINT AS d FROM parts JOIN b{k} ON b{k}.p = parts.p) GROUP BY r, p
+)"""
+_MOVED = """
+b{n} AS MATERIALIZED (
+    SELECT b{k}.p, b{k}.e, coalesce(m.c, b{k}.c) AS c
+    FROM b{k} LEFT JOIN (
+        SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY j) AS c
+        FROM (SELECT p, e, j, sum(v[j])::BIGINT AS s, count(*) AS n FROM (SELECT a{k}.p, a{k}.e, v, unnest(range(1, len(v) + 1)) AS j FROM a{k} JOIN parts ON parts.r = a{k}.r AND parts.p = a{k}.p) GROUP BY p, e, j) GROUP BY p, e
+    ) m ON m.p = b{k}.p AND m.e = b{k}.e
+)"""
+VECTOR_CODES = f"""
+WITH kept AS (
+    SELECT vec_id, label, [CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT) for c in embedding] AS x, row_number() OVER (ORDER BY vec_id) AS r
+    FROM embeddings WHERE embedding IS NOT NULL AND len([c for c in embedding if c IS NULL OR NOT isfinite(c)]) = 0
+), parts AS MATERIALIZED (
+    SELECT r, p, x[p * len(x) // 16 + 1:(p + 1) * len(x) // 16] AS v FROM (SELECT r, x, unnest(range(16)) AS p FROM kept)
+), b0 AS MATERIALIZED (
+    SELECT p, r - 1 AS e, v AS c FROM parts WHERE r <= 64
+), {_NEAREST.format(k=0)}, {_MOVED.format(k=0, n=1)}, {_NEAREST.format(k=1)}, {_MOVED.format(k=1, n=2)}, {_NEAREST.format(k=2)},
+coded AS (
+    SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY r
+), book AS (
+    SELECT sha256(string_agg(CAST(c[j] AS VARCHAR), ',' ORDER BY p, e, j)) AS digest FROM (SELECT p, e, c, unnest(range(1, len(c) + 1)) AS j FROM b2)
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, digest AS codebooks_sha256 FROM kept JOIN coded ON coded.r = kept.r, book
+"""
+
 ORACLE_SQL = {
     "op1_hyperminhash_dedup": NEAR_DUPLICATES,
     "op3_prefix_filtered_decontamination": CONTAMINATION,
     "op10_zstd_warc": ARCHIVES,
+    "op11_block_naming_dedup": EXACT_DUPLICATES,
+    "op13_filtering_lloyd_codes": VECTOR_CODES,
 }
