@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 MAX_RULES, MAX_HOSTS, MAX_PATHS, MAX_REQUESTS, MAX_PATTERNS = 64, 200, 100, 500, 2000
 
+# What an ingest filter may test, and how.
+FILTER_FIELDS, FILTER_OPS = ("request_host", "request_path"), ("equals", "suffix", "prefix", "contains")
+
 
 def _any(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
@@ -32,6 +35,14 @@ def drop_filter(rules: list[dict], host: str = "host", path: str = "path") -> Co
     return F.coalesce(_any(out), F.lit(False))
 
 
+def checked_rules(filters: Column) -> Column:
+    """The rules of a JSON list of {field, op, values} as an array, values trimmed and in lower case; NULL where they break a rule of ``drop_filter``."""
+    rules = F.from_json(filters, "array<struct<field:string,op:string,values:array<string>>>")
+    tidy = F.transform(rules, lambda r: F.struct(r["field"].alias("field"), r["op"].alias("op"), F.filter(F.transform(r["values"], lambda v: F.lower(F.trim(v))), lambda v: v != "").alias("values")))
+    sound = F.forall(tidy, lambda r: F.coalesce(r["field"].isin(*FILTER_FIELDS) & r["op"].isin(*FILTER_OPS) & (F.size(r["values"]) > 0), F.lit(False)))
+    return F.when((F.size(tidy) <= MAX_RULES) & sound, tidy)
+
+
 def validate_hosts(hosts: list[str], paths: list[str]) -> None:
     if len(hosts) > MAX_HOSTS or len(paths) > MAX_PATHS:
         raise ValueError("too many hosts or paths")
