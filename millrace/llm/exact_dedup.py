@@ -43,15 +43,15 @@ def identified(docs: DataFrame, keep: list[str], block: int = BLOCK, bits: int =
     bits: of the hash by which rows find their names; fewer make collisions, which change no result.
     """
     found = lambda b: F.shiftrightunsigned(F.xxhash64(b), 64 - bits) if bits < 64 else F.xxhash64(b)
-    raw = F.encode(normalised(F.col("text")), "UTF-8")
-    content = docs.select(F.explode(_blocks(raw, block)).alias("block")).select(found(F.col("block")).alias("h"), "block")
+    # a column of its own, so that the text is normalised once a row and not once a block
+    texts = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("doc_id"), F.encode(normalised(F.col("text")), "UTF-8").alias("_raw"))
+    raw = F.col("_raw")
+    content = texts.select(F.explode(_blocks(raw, block)).alias("block")).select(found(F.col("block")).alias("h"), "block")
     names = stage(_named(content, "h", "block").select("h", "name"), "block_names")
     shared = [r["h"] for r in names.groupBy("h").count().where("count > 1").select("h").limit(LISTED + 1).collect()]
     clash = (lambda h: F.lit(True)) if len(shared) > LISTED else (lambda h: h.isin(shared)) if shared else (lambda h: F.lit(False))
     marked = F.transform(_blocks(raw, block), lambda b: F.struct(found(b).alias("h"), F.when(clash(found(b)), b).alias("block")))
-    rows = stage(docs.select(
-        F.monotonically_increasing_id().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("doc_id"), F.sha2(raw, 256).alias("text_sha256"), marked.alias("blocks")
-    ), "identified_rows")
+    rows = stage(texts.select(F.monotonically_increasing_id().alias("rid"), "row", "doc_id", F.sha2(raw, 256).alias("text_sha256"), marked.alias("blocks")), "identified_rows")
     at = rows.select("rid", F.size("blocks").alias("n"), F.posexplode("blocks").alias("pos", "b")).select("rid", "n", "pos", "b.h", "b.block")
     if shared:
         by_content = _named(content.where(clash(F.col("h"))), "h", "block").select("h", "block", (-1 - F.col("name")).alias("name"))
