@@ -167,3 +167,18 @@ def profile_config(text: str | None) -> dict:
     except (ValueError, AttributeError, TypeError):
         return off
     return said
+
+
+def profiled(seen: DataFrame, configs: DataFrame) -> DataFrame:
+    """The rows that their tenant's profiling settings (tenant, config as JSON) let through: profiling is off for tenants without valid ones.
+
+    One entry a tenant comes to the driver, as settings are validated there; the test of a row is
+    an expression over its tenant's lists.
+    """
+    valid = [(r["tenant"], said["hosts"], said["excluded_paths"]) for r in configs.select("tenant", "config").toLocalIterator() if (said := profile_config(r["config"]))["enabled"] is True and said["hosts"]]
+    spark = seen.sparkSession
+    named = spark.createDataFrame([(t, [h.lower() for h in hosts], paths) for t, hosts, paths in valid], "_tenant string, _hosts array<string>, _paths array<string>")
+    name = F.when(F.col("host").contains("]"), F.lower("host")).otherwise(F.lower(F.substring_index("host", ":", 1)))
+    listed = F.exists("_hosts", lambda h: F.when(h.startswith("*."), (name == F.substring(h, 3, 1 << 20)) | name.endswith(F.substring(h, 2, 1 << 20))).otherwise(name == h))
+    rows = seen.join(named, F.col("tenant") == F.col("_tenant"))
+    return rows.where(F.coalesce(listed, F.lit(False)) & ~F.exists("_paths", lambda p: F.coalesce(F.col("path").startswith(p), F.lit(False)))).drop("_tenant", "_hosts", "_paths")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.identifiers import joined_id
 from millrace.functions.quality import contains_secret
-from millrace.functions.values import PROMOTABLE, infer_type, join_types, joined_path, matches_type, parameter_name, path_segments, query_pairs, token
+from millrace.functions.values import PROMOTABLE, infer_type, join_types, joined_path, matches_type, parameter_name, path_segments, query_pairs, token, token_type
 from millrace.staging import discard, stage
 
 ENUM_CAP, COOKIE_CAP = 64, 64
@@ -16,28 +16,41 @@ MIN_SAMPLES, MAX_DISTINCT, MIN_DISTINCT_FOR_TYPE, TYPE_SHARE, SINGLETON_SHARE, R
 CEILINGS = ("request_bytes", "header_count", "header_bytes", "cookie_count", "query_length", "body_bytes", "response_bytes")
 
 
-def learn_templates(observed: DataFrame, scope: list[str], path: str = "path", weight: str | None = None) -> DataFrame:
+def learned_positions(templates: DataFrame, scope: list[str], template: str = "template") -> DataFrame:
+    """(scope..., _prefix, _known) of every position that a template has a token for: what was decided once and holds."""
+    segments = path_segments(F.col(template))
+    at = F.filter(F.transform(segments, lambda v, i: F.struct(joined_path(F.slice(segments, 1, i)).alias("_prefix"), token_type(v).alias("_known"))), lambda p: p["_known"].isNotNull())
+    found = templates.select(*scope, F.explode(at).alias("_p")).select(*scope, "_p.*")
+    return found.groupBy(*scope, "_prefix").agg(F.min("_known").alias("_known"))
+
+
+def learn_templates(observed: DataFrame, scope: list[str], path: str = "path", weight: str | None = None, learned: DataFrame | None = None) -> DataFrame:
     """observed with ``template``: variable path segments replaced by ``{type}`` or ``{var}``.
 
     One level a round: positions are counted under their rewritten prefix, so a collapse on one
     level is seen by the next. What is rewritten is the table of distinct paths with their
     counts, and only while a level has samples enough for a collapse. Values are counted, never
-    collected. weight: a column with the observations that a row stands for.
+    collected. weight: a column with the observations that a row stands for. learned: of
+    learned_positions(); such a position stays collapsed, for the values of its type, and the
+    tokens of templates among the paths stand for themselves.
     """
     spark = observed.sparkSession
     paths = observed.groupBy(*scope, F.col(path).alias("_path")).agg((F.sum(weight) if weight else F.count("*")).alias("_n"))
     rows = stage(paths.withColumn("_segments", path_segments(F.col("_path"))).withColumn("_done", F.array().cast("array<string>")), "templates")
     depth = 0
-    while (rows.agg(F.sum(F.when(F.size("_segments") > depth, F.col("_n")))).first()[0] or 0) >= MIN_SAMPLES:
+    known = learned.agg(F.max(F.size(path_segments(F.col("_prefix")))) + 1).first()[0] or 0 if learned is not None else 0
+    while depth < known or (rows.agg(F.sum(F.when(F.size("_segments") > depth, F.col("_n")))).first()[0] or 0) >= MIN_SAMPLES:
         level = rows.withColumn("_value", F.get("_segments", depth)).withColumn("_prefix", joined_path(F.col("_done")))
-        values = level.where("_value is not null").groupBy(*scope, "_prefix", "_value").agg(F.sum("_n").alias("n")).withColumn("kind", infer_type(F.col("_value")))
+        values = level.where(F.col("_value").isNotNull() & token_type(F.col("_value")).isNull()).groupBy(*scope, "_prefix", "_value").agg(F.sum("_n").alias("n")).withColumn("kind", infer_type(F.col("_value")))
         kinds = values.groupBy(*scope, "_prefix", "kind").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.count_if(F.col("n") == 1).alias("ones"))
         totals = kinds.groupBy(*scope, "_prefix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum("ones").alias("ones"), F.max_by("kind", F.struct("n", "kind")).alias("kind"), F.max("n").alias("most"))
         typed = (F.col("n") >= MIN_SAMPLES) & (F.col("k") >= MIN_DISTINCT_FOR_TYPE) & (F.col("most") / F.col("n") >= TYPE_SHARE) & F.col("kind").isin(*PROMOTABLE)
         varied = (F.col("k") > MAX_DISTINCT) & (F.col("n") >= MIN_SAMPLES * REPEAT_FACTOR) & (F.col("ones") / F.col("k") >= SINGLETON_SHARE)
         collapsed = totals.where(typed | varied).select(*scope, "_prefix", F.when(typed, F.col("kind")).otherwise("var").alias("_kind"))
+        if learned is not None:
+            collapsed = collapsed.join(learned, [*scope, "_prefix"], "full").select(*scope, "_prefix", F.coalesce("_known", "_kind").alias("_kind"))
         level = level.join(collapsed, [*scope, "_prefix"], "left")
-        segment = F.when(F.col("_kind").isNotNull() & matches_type(F.col("_value"), F.col("_kind")), token(F.col("_kind"))).otherwise(F.col("_value"))
+        segment = F.when(F.col("_kind").isNotNull() & token_type(F.col("_value")).isNull() & matches_type(F.col("_value"), F.col("_kind")), token(F.col("_kind"))).otherwise(F.col("_value"))
         after = stage(level.withColumn("_done", F.when(F.col("_value").isNotNull(), F.concat("_done", F.array(segment))).otherwise(F.col("_done"))).drop("_value", "_prefix", "_kind"), "templates")
         discard(spark, rows)
         rows, depth = after, depth + 1
@@ -69,6 +82,18 @@ def merge_profiles(parts: DataFrame, scope: list[str]) -> DataFrame:
     return parts.groupBy(*scope, "template").agg(F.sum("observations").alias("observations"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), *[F.max(c).alias(c) for c in have], F.array_sort(F.array_distinct(F.flatten(F.collect_list("providers")))).alias("providers"))
 
 
+def merge_histograms(parts: DataFrame, scope: list[str]) -> DataFrame:
+    """Status histograms of the same endpoints added up."""
+    return parts.groupBy(*scope, "template", "status").agg(F.sum("n").alias("n"))
+
+
+def merge_cookie_names(parts: DataFrame, scope: list[str]) -> DataFrame:
+    """Cookie names of the same endpoints: their union, the first COOKIE_CAP in order, with a mark once some are left out."""
+    over = parts.groupBy(*scope, "template").agg(F.max("cookie_names_truncated").alias("_over"))
+    out = cookie_name_profile(parts, scope).join(over, [*scope, "template"])
+    return out.withColumn("cookie_names_truncated", F.col("cookie_names_truncated") | F.col("_over")).drop("_over")
+
+
 def parameters(observed: DataFrame, query: str = "query") -> DataFrame:
     """A row for each query parameter: name (ids in brackets folded), value, kind, ok."""
     return observed.withColumn("_p", F.explode(query_pairs(F.col(query)))).withColumn("name", parameter_name(F.col("_p.name"))).withColumn("value", F.col("_p.value")).withColumn("ok", F.col("_p.ok")).drop("_p").withColumn("kind", infer_type(F.col("value")))

@@ -49,6 +49,11 @@ def read_small(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    store, at = _file(spark, path)
+    store.delete(at, True)
+
+
 def names_in(spark: SparkSession, path: str) -> list[str]:
     """The names of what lies in a folder, in order; none if there is no folder."""
     store, at = _file(spark, path)
@@ -92,12 +97,14 @@ def load(spark: SparkSession, path: str, within: DataFrame | None = None) -> Dat
     within: rows of its partition columns; then only these partitions are listed and read. One
     entry a partition comes to the driver.
     """
+    store, at = _file(spark, path)
+    if not store.exists(at):
+        return None
     schema = schema_of(spark, path)
     reader = spark.read if schema is None else spark.read.schema(schema)
     try:
         if within is None:
             return reader.parquet(path)
-        store = _file(spark, path)[0]
         there = [f for f in (folder_of(spark, path, r) for r in within.distinct().toLocalIterator()) if store.exists(_file(spark, f)[1])]
         return reader.option("basePath", path).parquet(*there) if there else None
     except AnalysisException as e:
@@ -172,8 +179,7 @@ def _rewrite(spark: SparkSession, path: str, parts: list[str], hit: DataFrame, w
     gone = matching(hit, whole.select(*parts).distinct(), parts, "left_anti")
     whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
     for row in gone.toLocalIterator():
-        store, at = _file(spark, folder_of(spark, path, row))
-        store.delete(at, True)
+        delete(spark, folder_of(spark, path, row))
     discard(spark, whole, hit)
 
 

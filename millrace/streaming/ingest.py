@@ -27,7 +27,8 @@ from millrace.operators.components import connected_components
 from millrace.operators.correlate import heuristic_keys
 from millrace.operators.filters import checked_rules
 from millrace.operators.flow import materialize
-from millrace.sources.landing import distinct_records, stream_landing, with_feeds
+from millrace.schema import UNKNOWN_LAYER
+from millrace.sources.landing import stream_landing, with_feeds
 from millrace.sources.store import append, append_new, load, matching, names_in, overwrite_by_key
 from millrace.staging import discard, stage
 
@@ -46,6 +47,7 @@ def log_rows(events: DataFrame) -> DataFrame:
         "event_id", "raw_id", "tenant", "provider", "layer", "layer_ord", F.coalesce("identifiers", F.array().cast("array<string>")).alias("ids"), F.unix_micros("event_time").alias("event_us"), F.col("verdict.action").alias("action"), F.coalesce("verdict.terminating", F.lit(False)).alias("terminating"), F.col("verdict.rule_id").alias("rule_id"), F.col("verdict.mapped").alias("mapped"),
         F.coalesce("bot.datadome_score", F.col("bot.cf_bot_score").cast("double")).alias("score"), F.col("client.ip").alias("client_ip"), F.col("client.asn").alias("asn"), F.col("client.country").alias("country"), F.col("client.user_agent").alias("user_agent"), F.col("request.method").alias("method"), F.col("request.host").alias("host"), F.col("request.path").alias("path"),
         F.col("response.status").alias("status"), F.col("response.duration_ms").alias("duration_ms"), F.col("response.cache_status").alias("cache_status"), F.coalesce(F.unix_micros("event_time"), F.unix_micros("received_at")).alias("at_us"),
+        F.col("request.query").alias("query"), F.col("response.bytes").alias("response_bytes"), "shape.request_bytes", "shape.header_count", "shape.header_bytes", "shape.cookie_count", "shape.cookie_names",
     )
 
 
@@ -155,8 +157,13 @@ def absorb(spark: SparkSession, batch: DataFrame, root: str, configs: DataFrame
     once as closed ones; otherwise the window follows the log and does so (``streaming.window``).
     now_us: the clock, which no later batch may put back.
     """
+    absorb_parsed(spark, parse(batch, parsers, token_key), root, configs, now_us, flows)
+
+
+def absorb_parsed(spark: SparkSession, parsed: DataFrame, root: str, configs: DataFrame | None = None, now_us: int | None = None, flows: bool = True) -> None:
+    """absorb() for records that parse() has read."""
     now_us = now_us or time.time_ns() // 1000
-    parsed = stage(parse(batch, parsers, token_key), "parsed")  # once, for events, dead letters and evidence
+    parsed = stage(parsed, "parsed")  # once, for events, dead letters and evidence
     good, dead = split(parsed)
     events = stage(keep_wanted(log_rows(good), configs).dropDuplicates(EVENT), "batch")
     received = lambda df: dated(df.withColumn("_us", F.unix_micros("received_at")), "_us").drop("_us")
@@ -204,9 +211,15 @@ def absorb(spark: SparkSession, batch: DataFrame, root: str, configs: DataFrame
     discard(spark, events, new, *([old] if old is not None else []))
 
 
+#: What a flow's events measured of the request, for profiles; NULL is "not measured".
+SHAPE = ("response_bytes", "request_bytes", "header_count", "header_bytes", "cookie_count")
+
+
 def arrivals(events: DataFrame) -> DataFrame:
-    """Per flow (tenant, key) of log rows: at_us, by which it is dated (a flow may hold no event with a time of its own), and its first and last arrival."""
-    return events.groupBy(*KEY).agg(F.min("at_us").alias("at_us"), F.min("arrival_us").alias("first_arrival_us"), F.max("arrival_us").alias("last_arrival_us"))
+    """Per flow (tenant, key) of log rows: at_us, by which it is dated (a flow may hold no event with a time of its own), its first and last arrival, and what profiles need of the request."""
+    order = F.struct(F.coalesce("layer_ord", F.lit(UNKNOWN_LAYER)), F.col("event_us"), F.col("event_id"))
+    first = [F.min_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in ("query", "cookie_names")]
+    return events.groupBy(*KEY).agg(F.min("at_us").alias("at_us"), F.min("arrival_us").alias("first_arrival_us"), F.max("arrival_us").alias("last_arrival_us"), *first, *[F.max(c).alias(c) for c in SHAPE])
 
 
 def publish(spark: SparkSession, root: str, made: DataFrame, state: DataFrame, gone: DataFrame | None, before: DataFrame | None, version: int) -> None:
@@ -265,10 +278,10 @@ def run(spark: SparkSession, landing: str, feeds: DataFrame, root: str, checkpoi
     """Start the stream. available_now: take what is there and stop. configs: the tenants' filters; token_key: for masked values; flows: as for absorb."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        records = distinct_records(with_feeds(batch, feeds))
-        absorb(spark, stage(records, f"records-{batch_id}"), root, configs, token_key, flows=flows)
+        absorb_parsed(spark, batch, root, configs, flows=flows)
 
-    writer = stream_landing(spark, landing).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    # parsed in the plan of the stream, which is built once; a record that comes twice is one by its event's or letter's id
+    writer = parse(with_feeds(stream_landing(spark, landing), feeds), token_key=token_key).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
 

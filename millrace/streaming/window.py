@@ -189,7 +189,8 @@ def write_versions(spark: SparkSession, root: str, versions: DataFrame, fields:
     now = versions.where("status <> 'moved'")
     events = now.select("tenant", "key", F.col("status").alias("_state"), F.explode(F.from_json("events", f"array<{fields.simpleString()}>")).alias("e")).select("tenant", "key", "_state", "e.*")
     made = materialize(events.where("_state = 'closed'").drop("_state"), closed=True, expected=layers).unionByName(materialize(events.where("_state = 'open'").drop("_state"), closed=False, expected=layers))
-    state = now.select("tenant", "key", "at_us", F.col("first_us").alias("first_arrival_us"), F.col("last_us").alias("last_arrival_us"), F.col("status").alias("state"), "closed_us", "amended")
+    shape = ingest.arrivals(events.withColumn("arrival_us", F.lit(None).cast("long"))).drop("at_us", "first_arrival_us", "last_arrival_us")
+    state = now.join(shape, ingest.KEY).select(*shape.columns, "at_us", F.col("first_us").alias("first_arrival_us"), F.col("last_us").alias("last_arrival_us"), F.col("status").alias("state"), "closed_us", "amended")
     gone = versions.where("status = 'moved'").select("tenant", F.concat(F.lit("flow:"), "key").alias("flow_id"))
     before = ingest.dated(versions.where("was_at_us is not null"), "was_at_us").select("tenant", "day", "hour").distinct()
     ingest.publish(spark, root, made, state, gone, before, time.time_ns() // 1000)
