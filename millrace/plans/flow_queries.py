@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import alerts, correlate, filters, flow, search, stats, verdict
+from millrace.operators import alerts, baseline, correlate, filters, flow, search, stats, verdict
 from millrace.schema import LAYERS
 from millrace.sources.driver_tables import FLOW_SQL, KEY_SQL, LOG_SQL, flows, keyed_log, request_log, table
 
@@ -50,10 +51,10 @@ def heuristic_components(spark, d):
     return correlate.heuristic_keys(bare).where("not ambiguous").groupBy("tenant", "key").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("provider")), " ").alias("providers"))
 
 
-@query("SELECT event_id, key FROM loose WHERE ambiguous", KEY_SQL.replace("gap <= 5000000", "gap <= 864000000000").replace("'/p/' || (r % 23) AS path", "'/x' AS path").replace("'h' || (r % 7) || '.example.com' AS host", "'h' AS host"))
+@query("SELECT event_id, key FROM loose WHERE ambiguous", KEY_SQL.replace("gap <= 5000000", "gap <= 864000000000").replace("'/p/' || (r % 23) AS path", "'/x' AS path").replace("'h' || (r % 7) || '.example.com' AS host", "'h' AS host").replace("'10.0.0.' || (r % 50) AS client_ip", "'10.0.0.1' AS client_ip"))
 def heuristic_ambiguous(spark, d):
     bare = request_log(spark, d).where(F.size("ids") == 0)
-    return correlate.heuristic_keys(bare.withColumns({"path": F.lit("/x"), "host": F.lit("h")}), 864_000_000_000).where("ambiguous").select("event_id", "key")
+    return correlate.heuristic_keys(bare.withColumns({"path": F.lit("/x"), "host": F.lit("h"), "client_ip": F.lit("10.0.0.1")}), 864_000_000_000).where("ambiguous").select("event_id", "key")
 
 
 @query("SELECT tenant, count(*) AS n FROM log WHERE id1 IS NULL AND id2 IS NULL AND event_id NOT IN (SELECT event_id FROM loose WHERE NOT ambiguous) GROUP BY tenant", KEY_SQL)
@@ -217,6 +218,25 @@ def rule_block_baseline(spark, d):
     return stats.rule_baseline(request_log(spark, d)).withColumns({c: F.round(c, 6) for c in ("mean", "variance")})
 
 
+_BASELINE_SQL = "SELECT tenant, rule_id, count(*) AS observations, round(avg(CAST(terminating AS DOUBLE)), 6) AS mean, round(coalesce(var_samp(CAST(terminating AS DOUBLE)), 0), 6) AS variance FROM log"
+
+
+@query(f"{_BASELINE_SQL} GROUP BY tenant, rule_id", LOG_SQL)
+def rule_baseline_merge(spark, d):
+    """The states of five parts of the log, by day, merged into those of one pass."""
+    log = request_log(spark, d)
+    parts = reduce(DataFrame.unionByName, [baseline.baseline_parts(log.where(F.col("r") % 5 == k), ["tenant"]) for k in range(5)])
+    days = baseline.merge_baselines(parts, ["tenant"], keep_day=True)
+    return baseline.as_baseline(baseline.merge_baselines(days, ["tenant"])).withColumns({c: F.round(c, 6) for c in ("mean", "variance")})
+
+
+@query(f"{_BASELINE_SQL} WHERE event_us >= epoch_us((SELECT date_trunc('day', make_timestamp(max(event_us))) FROM log)) - 6 * 86400000000 GROUP BY tenant, rule_id", LOG_SQL)
+def rule_baseline_sliding(spark, d):
+    """The last seven days of the stored states: older days have left the baseline."""
+    days = baseline.baseline_parts(request_log(spark, d), ["tenant"])
+    return baseline.as_baseline(baseline.merge_baselines(baseline.last_days(days, 7), ["tenant"])).withColumns({c: F.round(c, 6) for c in ("mean", "variance")})
+
+
 @query("SELECT b.rule_id, b.observations, round(b.mean, 6) AS mean, round(r.mean, 6) AS recent, round(CASE WHEN b.mean > 0 THEN r.mean / b.mean WHEN r.mean > 0.01 THEN CAST('inf' AS DOUBLE) ELSE 0 END, 6) AS factor, b.observations >= 100 AND CASE WHEN b.mean > 0 THEN r.mean / b.mean >= 3 ELSE r.mean > 0.01 END AS deviates FROM b2 b JOIN r2 r ON r.rule_id = b.rule_id", LOG_SQL + ", b2 AS (SELECT rule_id, count(*) AS observations, avg(CAST(terminating AS DOUBLE)) AS mean FROM log WHERE event_us < 1705622400000000 GROUP BY rule_id), r2 AS (SELECT rule_id, avg(CAST(terminating AS DOUBLE)) AS mean FROM log WHERE event_us >= 1705622400000000 GROUP BY rule_id)")
 def rule_deviation(spark, d):
     log = request_log(spark, d)
@@ -225,7 +245,7 @@ def rule_deviation(spark, d):
     return out.withColumns({c: F.round(c, 6) for c in ("mean", "recent", "factor")})
 
 
-@query("SELECT count(*) AS total, round(count(*) FILTER (WHERE correlation_method = 'exact') / count(*), 6) AS exact, round(count(*) FILTER (WHERE correlation_method = 'heuristic') / count(*), 6) AS heuristic, 0.0::DOUBLE AS ambiguous, round(count(*) FILTER (WHERE len(providers) > 1) / count(*), 6) AS multi_provider, count(*) >= 100 AS meaningful FROM flows", FLOW_SQL)
+@query("SELECT count(*) AS total, round(count(*) FILTER (WHERE correlation_method = 'exact') / count(*), 6) AS exact, round(count(*) FILTER (WHERE correlation_method = 'heuristic') / count(*), 6) AS heuristic, round(count(*) FILTER (WHERE completeness = 'ambiguous') / count(*), 6) AS ambiguous, round(count(*) FILTER (WHERE len(providers) > 1) / count(*), 6) AS multi_provider, count(*) >= 100 AS meaningful FROM flows", FLOW_SQL)
 def correlation_quality(spark, d):
     return stats.correlation_quality(flows(spark, d))
 

@@ -25,9 +25,9 @@ def query(sql: str, head: str = ""):
     return register
 
 
-@query("SELECT raw_id, event_id, provider FROM log WHERE tenant = 't1' AND raw_id = 'raw:20'", LOG_SQL)
+@query("SELECT raw_id, event_id, provider FROM log WHERE tenant = 't2' AND raw_id = 'raw:20'", LOG_SQL)
 def raw_by_id(spark, d):
-    return search.raw_by_id(request_log(spark, d), "t1", "raw:20").select("raw_id", "event_id", "provider")
+    return search.raw_by_id(request_log(spark, d), "t2", "raw:20").select("raw_id", "event_id", "provider")
 
 
 @query("SELECT event_id, host FROM log WHERE lower(host) IN ('h1.example.com', 'h4.example.com')", LOG_SQL)
@@ -98,11 +98,12 @@ def profile_total(spark, d):
     return profile.profile_total(_profiles(spark, d), 20, q="/P/1")
 
 
-@query("SELECT host, path AS template FROM log WHERE r % 5 < 4 GROUP BY ALL EXCEPT SELECT host, path FROM log WHERE event_id >= 1000 GROUP BY ALL", LOG_SQL)
+@query("SELECT DISTINCT host, path AS template FROM (SELECT host, path, count(*) OVER (PARTITION BY host) AS n, (SELECT count(DISTINCT path) FROM log) AS k FROM log) WHERE n >= 64 AND k >= 8", LOG_SQL)
 def retired_endpoints(spark, d):
-    log = request_log(spark, d).withColumn("template", F.col("path"))
-    stored, current = log.where("r % 5 < 4").select("host", "template").distinct(), log.where("event_id >= 1000")
-    return profile.retired(stored, current, ["host", "template"])
+    """The literal endpoints that are gone once their position has collapsed."""
+    log = request_log(spark, d)
+    stored = log.select("host", F.col("path").alias("template")).distinct()
+    return profile.retired(stored, profile.learn_templates(log, ["host"]), ["host", "template"])
 
 
 @query("SELECT preset, count(flow_id) AS n FROM (VALUES ('15m', 900000000), ('1h', 3600000000), ('24h', 86400000000), ('other', 3600000000)) p(preset, us) LEFT JOIN flows ON first_us BETWEEN (SELECT max(first_us) FROM flows) - us AND (SELECT max(first_us) FROM flows) GROUP BY preset", FLOW_SQL)

@@ -31,6 +31,7 @@ from millrace.schema import UNKNOWN_LAYER
 from millrace.sources.landing import stream_landing, with_feeds
 from millrace.sources.store import append, append_new, load, matching, names_in, overwrite_by_key
 from millrace.staging import discard, stage
+from millrace.streaming.batches import brief
 
 HOUR_US = 3_600_000_000
 SEP = "\u0001"
@@ -281,7 +282,7 @@ def run(spark: SparkSession, landing: str, feeds: DataFrame, root: str, checkpoi
         absorb_parsed(spark, batch, root, configs, flows=flows)
 
     # parsed in the plan of the stream, which is built once; a record that comes twice is one by its event's or letter's id
-    writer = parse(with_feeds(stream_landing(spark, landing), feeds), token_key=token_key).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    writer = parse(with_feeds(stream_landing(spark, landing), feeds), token_key=token_key).writeStream.foreachBatch(brief(each)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
 

@@ -20,6 +20,7 @@ from millrace.operators import profile
 from millrace.operators.filters import profiled
 from millrace.sources.store import delete, names_in, read_small, schema_of, write_once
 from millrace.staging import discard, stage
+from millrace.streaming.batches import brief
 
 DEDUP_TTL = "2 hours"
 SCOPE = ["tenant", "host", "method"]
@@ -127,7 +128,7 @@ def run(spark: SparkSession, flows: DataFrame, root: str, checkpoint: str, confi
             absorb(spark, rows, root, batch_id, configs)
         discard(spark, rows)
 
-    writer = distinct_flows(flows).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    writer = distinct_flows(flows).writeStream.foreachBatch(brief(each)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
 

@@ -23,6 +23,7 @@ from millrace.operators.flow import materialize
 from millrace.sources.store import schema_of
 from millrace.staging import discard, stage
 from millrace.streaming import ingest
+from millrace.streaming.batches import brief
 
 WINDOW_MS = 900_000
 HORIZON_MS = 3_600_000
@@ -181,7 +182,7 @@ def run(spark: SparkSession, root: str, checkpoint: str, window_ms: int = WINDOW
         discard(spark, versions)
 
     out = flow_versions(log_changes(log), window_ms, len(layers), horizon_ms, snapshot)
-    return out.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+    return out.writeStream.outputMode("update").foreachBatch(brief(each)).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
 
 
 def write_versions(spark: SparkSession, root: str, versions: DataFrame, fields: StructType, layers: tuple[int, ...] = (0, 1, 2, 3)) -> None:
