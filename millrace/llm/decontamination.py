@@ -33,7 +33,7 @@ PLACES = "array<struct<token:long,pos:long,first:long,around:array<string>>>"
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, words, tokens): the windows of each item with the hashes of their shingles. Items without id or words have none."""
+    """(item_id, words, tokens): the windows of each item with the hashes of their shingles. Items without words have none; those without id have windows and no id."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -48,7 +48,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
             columns = zip(*out, strict=True) if out else ([], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.list_(pa.string()), pa.list_(pa.int64())), strict=True)], ["item_id", "words", "tokens"])
 
-    return benchmark.where("item_id is not null").select(F.col("item_id").cast("string"), "text").mapInArrow(read, "item_id string, words array<string>, tokens array<long>")
+    return benchmark.select(F.col("item_id").cast("string"), "text").mapInArrow(read, "item_id string, words array<string>, tokens array<long>")
 
 
 def bitmap(tokens: DataFrame) -> np.ndarray:
@@ -165,7 +165,8 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Texts of any length are read as a whole. Equal texts, with one id or several, get equal
     figures; of shingles that are equally rare the first of the window is its prefix, which does
-    not change the result. Other columns are ignored. An empty table gives no rows, and without
+    not change the result. The windows of items without id hit words as others do, but such items
+    are neither counted nor named. Other columns are ignored. An empty table gives no rows, and without
     items nothing is contaminated.
     """
     rows, found = contamination(docs, benchmark)

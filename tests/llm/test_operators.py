@@ -88,16 +88,14 @@ def contamination(table, items):
     windows = defaultdict(set)
     for item, text in items:
         w = ALNUM.findall((text or "").translate(LOWER))
-        if item is None:
-            continue
         for k in range(max(len(w) - 9, 1) if w else 0):
-            windows[tuple(w[k : k + 10])].add(str(item))
+            windows[tuple(w[k : k + 10])] |= {str(item)} - {"None"}  # an item without id has windows and no name
     sizes, out = {len(k) for k in windows}, []
     for i, text in table:
         w, hit, found = ALNUM.findall((text or "").translate(LOWER)), set(), set()
         for n in sizes:
             for k in range(len(w) - n + 1):
-                if s := windows.get(tuple(w[k : k + n])):
+                if (s := windows.get(tuple(w[k : k + n]))) is not None:
                     hit |= set(range(k, k + n))
                     found |= s
         out.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
