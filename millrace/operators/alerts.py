@@ -54,6 +54,25 @@ def evaluate(subjects: DataFrame, detection: Detection, id_column: str, at: str
     return hit.select(joined_id("al_", F.lit(detection.id), F.col("tenant"), F.col(id_column).cast("string"), F.col(at).cast("string")).alias("alert_id"), F.lit(detection.id).alias("detection_id"), F.lit(detection.severity).alias("severity"), "tenant", F.col(id_column).cast("string").alias("subject"), key.alias("grouping_key"), F.col(at).alias("at_us"))
 
 
+def with_evidence(alerts: DataFrame, subjects: DataFrame, id_column: str, evidence: list[str]) -> DataFrame:
+    """alerts with ``evidence``: the named columns of their subject at that time, as JSON."""
+    said = subjects.select(F.col("tenant").alias("_t"), F.col(id_column).cast("string").alias("_s"), F.to_json(F.struct(*evidence)).alias("evidence")).groupBy("_t", "_s").agg(F.max("evidence").alias("evidence"))
+    return alerts.join(said, (F.col("tenant") == F.col("_t")) & (F.col("subject") == F.col("_s")), "left").drop("_t", "_s")
+
+
+def alert_groups(alerts: DataFrame) -> DataFrame:
+    """(tenant, grouping_key, detection_id, severity, occurrences, subjects, first_us, last_us, evidence): alerts of one condition that still happens.
+
+    The severity is the worst one, the evidence that of the last alert; what each alert rests on
+    stays with the alerts.
+    """
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity")), F.lit(99))
+    last = F.max_by("evidence", F.struct("at_us", "alert_id")) if "evidence" in alerts.columns else F.lit(None).cast("string")
+    return alerts.groupBy("tenant", "grouping_key").agg(
+        F.min("detection_id").alias("detection_id"), F.min_by("severity", rank).alias("severity"), F.count("*").alias("occurrences"), F.countDistinct("subject").alias("subjects"), F.min("at_us").alias("first_us"), F.max("at_us").alias("last_us"), last.alias("evidence")
+    )
+
+
 def _folded(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], at: str, name: str, admit: Callable[[], Callable[[int], bool]]) -> DataFrame:
     """rows with a boolean column: what a fold over the times of each key, in order, says of each.
 

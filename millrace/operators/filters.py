@@ -82,7 +82,7 @@ def in_networks(ip: Column, networks: list[str]) -> Column:
 # The fields that a rule expression may name, with the flow column behind each; NULL where flows do not hold it.
 RULE_FIELDS = {
     "ip_src": "client_ip", "ip_src_asnum": "asn", "ip_src_country": "country", "ip_geoip_asnum": "asn", "ip_geoip_country": "country", "ip_geoip_continent": None,
-    "http_host": "host", "http_request_method": "method", "http_request_uri": "path", "http_request_uri_path": "path", "http_request_uri_query": None, "http_request_full_uri": None, "http_request_version": None, "http_request_body_raw": None,
+    "http_host": "host", "http_request_method": "method", "http_request_uri": "path", "http_request_uri_path": "path", "http_request_uri_query": "query", "http_request_full_uri": None, "http_request_version": None, "http_request_body_raw": None,
     "http_user_agent": "user_agent", "http_referer": None, "http_cookie": None, "http_response_code": "status",
     "cf_threat_score": None, "cf_bot_management_score": None, "cf_bot_management_verified_bot": None, "cf_client_bot": None, "cf_edge_server_port": None, "ssl": None,
 }
@@ -127,13 +127,13 @@ def evaluate_rules(flows: DataFrame, rules: dict[str, str]) -> DataFrame:
     kinds = dict(flows.dtypes)
 
     def value(field: str) -> Column:
-        column = RULE_FIELDS[field]
+        column = RULE_FIELDS[field] if RULE_FIELDS[field] in kinds else None
         empty = F.lit(0) if field in NUMBERS else F.lit(False) if field in FLAGS else F.lit("")
         return F.coalesce(F.col(column), empty.cast(kinds[column])) if column else empty
 
     named = {name: rule_fields(condition) for name, condition in rules.items()}
     used = sorted({f for fields in named.values() for f in fields})
-    absent = {f: F.col(RULE_FIELDS[f]).isNull() if RULE_FIELDS[f] else F.lit(True) for f in used}
+    absent = {f: F.col(RULE_FIELDS[f]).isNull() if RULE_FIELDS[f] in kinds else F.lit(True) for f in used}
     subject = flows.select("tenant", "flow_id", *[value(f).alias(f) for f in used], *[absent[f].alias(f"_no_{f}") for f in used])
     found = [F.struct(F.lit(name).alias("rule"), F.coalesce(F.expr(condition), F.lit(False)).alias("matched"), _any([F.col(f"_no_{f}") for f in named[name]]).alias("caveat")) for name, condition in rules.items()]
     return subject.select("tenant", "flow_id", F.explode(F.array(*found)).alias("r")).select("tenant", "flow_id", "r.*")

@@ -32,8 +32,10 @@ def _first(value: str, condition: Column | None = None) -> Column:
 def materialize(keyed: DataFrame, tenant: str = "tenant", closed: bool = True, expected: tuple[int, ...] = (0, 1, 2, 3)) -> DataFrame:
     """One row a flow from events with key and method_tier. Repeated event_ids count once.
 
-    The order and the aggregation share their partitioning, so a flow's events are moved once.
+    The order and the aggregation share their partitioning, so a flow's events are moved once. Events
+    with ``data_quality_flags`` pass them on to their flow, in the order in which they occur.
     """
+    passed = [F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "data_quality_flags"))), lambda e: F.coalesce(e["data_quality_flags"], F.array().cast("array<string>"))))).alias("_flags")] if "data_quality_flags" in keyed.columns else []
     ordered = causal_order(keyed.where("key is not null").dropDuplicates([tenant, "key", "event_id"]), tenant)
     served = F.coalesce(F.max((F.col("layer_ord") == 0) & F.lower("cache_status").isin(*CACHE_SERVED)), F.lit(False))
     agg = ordered.groupBy(tenant, "key").agg(
@@ -43,7 +45,7 @@ def materialize(keyed: DataFrame, tenant: str = "tenant", closed: bool = True, e
         *[_first(c).alias(c) for c in FIRST_SET], _first("rule_id", F.col("terminating") & (F.col("rule_id") != "")).alias("rule_id"), F.max_by(F.when(F.col("status") > 0, F.col("status")), F.when(F.col("status") > 0, F.col("pos"))).alias("status"),
         *[F.sum(F.when((F.col("layer_ord") == i) & (F.col("duration_ms") > 0), F.col("duration_ms"))).alias(f"ms_{layer}") for i, layer in enumerate(LAYERS)],
         F.array_distinct(F.flatten(F.array_sort(F.collect_list("ids")))).alias("ids"), F.min("event_us").alias("first_us"), F.max("event_us").alias("last_us"),
-        F.array_sort(F.collect_list(F.struct("pos", "event_id", "provider", "layer", "layer_ord", "action", "terminating", "event_us", "raw_id", "score", "mapped"))).alias("events"),
+        F.array_sort(F.collect_list(F.struct("pos", "event_id", "provider", "layer", "layer_ord", "action", "terminating", "event_us", "raw_id", "score", "mapped"))).alias("events"), *passed,
     )
     stopped = F.col("_stop_layer").isNotNull() | F.col("_stop_action").isNotNull()
     boundary = F.greatest(F.col("_deepest"), F.when(stopped, F.coalesce("_stop_layer", F.lit(0))).when(F.col("cache_served"), 0).otherwise(ORIGIN), F.lit(0))
@@ -58,7 +60,7 @@ def materialize(keyed: DataFrame, tenant: str = "tenant", closed: bool = True, e
         named("layers_present").alias("layers_present"), named("layers_missing").alias("layers_missing"), F.size("layers_present").alias("layer_count"),
         F.when(tier == "none", "ambiguous").when(~gaps | F.lit(not closed), "complete").otherwise("partial").alias("completeness"),
         F.coalesce("_stop_action", "_last_action").alias("effective_outcome"), F.get(F.array(*map(F.lit, LAYERS)), F.col("_stop_layer")).alias("terminating_layer"), "bridged", "cache_served", "skew_ms",
-        F.array_compact(F.array(F.when(skewed, "clock_skew"), F.when(tier == "heuristic", "heuristic_join"), F.when(F.col("bridged"), "bridged"))).alias("flags"),
+        F.array_union(F.col("_flags") if passed else F.array().cast("array<string>"), F.array_compact(F.array(F.when(skewed, "clock_skew"), F.when(tier == "heuristic", "heuristic_join"), F.when(F.col("bridged"), "bridged")))).alias("flags"),
         *FIRST_SET, "rule_id", "status", *[f"ms_{layer}" for layer in LAYERS], F.filter("ids", lambda i: i.startswith("ray:")).alias("ray_ids"), F.filter("ids", lambda i: ~i.startswith("ray:")).alias("vendor_request_ids"), "first_us", "last_us", "events",
     )
 
@@ -80,6 +82,6 @@ def merge_late(stored: DataFrame, late: DataFrame, tenant: str = "tenant") -> Da
 
 
 def latest_version(flows: DataFrame, tenant: str = "tenant") -> DataFrame:
-    """The version of each flow that closed last, before any other operator looks at them."""
-    w = Window.partitionBy(tenant, "flow_id").orderBy(F.col("closed_us").desc())
+    """The version of each flow that closed last, and of several the one whose JSON is the greatest, before any other operator looks at them."""
+    w = Window.partitionBy(tenant, "flow_id").orderBy(F.col("closed_us").desc_nulls_last(), F.to_json(F.struct(*flows.columns)).desc())
     return flows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

@@ -167,22 +167,23 @@ def host_stats(profiles: DataFrame) -> DataFrame:
     return profiles.groupBy("host").agg(F.count("*").alias("endpoints"), F.sum("observations").alias("observations"), F.max("last_us").alias("last_us"))
 
 
-def _listed(profiles: DataFrame, min_observations: int, host: str | None, q: str | None) -> DataFrame:
+def _listed(profiles: DataFrame, min_observations: int, host: str | None, q: str | None, method: str | None = None) -> DataFrame:
     rows = profiles.where(F.col("observations") >= min_observations)
+    rows = rows.where(F.col("method") == method.upper()) if method else rows
     rows = rows.where(F.col("host") == host) if host else rows
     return rows.where(F.col("template").ilike(f"%{q}%")) if q else rows
 
 
-def profile_total(profiles: DataFrame, min_observations: int = 0, host: str | None = None, q: str | None = None) -> DataFrame:
+def profile_total(profiles: DataFrame, min_observations: int = 0, host: str | None = None, q: str | None = None, method: str | None = None) -> DataFrame:
     """How many profiles the pages of profile_list() hold in all."""
-    return _listed(profiles, min_observations, host, q).agg(F.count("*").alias("total"))
+    return _listed(profiles, min_observations, host, q, method).agg(F.count("*").alias("total"))
 
 
-def profile_list(profiles: DataFrame, min_observations: int = 0, host: str | None = None, q: str | None = None, sort: str = "observations", descending: bool = True, limit: int = 50, offset: int = 0) -> DataFrame:
+def profile_list(profiles: DataFrame, min_observations: int = 0, host: str | None = None, q: str | None = None, sort: str = "observations", descending: bool = True, limit: int = 50, offset: int = 0, method: str | None = None) -> DataFrame:
     column = {"observations": "observations", "last_seen": "last_us", "path": "template"}.get(sort)
     if column is None:
         raise ValueError("unknown sort key")
-    rows = _listed(profiles, min_observations, host, q)
+    rows = _listed(profiles, min_observations, host, q, method)
     order = F.col(column).desc() if descending else F.col(column).asc()
     return rows.orderBy(order, "host", "template").offset(offset).limit(max(1, min(limit or 50, 200)))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.values import status_class
-from millrace.operators import alerts, filters, flow, profile, search, stats, verdict
+from millrace.operators import alerts, filters, flow, profile, replay, search, stats, verdict
 from millrace.plans.profile_queries import URL_SQL, urls
 from millrace.sources.driver_tables import FLOW_SQL, KEY_SQL, LOG_SQL, flows, keyed_log, request_log, table
 
@@ -165,3 +165,27 @@ def status_classes(spark, d):
 def cookie_name_profile(spark, d):
     seen = request_log(spark, d).where("layer_ord = 0").withColumn("template", F.col("path")).withColumn("cookie_names", F.array(F.lit("sid"), F.concat(F.lit("u"), F.col("r") % 4)))
     return profile.cookie_name_profile(seen, ["host"]).select("host", "template", F.array_join("cookie_names", " ").alias("cookie_names"))
+
+
+@query(
+    "SELECT event_id AS request_id, a + b + c AS n_rules, 2 * a + 3 * b + 4 * c AS score, 2 * a + 3 * b AS level_1, 4 * c AS level_2, 2 * a + 3 * b + 4 * c >= 5 AS would_block, CASE WHEN r % 9 = 0 THEN '1 field(s) masked (cookie): rules see the mask' ELSE '' END AS warnings FROM (SELECT *, CAST(regexp_matches(path, '/p/1[0-9]') AS BIGINT) AS a, CAST(method = 'POST' AS BIGINT) AS b, CAST(host = 'h3.example.com' AS BIGINT) AS c FROM log)",
+    LOG_SQL,
+)
+def request_replay(spark, d):
+    """Every logged request against weighted patterns of three paranoia levels, of which two count."""
+    rules = spark.createDataFrame([("r1", "uri", "/p/1[0-9]", 2, 1), ("r2", "method", "^POST$", 3, 1), ("r3", "headers", "Host: h3[.]", 4, 2), ("r4", "any", "p", 9, 3)], "rule_id string, target string, pattern string, score int, paranoia int")
+    masked = F.when(F.col("r") % 9 == 0, F.array(F.lit("cookie")))
+    requests = request_log(spark, d).select(F.col("event_id").alias("request_id"), F.col("path").alias("uri"), "method", F.create_map(F.lit("Host"), F.col("host")).alias("headers"), "client_ip", masked.alias("masked_fields"))
+    out = replay.replay_requests(requests, rules, paranoia=2)
+    return out.select("request_id", F.size("matched_rules").cast("long").alias("n_rules"), "score", F.get("score_by_level", 0).alias("level_1"), F.get("score_by_level", 1).alias("level_2"), "would_block", F.array_join("warnings", "; ").alias("warnings"))
+
+
+@query(
+    "SELECT tenant, client_ip AS subject, count(*) AS occurrences, min(event_us) AS first_us, max(event_us) AS last_us, arg_max(path, event_us * 1000000 + event_id) AS last_path FROM log WHERE action = 'blocked' GROUP BY tenant, client_ip",
+    LOG_SQL,
+)
+def alert_groups(spark, d):
+    """Blocked requests as alerts of their client, grouped to one condition each, with the last one as evidence."""
+    rows = request_log(spark, d).where("action = 'blocked'").select("tenant", F.col("client_ip").alias("subject"), F.concat_ws("/", F.lit("blocked"), "client_ip").alias("grouping_key"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("alert_id"), F.lit("blocked").alias("detection_id"), F.lit("high").alias("severity"), F.col("event_us").alias("at_us"), F.to_json(F.struct("path")).alias("evidence"))
+    out = alerts.alert_groups(rows)
+    return out.select("tenant", F.substring_index("grouping_key", "/", -1).alias("subject"), "occurrences", "first_us", "last_us", F.get_json_object("evidence", "$.path").alias("last_path"))

@@ -48,7 +48,7 @@ def log_rows(events: DataFrame) -> DataFrame:
         "event_id", "raw_id", "tenant", "provider", "layer", "layer_ord", F.coalesce("identifiers", F.array().cast("array<string>")).alias("ids"), F.unix_micros("event_time").alias("event_us"), F.col("verdict.action").alias("action"), F.coalesce("verdict.terminating", F.lit(False)).alias("terminating"), F.col("verdict.rule_id").alias("rule_id"), F.col("verdict.mapped").alias("mapped"),
         F.coalesce("bot.datadome_score", F.col("bot.cf_bot_score").cast("double")).alias("score"), F.col("client.ip").alias("client_ip"), F.col("client.asn").alias("asn"), F.col("client.country").alias("country"), F.col("client.user_agent").alias("user_agent"), F.col("request.method").alias("method"), F.col("request.host").alias("host"), F.col("request.path").alias("path"),
         F.col("response.status").alias("status"), F.col("response.duration_ms").alias("duration_ms"), F.col("response.cache_status").alias("cache_status"), F.coalesce(F.unix_micros("event_time"), F.unix_micros("received_at")).alias("at_us"),
-        F.col("request.query").alias("query"), F.col("response.bytes").alias("response_bytes"), "shape.request_bytes", "shape.header_count", "shape.header_bytes", "shape.cookie_count", "shape.cookie_names",
+        F.col("request.query").alias("query"), F.col("response.bytes").alias("response_bytes"), "shape.request_bytes", "shape.header_count", "shape.header_bytes", "shape.cookie_count", "shape.cookie_names", "data_quality_flags",
     )
 
 
