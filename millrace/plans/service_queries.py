@@ -181,7 +181,7 @@ def request_replay(spark, d):
 
 
 @query(
-    "SELECT tenant, client_ip AS subject, count(*) AS occurrences, min(event_us) AS first_us, max(event_us) AS last_us, arg_max(path, event_us * 1000000 + event_id) AS last_path FROM log WHERE action = 'blocked' GROUP BY tenant, client_ip",
+    "SELECT tenant, client_ip AS subject, count(*) AS occurrences, min(event_us) AS first_us, max(event_us) AS last_us, arg_max(path, CAST(event_us AS HUGEINT) * 1000000000000 + event_id) AS last_path FROM log WHERE action = 'blocked' GROUP BY tenant, client_ip",
     LOG_SQL,
 )
 def alert_groups(spark, d):

@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import alerts, filters, flow, profile, replay
-from millrace.sources import landing
+from millrace.sources import landing, pull
 from millrace.streaming import ingest
 from tests.test_store_and_window import NOW, batch
+from tests.test_streaming import wait_for
 
 RULES = "rule_id string, target string, pattern string, score int, paranoia int"
 
@@ -75,3 +76,22 @@ def test_ties_and_methods(spark):
     assert {(r["flow_id"], r["v"]) for r in flow.latest_version(rows).collect()} == {("f", "b"), ("g", "x")}
     stored = spark.createDataFrame([("h", "GET", "/a", 5, 1), ("h", "POST", "/a", 9, 1)], "host string, method string, template string, observations long, last_us long")
     assert [r["method"] for r in profile.profile_list(stored, method="get").collect()] == ["GET"] and profile.profile_total(stored, method="POST").first()[0] == 1
+
+
+def test_slices_are_pulled_by_tasks(spark, tmp_path):
+    folder = tmp_path / "export"
+    os.makedirs(folder)
+    for m in range(30):
+        if m != 17:
+            (folder / f"20240101T00{m:02d}.jsonl").write_text("".join('{"requestid":"%d-%d","timestamp":"2024-01-01T00:%02d:%02d.500Z"}\n' % (m, k, m, 20 * k) for k in range(3)))
+    options = {"folder": folder.as_uri(), "now": "2024-01-01T00:20:30+00:00"}
+    reader = pull.SlicedExport(options).streamReader(None)
+    slices = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    assert len(slices) == 6 and [len(list(reader.read(s))) for s in slices] == [1, 3, 0, 3, 3, 2]  # half minutes at both ends, and one that has no file
+    assert len(reader.partitions(reader.latestOffset(), reader.latestOffset())) == 1
+    spark.dataSource.register(pull.SlicedExport)
+    q = spark.readStream.format("bot_export_slices").options(**options).load().writeStream.format("memory").queryName("pulled").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="1 second").start()
+    try:
+        assert wait_for(lambda: spark.table("pulled").count() == 12)
+    finally:
+        q.stop()
