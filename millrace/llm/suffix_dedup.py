@@ -1,26 +1,25 @@
-"""Removal of byte strings of LENGTH that occur earlier, after the difference-cover suffix sort.
+"""Removal of byte strings of LENGTH that occur earlier, found by a sample of places that covers equal strings.
 
-A difference cover samples suffixes so that any two equal strings hold sampled positions at the
-same distance from their starts. Sorting every byte's suffix, or even the two thirds of DC3,
-writes more than ten times the corpus; here the sample is chosen by content, which is a cover
-for equal strings of LENGTH bytes and takes about one position in 35:
+This departs from a difference-cover suffix sort (see the README): the sample is chosen by content
+and not by position, names are hashes and not ranks, and neither names are recursed on nor orders
+of suffixes merged. What it does:
 
 1. Sample: the positions whose GRAM-byte hash is smallest in some run of LENGTH - GRAM + 1. Every
-   string of LENGTH bytes holds one, and equal strings hold it at the same place.
-2. Sort the sampled suffixes by name (the bytes that all strings through the position share),
-   reach (all bytes that such strings cover) and place. Neighbours with equal names and reach
-   are one suffix as far as LENGTH bytes go: all but the earliest are removed.
-3. Recurse where a name has several reaches, which is only at the ends of repeats: the strings
-   through the position fall into ZONES by their start, each with a longer name and a shorter
-   reach, and are sorted as before.
-4. The remaining suffixes, the single strings of zones that still have several reaches, are
-   merged into one order, and adjacent entries are compared: a string equal to its predecessor
-   occurs earlier.
-
-Order is that of doc_id, then of start. Sorting is by hash partition and streams, so a task
-holds one row of a group and never the group. A suffix that equals an earlier one of its own input
-batch is settled before the shuffle and dealt by its place instead of its name, so a name that
-many copies share sends one row a batch and reach to its task.
+   string of LENGTH bytes holds one, and equal strings hold it at the same place. That is about
+   one position in 35.
+2. Group the sampled places by the hash of the bytes that all strings through the place share,
+   and by their reach (all bytes that such strings cover). Places of equal bytes and reach are one
+   as far as LENGTH bytes go: all but the earliest are removed.
+3. Where equal bytes have several reaches, which is only at the ends of repeats, the strings
+   through the place are dealt into ZONES by their start, each with more bytes in common and a
+   shorter reach, and are grouped as before.
+4. Zones that still have several reaches are taken apart into their single strings, which are
+   grouped by their hash: all but the earliest of a group are removed.
+
+Order is that of doc_id, then of start. Groups are formed by hash partition and sorted streams,
+so a task holds one row of a group and never the group. A place whose bytes equal those of an
+earlier one of its own input batch is settled before the shuffle and dealt by its place instead
+of its hash, so bytes that many copies share send one row a batch and reach to their task.
 """
 
 from __future__ import annotations
