@@ -14,7 +14,9 @@
    are confirmed on the full sets. Components of the confirmed links give the groups.
 
 A pair at exactly the threshold misses all bands with a probability of 5e-6; more similar pairs
-less. A hot key is split: the pivot's set is sent to as many places as its members need.
+less. A hot key is split: its members are dealt to lots, whose smallest nodes are merged, and the
+pivot's set is sent to as many places as its members need. A text that many rows repeat under one
+doc_id or none is one set.
 """
 
 from __future__ import annotations
@@ -43,6 +45,10 @@ COLLISION = 0.169919 / (1 << MANTISSA)
 DEVIATIONS = 6
 #: Members of a pivot that one task compares.
 MEMBERS = 512
+#: Key buckets whose members are counted. One with more than CROWD members, and CROWDED times the mean, is split into lots of about that many.
+BUCKETS, CROWD, CROWDED = 1 << 16, 1 << 18, 4
+#: Places to which the copies of one text go before the last one is chosen.
+LOTS = 256
 #: Members of a key that are compared as one block, and the shingles that they may have in all.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 #: Pairs of sketches that are compared at once, and bytes of sets in one batch.
@@ -251,9 +257,39 @@ def candidates(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return groups.mapInArrow(read, "key long, lo int, hi int, at int, fp binary, component binary, partners array<int>")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(fp, set) for the wanted (fp, row): their texts again. Rows that repeat doc_id and text repeat their set."""
-    rows = docs.select(row_key().alias("row"), "text").join(wanted, "row").select("fp", "text")
+def lots(keyed: DataFrame) -> DataFrame:
+    """keyed with the lot of each row and the number of lots of its key: one, unless the key's bucket is crowded.
+
+    At most a BUCKETS / CROWDED number of buckets can be crowded, so their table is broadcast.
+    """
+    bucket = F.pmod("key", F.lit(BUCKETS))
+    sizes = stage(keyed.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")), "buckets")
+    bound = max(CROWD, CROWDED * (sizes.agg(F.sum("n")).first()[0] or 0) // BUCKETS)
+    crowded = sizes.where(F.col("n") > bound).select("bucket", F.ceil(F.col("n") / bound).cast("int").alias("dealt"))
+    number = F.coalesce("dealt", F.lit(1))
+    lot = F.coalesce(F.pmod(F.xxhash64("fp"), number), F.lit(0)).cast("int")
+    return keyed.withColumn("bucket", bucket).join(F.broadcast(crowded), "bucket", "left").select("key", "fp", "shingles", lot.alias("lot"), number.alias("lots"))
+
+
+def with_pivots(keyed: DataFrame) -> DataFrame:
+    """(key, fp, shingles, pivot): the rows of keys with several nodes, and the smallest node of their key."""
+    dealt = lots(keyed).where("key is not null").repartition("key", "lot", "lots")
+    # every use reads all columns of dealt and filters none of them, so that its exchange is reused
+    parts = dealt.groupBy("key", "lot", "lots").agg(F.min(F.struct("fp", "shingles")).alias("least"), F.count("*").alias("n"), F.max("lots").alias("all"))
+    single = parts.where("`all` = 1 and n > 1").select("key", "lot", "lots", F.col("least.fp").alias("pivot"))
+    split = parts.where("`all` > 1").groupBy("key").agg(F.min("least").alias("least"), F.sum("n").alias("n"), F.max("all").alias("lots")).where("n > 1")
+    split = split.select("key", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), "lots", F.col("least.fp").alias("pivot"))
+    return dealt.join(single.unionByName(split), ["key", "lot", "lots"]).select("key", "fp", "shingles", "pivot")
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(fp, set), one each, for the wanted (fp, row): their texts again. repeated: the row keys that several rows share."""
+    texts = docs.select(row_key().alias("row"), "text")
+    rows = texts.join(wanted.join(repeated, "row", "left_anti"), "row").select("fp", "text")
+    if not repeated.isEmpty():
+        copies = texts.join(wanted.join(repeated, "row", "left_semi"), "row")
+        some = copies.groupBy("fp", F.pmod(F.spark_partition_id(), F.lit(LOTS)).alias("lot")).agg(F.first("text").alias("text"))
+        rows = rows.unionByName(some.groupBy("fp").agg(F.first("text").alias("text")))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -372,9 +408,8 @@ def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     table = stage(sketch_table(docs), "sketches")
     nodes = stage(table.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("small").alias("small"), F.first("large").alias("large")), "nodes")
 
-    keyed = band_keys(nodes).repartition("key")
-    shared = keyed.groupBy("key").agg(F.min(F.struct("fp", "shingles")).alias("least"), F.count("*").alias("n")).where("n > 1")  # the columns of keyed, so that its exchange is reused
-    members = stage(keyed.join(shared.select("key", F.col("least.fp").alias("pivot")), "key"), "members")
+    repeated = stage(table.where("fp is not null").groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select("row"), "repeated")
+    members = stage(with_pivots(band_keys(nodes)), "members")
     release(spark)
 
     stars = members.where("fp <> pivot").groupBy(F.col("fp").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("bands"))
@@ -382,7 +417,7 @@ def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     best = stage(best, "stars")
     release(spark)
 
-    sets = stage(full_sets(docs, members.select("fp").distinct().join(nodes.select("fp", "row"), "fp")), "sets")
+    sets = stage(full_sets(docs, members.select("fp").distinct().join(nodes.select("fp", "row"), "fp"), repeated), "sets")
     release(spark)
     links = stage(confirmed_stars(best, sets), "links")
     release(spark)
@@ -404,6 +439,6 @@ def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     joined = in_trees.join(groups.withColumnRenamed("node", "tree"), "tree", "left").select("fp", "doc_id", F.coalesce("component", "tree").alias("component"))
     labels = joined.join(joined.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("fp", "component", "component_id")
     labels = stage(labels, "labels")
-    discard(spark, sets, best, members, nodes, links, trees, more, found, groups)
+    discard(spark, sets, best, members, nodes, repeated, links, trees, more, found, groups)
     release(spark)
     return table.select("doc_id", "row", "n_shingles", "fp"), labels

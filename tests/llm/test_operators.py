@@ -84,6 +84,31 @@ def test_drop_near_duplicates_keeps_one_of_each_group(spark, sf):
     assert sorted(i for i, _ in pairs(minhash_dedup.drop_near_duplicates(table))) == sorted(r[0] for r in components(pairs(table)) if r[3])
 
 
+def test_copies_of_one_id_and_of_none_make_one_set(spark):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(None, " ".join(words))] * 5000 + [(3, " ".join(words[:38]))] * 5000 + [(9, " ".join(words[:30]))] + [(4, "a b c d e f")] * 2
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    every = minhash_dedup.sketch_table(table)
+    keys = every.groupBy("row").count()
+    wanted = every.groupBy("fp").agg(F.min("row").alias("row"))
+    sets = minhash_dedup.full_sets(table, wanted, keys.where("count > 1").select("row")).collect()
+    assert sorted(len(r["set"]) // 8 for r in sets) == [2, 26, 34, 36]
+    out = Counter(tuple(r) for r in minhash_dedup.near_duplicates(table).collect())
+    assert out == {(None, 36, 3, False): 5000, (3, 34, 3, True): 5000, (9, 26, 3, False): 1, (4, 2, 4, True): 2}
+
+
+def test_crowded_band_keys_are_split_without_a_change(spark, sf, monkeypatch):
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    keyed = spark.createDataFrame([(k, bytes([i]), 8) for k, n in ((5, 90), (-7, 1), (8, 3)) for i in range(n)], "key long, fp binary, shingles long")
+    whole = rows_of(minhash_dedup.with_pivots(keyed))
+    assert Counter(r[0] for r in whole) == {5: 90, 8: 3} and {r[3] for r in whole} == {b"\0"}
+    monkeypatch.setattr(minhash_dedup, "CROWD", 2)
+    monkeypatch.setattr(minhash_dedup, "CROWDED", 0)
+    assert {r["lots"] for r in minhash_dedup.lots(keyed).select("key", "lots").distinct().collect()} == {45, 1, 2}
+    assert rows_of(minhash_dedup.with_pivots(keyed)) == whole
+    assert rows_of(minhash_dedup.near_duplicates(table)) == sorted(components(pairs(table)), key=repr)
+
+
 def contamination(table, items):
     windows = defaultdict(set)
     for item, text in items:
