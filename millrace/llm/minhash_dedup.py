@@ -257,8 +257,8 @@ def candidates(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return groups.mapInArrow(read, "key long, lo int, hi int, at int, fp binary, component binary, partners array<int>")
 
 
-def lots(keyed: DataFrame) -> DataFrame:
-    """keyed with the lot of each row and the number of lots of its key: one, unless the key's bucket is crowded.
+def lots(keyed: DataFrame) -> tuple[DataFrame, bool]:
+    """keyed with the lot of each row and the number of lots of its key, and whether any key has several: those of crowded buckets.
 
     At most a BUCKETS / CROWDED number of buckets can be crowded, so their table is broadcast.
     """
@@ -268,18 +268,21 @@ def lots(keyed: DataFrame) -> DataFrame:
     crowded = sizes.where(F.col("n") > bound).select("bucket", F.ceil(F.col("n") / bound).cast("int").alias("dealt"))
     number = F.coalesce("dealt", F.lit(1))
     lot = F.coalesce(F.pmod(F.xxhash64("fp"), number), F.lit(0)).cast("int")
-    return keyed.withColumn("bucket", bucket).join(F.broadcast(crowded), "bucket", "left").select("key", "fp", "shingles", lot.alias("lot"), number.alias("lots"))
+    dealt = keyed.withColumn("bucket", bucket).join(F.broadcast(crowded), "bucket", "left").select("key", "fp", "shingles", lot.alias("lot"), number.alias("lots"))
+    return dealt, not crowded.isEmpty()
 
 
 def with_pivots(keyed: DataFrame) -> DataFrame:
     """(key, fp, shingles, pivot): the rows of keys with several nodes, and the smallest node of their key."""
-    dealt = lots(keyed).where("key is not null").repartition("key", "lot", "lots")
+    dealt, several = lots(keyed)
+    dealt = dealt.where("key is not null").repartition("key", "lot", "lots")
     # every use reads all columns of dealt and filters none of them, so that its exchange is reused
     parts = dealt.groupBy("key", "lot", "lots").agg(F.min(F.struct("fp", "shingles")).alias("least"), F.count("*").alias("n"), F.max("lots").alias("all"))
-    single = parts.where("`all` = 1 and n > 1").select("key", "lot", "lots", F.col("least.fp").alias("pivot"))
-    split = parts.where("`all` > 1").groupBy("key").agg(F.min("least").alias("least"), F.sum("n").alias("n"), F.max("all").alias("lots")).where("n > 1")
-    split = split.select("key", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), "lots", F.col("least.fp").alias("pivot"))
-    return dealt.join(single.unionByName(split), ["key", "lot", "lots"]).select("key", "fp", "shingles", "pivot")
+    pivots = parts.where("`all` = 1 and n > 1").select("key", "lot", "lots", F.col("least.fp").alias("pivot"))
+    if several:
+        split = parts.where("`all` > 1").groupBy("key").agg(F.min("least").alias("least"), F.sum("n").alias("n"), F.max("all").alias("lots")).where("n > 1")
+        pivots = pivots.unionByName(split.select("key", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), "lots", F.col("least.fp").alias("pivot")))
+    return dealt.join(pivots, ["key", "lot", "lots"]).select("key", "fp", "shingles", "pivot")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, repeated: DataFrame) -> DataFrame:
