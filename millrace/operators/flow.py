@@ -24,28 +24,52 @@ def causal_order(keyed: DataFrame, tenant: str = "tenant") -> DataFrame:
     return keyed.withColumn("pos", F.row_number().over(w)).withColumn("skew_ms", F.when(behind, F.floor((before - F.col("event_us")) / 1000).cast("long")))
 
 
-def _first(value: str, condition: Column | None = None) -> Column:
-    known = F.col(value).isNotNull() if condition is None else condition & F.col(value).isNotNull()
-    return F.min_by(F.when(known, F.col(value)), F.when(known, F.col("pos")))
+#: What a flow takes from an event, besides what orders it.
+TAKEN = ("provider", "layer", "layer_ord", "action", "terminating", "raw_id", "score", "mapped", "ids", "status", "duration_ms", "cache_status", "rule_id", "method_tier", *FIRST_SET)
+
+
+def _in_order(keyed: DataFrame, tenant: str) -> DataFrame:
+    """(tenant, key, _e): the events of each key in causal order. Of several with one event_id, nulls together, the greatest one stays, so that values win over nulls."""
+    more = [c for c in ("data_quality_flags",) if c in keyed.columns]
+    layer, *rest = causal()
+    flows = keyed.where("key is not null").groupBy(tenant, "key").agg(F.sort_array(F.collect_list(F.struct(layer.alias("_layer"), *rest, *TAKEN, *more))).alias("_e"))
+    repeated = F.size(F.array_distinct("_e.event_id")) < F.size("_e")
+    flows = flows.withColumn("_by_id", F.when(repeated, F.sort_array(F.transform("_e", lambda e: F.struct(e["event_id"].alias("id"), e.alias("e"))))))
+    once = F.filter("_by_id", lambda x, i: (i == F.size("_by_id") - 1) | ~x["id"].eqNullSafe(F.get("_by_id", i + 1)["id"]))
+    return flows.select(tenant, "key", F.coalesce(F.sort_array(F.transform(once, lambda x: x["e"])), "_e").alias("_e"))
+
+
+def _known(value: str, of: str = "_e") -> Column:
+    return F.array_compact(F.col(f"{of}.{value}"))
+
+
+def _first(value: str, of: str = "_e") -> Column:
+    return F.get(_known(value, of), 0)
 
 
 def materialize(keyed: DataFrame, tenant: str = "tenant", closed: bool = True, expected: tuple[int, ...] = (0, 1, 2, 3)) -> DataFrame:
     """One row a flow from events with key and method_tier. Repeated event_ids count once.
 
-    The order and the aggregation share their partitioning, so a flow's events are moved once. Events
-    with ``data_quality_flags`` pass them on to their flow, in the order in which they occur.
+    A flow's events are moved once and aggregated once, to an array in causal order; all else is told
+    from that. Events with ``data_quality_flags`` pass them on to their flow, in the order in which they occur.
     """
-    passed = [F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "data_quality_flags"))), lambda e: F.coalesce(e["data_quality_flags"], F.array().cast("array<string>"))))).alias("_flags")] if "data_quality_flags" in keyed.columns else []
-    ordered = causal_order(keyed.where("key is not null").dropDuplicates([tenant, "key", "event_id"]), tenant)
-    served = F.coalesce(F.max((F.col("layer_ord") == 0) & F.lower("cache_status").isin(*CACHE_SERVED)), F.lit(False))
-    agg = ordered.groupBy(tenant, "key").agg(
-        F.first("method_tier").alias("correlation_method"), F.count("*").alias("n_events"), F.array_sort(F.collect_set("provider")).alias("providers"), F.array_sort(F.collect_set("layer_ord")).alias("layers_present"),
-        _first("action", F.col("terminating")).alias("_stop_action"), _first("layer_ord", F.col("terminating")).alias("_stop_layer"), F.max_by("action", "pos").alias("_last_action"), served.alias("cache_served"),
-        F.max("layer_ord").alias("_deepest"), F.max("skew_ms").alias("skew_ms"), (F.max(F.size("ids") > 1) & (F.countDistinct("provider") > 1)).alias("bridged"),
-        *[_first(c).alias(c) for c in FIRST_SET], _first("rule_id", F.col("terminating") & (F.col("rule_id") != "")).alias("rule_id"), F.max_by(F.when(F.col("status") > 0, F.col("status")), F.when(F.col("status") > 0, F.col("pos"))).alias("status"),
-        *[F.sum(F.when((F.col("layer_ord") == i) & (F.col("duration_ms") > 0), F.col("duration_ms"))).alias(f"ms_{layer}") for i, layer in enumerate(LAYERS)],
-        F.array_distinct(F.flatten(F.array_sort(F.collect_list("ids")))).alias("ids"), F.min("event_us").alias("first_us"), F.max("event_us").alias("last_us"),
-        F.array_sort(F.collect_list(F.struct("pos", "event_id", "provider", "layer", "layer_ord", "action", "terminating", "event_us", "raw_id", "score", "mapped"))).alias("events"), *passed,
+    passed = [F.array_distinct(F.flatten(_known("data_quality_flags"))).alias("_flags")] if "data_quality_flags" in keyed.columns else []
+    behind = lambda a, e: a["layer_ord"].isNotNull() & e["layer_ord"].isNotNull() & (a["layer_ord"] != e["layer_ord"]) & (a["event_us"] > e["event_us"])
+    skews = F.zip_with("_e", F.slice("_e", 2, F.size("_e")), lambda a, e: F.when(behind(a, e), F.floor((a["event_us"] - e["event_us"]) / 1000).cast("long")))
+    ordered = _in_order(keyed, tenant).withColumns({
+        "providers": F.sort_array(F.array_distinct(_known("provider"))), "layers_present": F.sort_array(F.array_distinct(_known("layer_ord"))),
+        "_stops": F.filter("_e", lambda e: e["terminating"]), "_timed": F.filter("_e", lambda e: e["duration_ms"] > 0),
+    })
+    served = F.coalesce(F.exists("_e", lambda e: (e["layer_ord"] == 0) & F.lower(e["cache_status"]).isin(*CACHE_SERVED)), F.lit(False))
+    spent = lambda i: F.aggregate("_timed", F.lit(None).cast("double"), lambda s, e: F.when(e["layer_ord"] == i, F.coalesce(s, F.lit(0.0)) + e["duration_ms"]).otherwise(s))
+    agg = ordered.select(
+        tenant, "key", "providers", "layers_present", F.get("_e.method_tier", 0).alias("correlation_method"), F.size("_e").cast("long").alias("n_events"),
+        _first("action", "_stops").alias("_stop_action"), _first("layer_ord", "_stops").alias("_stop_layer"), F.get("_e.action", F.size("_e") - 1).alias("_last_action"), served.alias("cache_served"),
+        F.array_max("layers_present").alias("_deepest"), F.array_max(skews).alias("skew_ms"), (F.array_max(F.transform("_e.ids", lambda x: F.size(x) > 1)) & (F.size("providers") > 1)).alias("bridged"),
+        *[_first(c).alias(c) for c in FIRST_SET], F.get(F.filter("_stops.rule_id", lambda x: x != ""), 0).alias("rule_id"), F.try_element_at(F.filter("_e.status", lambda x: x > 0), F.lit(-1)).alias("status"),
+        *[spent(i).alias(f"ms_{layer}") for i, layer in enumerate(LAYERS)],
+        F.array_distinct(F.flatten(F.sort_array(_known("ids")))).alias("ids"), F.array_min("_e.event_us").alias("first_us"), F.array_max("_e.event_us").alias("last_us"),
+        F.transform("_e", lambda e, i: F.struct((i + 1).alias("pos"), *[e[c].alias(c) for c in ("event_id", "provider", "layer", "layer_ord", "action", "terminating", "event_us", "raw_id", "score", "mapped")])).alias("events"), *passed,
     )
     stopped = F.col("_stop_layer").isNotNull() | F.col("_stop_action").isNotNull()
     boundary = F.greatest(F.col("_deepest"), F.when(stopped, F.coalesce("_stop_layer", F.lit(0))).when(F.col("cache_served"), 0).otherwise(ORIGIN), F.lit(0))

@@ -174,3 +174,12 @@ def test_dashboard_of_nothing(spark):
     empty = flow.materialize(correlate.correlate(log(spark)))
     row = stats.dashboard(empty).first()
     assert (row["total"], row["exact_join_ratio"], row["block_rate_pct"]) == (0, 1.0, 0.0)
+
+
+def test_flows_are_moved_once(spark):
+    rows = [event(1, "cloudflare", ["ray:a"], 5), event(2, "nginx", ["ray:a"], 1), event(2, "nginx", ["ray:a"], 1, asn=7), event(None, "f5asm", ["ray:a"]), event(None, "f5asm", ["ray:a"])]
+    made = flow.materialize(log(spark, *rows).withColumn("key", F.lit("k")).withColumn("method_tier", F.lit("exact")))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan
+    row = made.first()
+    assert (row["n_events"], [(e["pos"], e["event_id"]) for e in row["events"]], row["asn"]) == (3, [(1, 1), (2, None), (3, 2)], 7)
