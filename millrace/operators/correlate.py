@@ -32,28 +32,35 @@ def exact_components(keyed: DataFrame, tenant: str = "tenant") -> DataFrame:
     )
 
 
+def _clusters(events: DataFrame, window_us: int, tenant: str) -> DataFrame:
+    """events with ``_n``, the size of their cluster, ``ambiguous`` and ``key``. Rows without one of the attributes or a time have the size 0."""
+    same = [tenant, "client_ip", "host", "path", "_method", "_apart"]
+    usable = F.expr(" and ".join(f"coalesce({c}, '') <> ''" for c in ("client_ip", "host", "path", "_method")) + " and event_us is not null")
+    events = events.withColumn("_method", F.upper("method")).withColumn("_apart", F.when(~usable, F.xxhash64("event_id")))
+    order = Window.partitionBy(*same).orderBy("event_us", "event_id")
+    gap = F.col("event_us") - F.lag("event_us").over(order)
+    numbered = events.withColumn("_new", F.when(gap <= window_us, 0).otherwise(1)).withColumn("_cluster", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy(*same, "_cluster")
+    seen = F.size(F.collect_set("provider").over(whole))
+    out = numbered.withColumn("_n", F.when(F.col("_apart").isNull(), F.count("*").over(whole)).otherwise(0)).withColumn("ambiguous", seen < F.count("*").over(whole)).withColumn("key", F.concat(F.lit("heur:"), F.min("event_id").over(whole).cast("string")))
+    return out.drop("_method", "_apart", "_new", "_cluster")
+
+
 def heuristic_keys(events: DataFrame, window_us: int = HEURISTIC_WINDOW_US, tenant: str = "tenant") -> DataFrame:
     """events clustered by client, host, path and method, gaps of at most window_us between neighbours.
 
     Adds ``key`` (``heur:`` and the smallest event_id) and ``ambiguous`` (a provider occurs
     twice). Rows without one of the attributes or a time, and clusters of one, are left out.
     """
-    same = [tenant, "client_ip", "host", "path", "_method"]
-    usable = events.withColumn("_method", F.upper("method")).where(" and ".join(f"coalesce({c}, '') <> ''" for c in ("client_ip", "host", "path", "_method")) + " and event_us is not null")
-    order = Window.partitionBy(*same).orderBy("event_us", "event_id")
-    gap = F.col("event_us") - F.lag("event_us").over(order)
-    numbered = usable.withColumn("_new", F.when(gap <= window_us, 0).otherwise(1)).withColumn("_cluster", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = Window.partitionBy(*same, "_cluster")
-    seen = F.size(F.collect_set("provider").over(whole))
-    out = numbered.withColumn("_n", F.count("*").over(whole)).withColumn("ambiguous", seen < F.col("_n")).withColumn("key", F.concat(F.lit("heur:"), F.min("event_id").over(whole).cast("string")))
-    return out.where("_n > 1").drop("_method", "_new", "_cluster", "_n")
+    return _clusters(events, window_us, tenant).where("_n > 1").drop("_n")
 
 
 def correlate(events: DataFrame, tenant: str = "tenant") -> DataFrame:
-    """Every event with key and method: exact, heuristic, or none (no key)."""
+    """Every event with key and method: exact, heuristic, or none (no key). An event_id that has joined a cluster is not listed as one without a key as well."""
     exact = exact_keys(events, tenant=tenant).withColumn("method_tier", F.lit("exact"))
-    rest = events.where(F.size("ids") == 0)
-    loose = heuristic_keys(rest, tenant=tenant)
-    found = loose.where("not ambiguous").drop("ambiguous").withColumn("method_tier", F.lit("heuristic"))
-    alone = rest.join(found.select(tenant, "event_id"), [tenant, "event_id"], "left_anti").withColumn("key", F.lit(None).cast("string")).withColumn("method_tier", F.lit("none"))
-    return exact.unionByName(found).unionByName(alone)
+    joined = (F.col("_n") > 1) & ~F.col("ambiguous")
+    loose = _clusters(events.where(F.size("ids") == 0), HEURISTIC_WINDOW_US, tenant).withColumn("_joined", joined)
+    elsewhere = F.max("_joined").over(Window.partitionBy(tenant, "event_id")) & F.col(tenant).isNotNull() & F.col("event_id").isNotNull()
+    loose = loose.withColumn("_elsewhere", elsewhere).where("_joined or not _elsewhere")
+    loose = loose.withColumn("key", F.when(F.col("_joined"), F.col("key"))).withColumn("method_tier", F.when(F.col("_joined"), "heuristic").otherwise("none"))
+    return exact.unionByName(loose.drop("_n", "ambiguous", "_joined", "_elsewhere"))

@@ -183,3 +183,12 @@ def test_flows_are_moved_once(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan
     row = made.first()
     assert (row["n_events"], [(e["pos"], e["event_id"]) for e in row["events"]], row["asn"]) == (3, [(1, 1), (2, None), (3, 2)], 7)
+
+
+def test_correlation_reads_the_log_twice_and_lists_no_event_twice(spark):
+    rows = [event(1, "cloudflare", [], 0), event(2, "nginx", [], 1), event(2, "nginx", [], 1, host=None), event(3, "nginx", [], 0, host=None), event(3, "nginx", [], 0, host=None), event(4, "nginx", [], None), event(5, "f5asm", [], 0, path="/x"), event(6, "nginx", ["ray:a"])]
+    out = correlate.correlate(log(spark, *rows))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
+    got = sorted((r["event_id"], r["host"], r["key"], r["method_tier"]) for r in out.where("host is not null").collect())
+    assert got == [(1, "h", "heur:1", "heuristic"), (2, "h", "heur:1", "heuristic"), (4, "h", None, "none"), (5, "h", None, "none"), (6, "h", "ray:a", "exact")]
+    assert sorted((r["event_id"], r["key"]) for r in out.where("host is null").collect()) == [(3, None), (3, None)]
