@@ -37,14 +37,18 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     """(node, component) for every node of an edge; component is the smallest node reachable.
 
     Null endpoints and self loops carry no link and are dropped; repeated edges count once; an
-    empty edge table gives an empty result. Nodes without edges are not listed.
+    empty edge table gives an empty result. Nodes without edges are not listed. Edges that are
+    stars already, each to its smallest node, take one round.
     """
     spark = edges.sparkSession
-    now = stage(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v"), "edges")
-    seen = None
+    marked = lambda df, mark: df.observe(mark, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+    first = Observation()
+    links = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    now = stage(marked(links, first), "edges")
+    seen = first.get
     for _ in range(max_rounds):
         mark = Observation()
-        after = stage(_small_star(_large_star(now)).observe(mark, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges")
+        after = stage(marked(_small_star(_large_star(now)), mark), "edges")
         discard(spark, now)
         release(spark)
         now = after

@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import alerts, correlate, filters, flow, profile, retention, search, stats, verdict
+from millrace.operators import alerts, components, correlate, filters, flow, profile, retention, search, stats, verdict
 from millrace.operators.components import connected_components
+from millrace.staging import stage
 
 LOG = "event_id long, tenant string, provider string, layer string, layer_ord int, ids array<string>, action string, terminating boolean, event_us long, client_ip string, asn long, country string, user_agent string, method string, host string, path string, status int, duration_ms double, cache_status string, rule_id string, score double, mapped boolean, raw_id string"
 LAYER = {"cloudflare": (0, "edge"), "datadome": (1, "bot_management"), "f5asm": (2, "app_firewall"), "nginx": (3, "origin")}
@@ -192,3 +193,10 @@ def test_correlation_reads_the_log_twice_and_lists_no_event_twice(spark):
     got = sorted((r["event_id"], r["host"], r["key"], r["method_tier"]) for r in out.where("host is not null").collect())
     assert got == [(1, "h", "heur:1", "heuristic"), (2, "h", "heur:1", "heuristic"), (4, "h", None, "none"), (5, "h", None, "none"), (6, "h", "ray:a", "exact")]
     assert sorted((r["event_id"], r["key"]) for r in out.where("host is null").collect()) == [(3, None), (3, None)]
+
+
+def test_stars_take_one_round(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components, "stage", lambda df, name: written.append(name) or stage(df, name))
+    got = dict(connected_components(spark.createDataFrame([(1, 2), (3, 1), (5, 4), (None, 9), (7, 7)], "a long, b long"), "a", "b").collect())
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4} and len(written) == 2
