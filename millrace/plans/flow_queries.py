@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from millrace.operators import alerts, baseline, correlate, filters, flow, search, stats, verdict
 from millrace.schema import LAYERS
 from millrace.sources.driver_tables import FLOW_SQL, KEY_SQL, LOG_SQL, flows, keyed_log, request_log, table
+from millrace.staging import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -294,16 +295,18 @@ UNION ALL SELECT provider, 'source_silence' FROM log GROUP BY provider HAVING (S
 UNION ALL SELECT layer, 'zero_output' FROM log GROUP BY layer HAVING count(*) FILTER (WHERE action = 'blocked' AND layer_ord < 3) = 0
 UNION ALL SELECT provider, 'parse_failure' FROM log GROUP BY provider HAVING count(*) FILTER (WHERE status >= 500) / count(*) > 0.01)""", FLOW_SQL)
 def builtin_detections(spark, d):
-    """All four: flows by tenant, sources and parse failures (here server errors) by provider, stages by layer."""
-    log, one_of = request_log(spark, d), {x.id: x for x in alerts.BUILTIN}
+    """All four: flows by tenant, sources and parse failures (here server errors) by provider, stages by layer. The log is read once, for counts by provider and layer."""
+    one_of = {x.id: x for x in alerts.BUILTIN}
     total = F.count("*").alias("total")
     tenants = flows(spark, d).groupBy("tenant").agg(total, (F.count_if(F.col("correlation_method") != "heuristic") / F.count("*")).alias("exact"), F.max("last_us").alias("at_us"))
-    now = log.agg(F.max("event_us")).first()[0]
-    seen = log.select(F.col("provider").alias("source_id"), F.col("event_us").alias("received_us"))
+    stopped, failed = (F.col("action") == "blocked") & (F.col("layer_ord") < 3), F.col("status") >= 500
+    counts = request_log(spark, d).groupBy(F.col("provider").alias("source_id"), F.col("layer").alias("stage")).agg(F.count("*").alias("records"), F.count_if(stopped).alias("outputs"), F.count_if(failed).alias("failures"), F.max("event_us").alias("received_us"))
+    seen = stage(counts, "log_counts").withColumn("tenant", F.lit("t"))
+    now, at = seen.agg(F.max("received_us")).first()[0], F.max("received_us").alias("at_us")
     sources = seen.select("source_id", F.lit(True).alias("enabled"), F.lit(600_000_000).alias("cadence_us")).distinct()
     sources = alerts.source_health(sources, seen, now).select("source_id", "health", F.col("last_us").alias("at_us"), F.lit("t").alias("tenant"))
-    stages = log.groupBy(F.col("layer").alias("stage")).agg(F.count("*").alias("inputs"), F.count_if((F.col("action") == "blocked") & (F.col("layer_ord") < 3)).alias("outputs"), F.max("event_us").alias("at_us")).withColumn("tenant", F.lit("t"))
-    parsed = log.groupBy(F.col("provider").alias("source_id")).agg(F.count("*").alias("records"), F.count_if(F.col("status") >= 500).alias("failures"), F.max("event_us").alias("at_us")).withColumn("tenant", F.lit("t"))
+    stages = seen.groupBy("tenant", "stage").agg(F.sum("records").alias("inputs"), F.sum("outputs").alias("outputs"), at)
+    parsed = seen.groupBy("tenant", "source_id").agg(F.sum("records").alias("records"), F.sum("failures").alias("failures"), at)
     found = None
     for rows, name, key in ((tenants, "exact_ratio", "tenant"), (sources, "source_silence", "source_id"), (stages, "zero_output", "stage"), (parsed, "parse_failure", "source_id")):
         fired = alerts.evaluate(rows, one_of[name], key).select("subject", "detection_id")
